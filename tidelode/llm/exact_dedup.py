@@ -20,6 +20,9 @@ from tidelode.llm.workspace import Workspace, sized
 
 #: Bytes of records in a micro-batch.
 BATCH_BYTES = 512 << 20
+#: Digests that one state store is meant for. Each store claims several MB on disk however little it
+#: holds, so their number follows the arrivals and not the session's shuffle partitions.
+STORE_DIGESTS = 2_000_000
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -39,10 +42,11 @@ def digest(norm: F.Column, bits: int = 256) -> F.Column:
     return F.substring(F.unhex(F.sha2(norm.cast("binary"), 256)), 1, bits // 8)
 
 
-def _settled(spark: SparkSession, arrivals: DataFrame, work: Workspace, batch: dict) -> DataFrame:
+def _settled(spark: SparkSession, arrivals: DataFrame, work: Workspace, batch: dict, stores: int) -> DataFrame:
     """Runs the stateful stream over all arrivals; the last state of each digest."""
-    before = {k: spark.conf.get(k, None) for k in _STATE}
-    for k, v in _STATE.items():
+    settings = _STATE | {"spark.sql.streaming.internal.stateStore.partitions": str(stores)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     reader = spark.readStream.schema(arrivals.schema)
     for k, v in batch.items():
@@ -67,18 +71,21 @@ def _settled(spark: SparkSession, arrivals: DataFrame, work: Workspace, batch: d
     return written.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.max("group_size").alias("group_size"))
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 256, batch: dict | None = None) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 256, batch: dict | None = None, stores: int | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, keep_file.
 
     bits shortens the digest of the state (tests force collisions by it); batch holds options of the
-    stream's file source, such as maxFilesPerTrigger.
+    stream's file source, such as maxFilesPerTrigger; stores is the number of state stores, which a stream
+    keeps for its life: by default one for each STORE_DIGESTS rows, and as many as tasks run at once.
     """
     work = Workspace(spark, "exact-dedup")
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), normalised(text_col).alias("norm"), F.input_file_name().alias("file"))
     arrivals = work.write(docs.select("id", digest(F.col("norm"), bits).alias("digest"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "file", F.monotonically_increasing_id().alias("row")), "arrivals")
-    if arrivals.isEmpty():
+    rows = arrivals.count()
+    if not rows:
         return _result(arrivals.withColumns({"keeper": F.struct(F.lit(False).alias("no_id"), "id", "row", "file"), "group_size": F.lit(1)}))
-    hit = work.write(_settled(spark, arrivals, work, batch or {"maxBytesPerTrigger": BATCH_BYTES}).where("group_size > 1"), "hit")
+    stores = stores or max(spark.sparkContext.defaultParallelism, -(-rows // STORE_DIGESTS))
+    hit = work.write(_settled(spark, arrivals, work, batch or {"maxBytesPerTrigger": BATCH_BYTES}, stores).where("group_size > 1"), "hit")
     # the full bytes of every hit text: equal ones meet in the map-side part of the aggregation
     texts = docs.withColumn("digest", digest(F.col("norm"), bits)).join(sized(hit.select("digest"), 64), "digest", "left_semi")
     variants = texts.groupBy("digest", "norm").agg(F.count("*").alias("n"))
