@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +26,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, _table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside passages of the benchmark."""
+    from tidelode.llm.decontaminate import contamination
+
+    found = contamination(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -37,4 +47,28 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = min(doc_id) over w as kept, sha256(norm) as text_sha256
         from n window w as (partition by norm)""",
+    "op10_benchmark_decontamination": r"""
+        with lowered as (
+          select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+          from documents),
+        test as (
+          select cast(item_id as varchar) as item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+          from benchmark),
+        windows as (
+          select distinct item_id, least(10, len(w)) as size, array_to_string(w[pos : pos + least(10, len(w)) - 1], ' ') as phrase
+          from test, unnest(range(1, greatest(1, len(w) - 9) + 1)) as t(pos) where len(w) > 0),
+        sizes as (select distinct size from windows),
+        places as (
+          select doc_id, pos, size, array_to_string(w[pos : pos + size - 1], ' ') as phrase
+          from lowered, sizes, unnest(range(1, len(w) - size + 2)) as t(pos)),
+        occurs as (select doc_id, pos, size, item_id from places join windows using (size, phrase)),
+        hit as (
+          select doc_id, count(distinct word) as n_hit
+          from occurs, unnest(range(pos, pos + size)) as t(word) group by doc_id),
+        named as (
+          select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names
+          from (select distinct doc_id, item_id from occurs where item_id is not null) group by doc_id)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
+        from lowered left join hit using (doc_id) left join named using (doc_id)""",
 }
