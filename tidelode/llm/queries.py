@@ -19,6 +19,24 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 400 bytes that start elsewhere too."""
+    from tidelode.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(spark, _table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its evidence, the means of its host and path, and the decision.
+
+    Documents have no URL here: their source is the host, source and language the path.
+    """
+    from tidelode.llm.quality import quality
+
+    found = quality(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    return found.drop("mark")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of its equal texts."""
     from tidelode.llm.exact_dedup import exact_dedup
@@ -36,6 +54,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
