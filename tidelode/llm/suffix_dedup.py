@@ -40,6 +40,8 @@ from tidelode.llm.workspace import Workspace, sized
 LENGTH = 400
 #: Segments that a bucket is meant for, and sampled suffixes a splitter.
 BUCKET_SEGMENTS, SAMPLES = 20_000, 64
+#: Broadcast limits in bytes: keys and digests, which are many, and identifiers of documents concerned.
+FEW_BYTES, DOCUMENT_BYTES = 1 << 20, 8 << 20
 #: Bytes of text that are searched for anchors at once.
 STEP_BYTES = 1 << 18
 
@@ -281,21 +283,19 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), body.alias("body")).withColumn("mark", F.xxhash64("body"))
     found = work.write(texts.where(F.octet_length("body") >= length).mapInArrow(_anchored(shape), "id bigint, mark bigint, place bigint, key bigint, s1 bigint, s2 bigint"), "anchors")
     keys = work.write(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    shared = work.write(found.join(sized(keys, 16), "key", "left_semi"), "shared")
+    shared = work.write(found.join(sized(keys, 16, FEW_BYTES), "key", "left_semi"), "shared")
     segments = work.write(shared.groupBy("key", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "place")).alias("one")), "segments")
     window = lambda place: (F.shiftright(place, 32) - F.expr("place & 65535"), F.shiftright(place, 32) - F.expr("(place >> 16) & 65535") + length)
     first, last = window(F.col("place"))
-    whole = shared.join(sized(segments.where("n > 1").select("s1", "s2"), 32), ["s1", "s2"], "left_semi").select("id", "mark", first.alias("first"), last.alias("last"))
+    whole = shared.join(sized(segments.where("n > 1").select("s1", "s2"), 32, FEW_BYTES), ["s1", "s2"], "left_semi").select("id", "mark", first.alias("first"), last.alias("last"))
 
     # segments to compare: other digests have their key, and not all of these repeat anyway
     open_ = work.write(segments.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("key"), "open")
-    wanted = segments.join(sized(open_, 16), "key", "left_semi").select("one.id", "one.mark", F.struct(F.col("one.place").alias("place"), (F.col("n") == 1).alias("alone")).alias("x"))
+    wanted = segments.join(sized(open_, 16, FEW_BYTES), "key", "left_semi").select("one.id", "one.mark", F.struct(F.col("one.place").alias("place"), (F.col("n") == 1).alias("alone")).alias("x"))
     wanted = work.write(wanted.groupBy("id", "mark").agg(F.collect_list("x").alias("wanted")), "wanted")
     total = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).head()[0]
-    asked = F.broadcast(wanted) if total * 24 + wanted.count() * 48 <= 32 << 20 else wanted
-    asked = asked.withColumnsRenamed({"id": "w_id", "mark": "w_mark"})
+    source = _with(texts, wanted).select("id", "mark", "body", "wanted")
     # rows that repeat hold the same text: one of them is enough
-    source = texts.join(asked, texts.id.eqNullSafe(F.col("w_id")) & (texts.mark == F.col("w_mark"))).select("id", "mark", "body", "wanted")
     fetched = work.write(source.mapInArrow(_fetched(shape), "id bigint, mark bigint, place bigint, alone boolean, suffix binary, front binary").dropDuplicates(["id", "mark", "place"]), "fetched")
     buckets = max(1, -(-total // bucket_segments))
     splitters: list[bytes] = []
@@ -309,7 +309,21 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     met = across.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
     spans = whole.unionByName(compared.where("window is null").drop("window")).unionByName(across.join(met, "window", "left_semi").drop("window"))
     spans = work.write(spans.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
-    cut = F.broadcast(spans) if spans.agg(F.coalesce(F.sum(F.size("spans") * 16 + 48), F.lit(0))).head()[0] <= 32 << 20 else spans
-    cut = cut.withColumnsRenamed({"id": "w_id", "mark": "w_mark"})
-    result = texts.join(cut, texts.id.eqNullSafe(F.col("w_id")) & (texts.mark == F.col("w_mark")), "left").select("id", "body", "spans")
-    return result.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first:bigint,last:bigint>>")
+    out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first:bigint,last:bigint>>"
+    if spans.count() * 24 > DOCUMENT_BYTES:
+        return _with(texts, spans, "left").select("id", "body", "spans").mapInArrow(_cut, out)
+    # documents that lose nothing stay where they are
+    ids = F.broadcast(spans.select(F.col("id").alias("w_id"), F.col("mark").alias("w_mark")))
+    rest = texts.join(ids, texts.id.eqNullSafe(F.col("w_id")) & (texts.mark == F.col("w_mark")), "left_anti").withColumn("spans", F.array().cast("array<struct<first:bigint,last:bigint>>"))
+    return _with(texts, spans).select("id", "body", "spans").unionByName(rest.select("id", "body", "spans")).mapInArrow(_cut, out)
+
+
+def _with(texts: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """texts joined to a written table by id and mark. If the table names few documents, only these are
+    shuffled."""
+    same = lambda left, i, m: left.id.eqNullSafe(F.col(i)) & (left.mark == F.col(m))
+    if how == "inner" and table.count() * 24 <= DOCUMENT_BYTES:
+        ids = F.broadcast(table.select(F.col("id").alias("f_id"), F.col("mark").alias("f_mark")))
+        texts = texts.join(ids, same(texts, "f_id", "f_mark"), "left_semi")
+    table = table.withColumnsRenamed({"id": "w_id", "mark": "w_mark"})
+    return texts.join(table, same(texts, "w_id", "w_mark"), how)
