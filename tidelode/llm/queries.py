@@ -8,10 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folder of the public tokenizers' files, which are read where they lie.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_file(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its expected severity.
+
+    Grades come from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality.
+    """
+    from tidelode.llm.toxicity import toxicity
+
+    grades = _table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") * (2 - F.col("quality"))).alias("grade"))
+    return toxicity(spark, _table(spark, sf_dir, "documents"), grades).drop("at_least")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the smallest document that links of similar 5-word sets reach."""
     from tidelode.llm.ngram_join import ngram_join
@@ -19,6 +38,20 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with its role after the repair, and its piece of the rendering."""
+    from tidelode.llm.chat_repair import repaired
+
+    return repaired(spark, _table(spark, sf_dir, "conversations"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the live shards hold it after arrivals and compaction."""
+    from tidelode.llm.compaction import sharded
+
+    return sharded(spark, _table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings of 400 bytes that start elsewhere too."""
     from tidelode.llm.suffix_dedup import repeated_spans
@@ -44,6 +77,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, _table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its tokens before and after its edits, counted by segment trees.
+
+    The edits take personal data out: each match of an e-mail address, telephone or card number becomes a tag.
+    """
+    from tidelode.llm.token_tree import edited_counts
+
+    return edited_counts(spark, _table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its best segmentation, the scores of its four best, and whether it decodes."""
+    from tidelode.llm.piece_lattice import segmented
+
+    return segmented(spark, _table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its words inside passages of the benchmark."""
     from tidelode.llm.decontaminate import contamination
@@ -53,10 +103,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op4_sharding": op4_sharding,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_counts": op8_token_counts,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
