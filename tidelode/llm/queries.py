@@ -116,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_sharding": """
+        select doc_id, strlen(coalesce(text, '')) as n_bytes, sha256(coalesce(text, '')) as text_sha256 from documents""",
     "op7_exact_dedup": r"""
         with n as (
           select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
