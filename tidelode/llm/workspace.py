@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only if its rows times their width stay below this.
 BROADCAST_BYTES = 8 << 20
 
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
 #: Set where the cluster names no shared folder, as in local tests.
 _LOCAL: list[str] = []
 
@@ -42,8 +44,18 @@ class Workspace:
         return f"{self.path}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet once and returns what was written."""
-        df.write.mode("overwrite").parquet(self.at(name))
+        """Writes df as Parquet once and returns what was written.
+
+        Arrow batches are kept small meanwhile: each task holds some on both sides of its pipe.
+        """
+        before = {k: self.spark.conf.get(k) for k in _BATCHES}
+        for k, v in _BATCHES.items():
+            self.spark.conf.set(k, v)
+        try:
+            df.write.mode("overwrite").parquet(self.at(name))
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, name: str = "") -> None:
