@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidelode.plans import evaluation, rewards, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**evaluation.QUERIES, **rewards.QUERIES, **texts.QUERIES}
+ORACLE_SQL: dict[str, str] = {**evaluation.ORACLE_SQL, **rewards.ORACLE_SQL, **texts.ORACLE_SQL}
