@@ -82,7 +82,7 @@ class Classifier:
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
         self.base = float(y.mean()) if len(y) else 0.5
         self.weights = None
-        if 0 < self.base < 1:
+        if len(y) and 0 < self.base < 1:
             self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
             z = self._design(x)
             w = np.zeros(z.shape[1])
