@@ -179,7 +179,7 @@ def test_empty_summaries(spark):
 
 def test_gates(spark):
     rows = spark.createDataFrame([("1",), ("",), (None,)], "s string")
-    assert gates.fail_rate_gate(rows, "s", 0.5) == (False, pytest.approx(2 / 3), 2, 3)
+    assert gates.fail_rate_gate(rows, "s", 0.5, "fail") == (False, pytest.approx(2 / 3), 2, 3)
     assert gates.fail_rate_gate(rows, "s", 0.5, "warn").passed
     assert gates.fail_rate_gate(rows.limit(0), "s", 0.5).passed
     assert gates.spread_gate(0.05) and not gates.spread_gate(None)
@@ -229,12 +229,22 @@ Cl1 0.5 0.5 1.5
 def test_structures(spark):
     rows = spark.createDataFrame([(SALT,), ("data_x\nnothing",), ("no block",), (None,), (SALT.replace("90\n_cell_angle_beta", "200\n_cell_angle_beta"),)], "t string").withColumn("s", crystal.wrapped(crystal.parsed("t")))
     got = rows.select(crystal.invalid_reason(F.col("t"), F.col("s")), crystal.volume(F.col("s")), crystal.density(F.col("s")), crystal.geometry("s"), F.col("s.spacegroup"), F.col("s.sites")).collect()
-    assert [r[0] for r in got] == [None, "parse_error", "no_data_block", "no_data_block", "bad_angles"]
+    assert [r[0] for r in got] == [None, "parse_error", "no_data_block", "no_data_block", "invalid_lattice_angle"]
     assert got[0][1] == pytest.approx(64.0) and got[0][2] == pytest.approx((22.990 + 35.45) * 1.66053906660 / 64)
     assert got[0][3].min_distance == pytest.approx(math.sqrt(12)) and got[0][3].mean_cn == 0
     assert got[0][4] == "P m -3 m" and got[0][5][1].z == 0.5
 
 
+def test_files_by_extension(spark):
+    rows = spark.createDataFrame([("a/x.PNG",), ("y.png",), ("z",)], "path string")
+    assert {r.extension: r.n for r in stats.extension_counts(rows).collect()} == {"png": 2, "": 1}
+
+
+def test_epochs(spark):
+    rows = sampling.epochs(spark.range(5), 3, 1, "id")
+    assert rows.count() == 15 and rows.select("shuffle_key").distinct().count() == 15
+
+
 def test_scorer_marks_failures(spark):
     def score(batch):
         if (batch["x"] < 0).any():

@@ -95,13 +95,12 @@ def invalid_reason(text: Column, structure: Column) -> Column:
     odd = lambda v: F.isnan(v) | (F.abs(v) == float("inf"))
     sites = F.size(s.sites)
     return (
-        F.when(~F.coalesce(text, F.lit("")).contains("data_"), "no_data_block")
+        F.when(~F.lower(F.coalesce(text, F.lit(""))).contains("data_"), "no_data_block")
         .when(s.sites.isNull(), "parse_error")
-        .when(sites < LEAST_SITES, "too_few_sites")
-        .when(sites > MOST_SITES, "too_many_sites")
-        .when(bad(lengths, lambda c: c <= 0), "bad_lattice")
-        .when(bad(angles, lambda c: (c <= 0) | (c >= 180)), "bad_angles")
-        .when(F.exists(s.sites, lambda p: odd(p.x) | odd(p.y) | odd(p.z)), "bad_coords")
+        .when((sites < LEAST_SITES) | (sites > MOST_SITES), F.concat(F.lit("n_sites_out_of_range_"), sites.cast("string")))
+        .when(bad(lengths, lambda c: c <= 0), "negative_lattice_length")
+        .when(bad(angles, lambda c: (c <= 0) | (c >= 180)), "invalid_lattice_angle")
+        .when(F.exists(s.sites, lambda p: odd(p.x) | odd(p.y) | odd(p.z)), "non_finite_coords")
         .when(char_ratio(text) > MOST_REPEATED, "high_repetition")
     )
 

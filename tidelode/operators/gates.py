@@ -33,7 +33,7 @@ def fail_rates(scores: DataFrame, score: str, keys: tuple[str, ...] = ()) -> Dat
     return scores.groupBy(*keys).agg(F.count("*").alias("total"), failed.alias("failed"), rate(failed, F.count("*")).alias("fail_rate"))
 
 
-def fail_rate_gate(scores: DataFrame, score: str, most: float, mode: str = "fail") -> FailRate:
+def fail_rate_gate(scores: DataFrame, score: str, most: float = 0.05, mode: str = "warn") -> FailRate:
     """Whether few enough rows failed. Mode off passes always, warn logs, fail decides; no rows pass."""
     if mode not in ("off", "warn", "fail"):
         raise ValueError(f"unknown gate mode {mode!r}")
