@@ -170,9 +170,17 @@ def test_histogram_like_numpy(spark):
     assert [got.get(k, 0) for k in range(17)] == want.tolist()
 
 
+def test_percentiles_like_numpy(spark):
+    values = np.random.default_rng(8).normal(size=101).round(3)
+    got = ranking.percentiles(numbers(spark, values), ["g"], "v", {"a": 0.05, "b": 0.5, "c": 0.333, "d": 1.0}).head()
+    assert (got.a, got.b, got.c, got.d) == pytest.approx(tuple(np.percentile(values, [5, 50, 33.3, 100])))
+    r = stats.component_stats(numbers(spark, [1.0, float("nan"), float("inf"), 3.0]), ["g"], "v").head()
+    assert (r.mean, r.std, r.p50) == (2.0, 1.0, 2.0)
+
+
 def test_empty_summaries(spark):
     empty = numbers(spark, [1]).limit(0)
-    r = empty.agg(*stats.component_stats("v")).head()
+    r = stats.component_stats(empty, [], "v").head()
     assert tuple(r) == (0.0,) * 5
     assert empty.agg(stats.rate(F.count_if(F.col("v") > 0), F.count("*")).alias("x")).head().x == 0
 

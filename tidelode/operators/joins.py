@@ -30,12 +30,13 @@ def candidate_reasons(labels: DataFrame, scores: DataFrame, rewards: DataFrame,
     The order is invalid_or_mismatch, missing_score, missing_reward, gate_failed, negative_reward; rows that
     only scores or rewards have are not seen. labels must be unique by key, as after last_wins.
     """
-    right = scores.select(key, score).join(rewards.select(key, reward, gate), key, "full")
     hit_ok = F.lit(True) if skip_hit else F.coalesce(F.col(hit), F.lit(False))
     reason = F.when(~F.coalesce(valid & hit_ok, F.lit(False)), "invalid_or_mismatch").when(F.col(score).isNull(), "missing_score")
     if need_reward:
         reason = reason.when(F.col(reward).isNull(), "missing_reward").when(F.col(gate) == 1, "gate_failed").when(F.col(reward) < 0, "negative_reward")
-    return labels.join(right, key, "left").withColumn("drop_reason", reason)
+    # both joins are on one key: the labels are shuffled once
+    rows = labels.join(scores.select(key, score), key, "left").join(rewards.select(key, reward, gate), key, "left")
+    return rows.withColumn("drop_reason", reason)
 
 
 def reason_counts(rows: DataFrame, reason: str = "drop_reason") -> DataFrame:
@@ -64,7 +65,7 @@ def existing(df: DataFrame, files: DataFrame, key: str) -> tuple[DataFrame, Data
     return df.join(keys, key, "left_semi"), df.join(keys, key, "left_anti")
 
 
-def by_phase(rows: DataFrame, keys: Sequence[str], phase: str, phases: Sequence[str], value: Column, name: str) -> DataFrame:
-    """One row a key with a column <phase>_<name> for each phase."""
-    aggs = [F.max(F.when(F.col(phase) == p, value)).alias(f"{p}_{name}") for p in phases]
+def by_phase(rows: DataFrame, keys: Sequence[str], phase: str, phases: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """One row a key with a column <phase>_<name> for each phase and value, by one aggregate."""
+    aggs = [F.max(F.when(F.col(phase) == p, v)).alias(f"{p}_{name}") for name, v in values.items() for p in phases]
     return rows.groupBy(*keys).agg(*aggs)

@@ -86,6 +86,9 @@ def summary(rewards: DataFrame) -> DataFrame:
     """One row: counts and rates over all rows, statistics of components over rows that passed."""
     ok = F.col("gate_failed") == 0
     n = F.count("*")
-    shown = rewards.withColumns({c: F.when(ok, F.col(c)) for c in ("r_proxy", "r_geom", "r_comp", "r_novel", "r_total")})
-    parts = [F.struct(*stats.component_stats(c)).alias(c) for c in ("r_proxy", "r_geom", "r_comp", "r_novel", "r_total")]
-    return shown.agg(n.alias("n_structures"), F.count_if(ok).alias("n_gate_passed"), stats.rate(F.count_if(~ok), n).alias("gate_failure_rate"), stats.rate(F.sum(F.coalesce("duplicate_flag", F.lit(0))), F.count_if(ok)).alias("duplicate_rate"), *parts)
+    counts = rewards.agg(n.alias("n_structures"), F.count_if(ok).alias("n_gate_passed"), stats.rate(F.count_if(~ok), n).alias("gate_failure_rate"), stats.rate(F.sum(F.coalesce("duplicate_flag", F.lit(0))), F.count_if(ok)).alias("duplicate_rate"))
+    names = ("r_proxy", "r_geom", "r_comp", "r_novel", "r_total")
+    parts = stats.component_stats(stats.stacked(rewards.where(ok), names), ["name"], "value")
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("mean", "std", "p05", "p50", "p95")])
+    wide = parts.agg(*[F.coalesce(F.max(F.when(F.col("name") == c, F.struct("mean", "std", "p05", "p50", "p95"))), zero).alias(c) for c in names])
+    return counts.join(F.broadcast(wide))

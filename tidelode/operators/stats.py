@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelode.functions.expressions import finite, non_empty
+from tidelode.operators.ranking import percentiles
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -26,29 +27,47 @@ def hit_rates(valid: Column, hit: Column) -> list[Column]:
     return [total.alias("total"), F.count_if(valid).alias("valid"), F.count_if(hit).alias("hits"), rate(F.count_if(valid), total).alias("validity_rate"), rate(F.count_if(hit), total).alias("hit_rate")]
 
 
-def energy_summary(value: str) -> list[Column]:
+def described(df: DataFrame, keys: Sequence[str], value: str, moments: Sequence[Column], shares: dict[str, float]) -> DataFrame:
+    """Aggregates of a value within keys, with exact percentiles beside them."""
+    base = df.groupBy(*keys).agg(*moments)
+    found = percentiles(df, keys, value, shares)
+    if not keys:
+        return base.join(F.broadcast(found), F.lit(True), "left")
+    named = found.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return base.join(named, on, "left").drop(*[f"__{k}" for k in keys])
+
+
+def energy_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean, median and sample standard deviation, the last 0 for one row."""
-    x = F.col(value)
-    return [F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std")]
+    moments = [F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std")]
+    return described(df, keys, value, moments, {"median": 0.5}).select(*keys, "mean", "median", "std")
 
 
-def component_stats(value: str) -> list[Column]:
+def component_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean, population deviation, 5th, 50th and 95th percentile of finite values, 0 without any."""
-    x = F.when(finite(value), F.col(value))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return [zero(F.avg(x)).alias("mean"), zero(F.stddev_pop(x)).alias("std"), *(zero(F.percentile(x, p / 100)).alias(f"p{p:02d}") for p in (5, 50, 95))]
+    rows = df.select(*keys, F.when(finite(value), F.col(value)).alias(value))
+    out = described(rows, keys, value, [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")], {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return out.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "std", "p05", "p50", "p95")])
+
+
+def stacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Several numeric columns as rows of name and value."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
+    return df.select(F.explode(pairs).alias("x")).select("x.*")
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A row for each column: mean, median, population deviation, minimum, maximum. One pass over df."""
-    aggs = [F.struct(F.lit(c).alias("name"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.stddev_pop(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in columns]
-    return df.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    """A row for each column: mean, median, population deviation, minimum, maximum."""
+    moments = [F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")]
+    return described(stacked(df, columns), ["name"], "value", moments, {"median": 0.5}).select("name", "mean", "median", "std", "min", "max")
 
 
-def gap_stats(value: str) -> list[Column]:
-    """The distribution of a gap: moments, range, and four percentiles."""
+def gap_stats(df: DataFrame, value: str) -> DataFrame:
+    """The distribution of a gap in one row: count, moments, range, and five percentiles."""
     x = F.col(value)
-    return [F.avg(x).alias("gap_mean"), F.percentile(x, 0.5).alias("gap_median"), F.stddev_pop(x).alias("gap_std"), F.min(x).cast("double").alias("gap_min"), F.max(x).cast("double").alias("gap_max"), *(F.percentile(x, p / 100).alias(f"gap_p{p}") for p in (10, 25, 75, 90))]
+    moments = [F.count("*").alias("n"), F.avg(x).alias("gap_mean"), F.stddev_pop(x).alias("gap_std"), F.min(x).cast("double").alias("gap_min"), F.max(x).cast("double").alias("gap_max")]
+    return described(df, [], value, moments, {"gap_median": 0.5, **{f"gap_p{p}": p / 100 for p in (10, 25, 75, 90)}})
 
 
 def counts_per(df: DataFrame, key: str) -> DataFrame:
@@ -111,11 +130,11 @@ def clamped_std(value: str, least: float = 1e-8) -> Column:
     return F.greatest(F.coalesce(F.stddev_samp(value), F.lit(0.0)), F.lit(least))
 
 
-def histogram(df: DataFrame, value: str, bins: int, low: Column | None = None, high: Column | None = None) -> DataFrame:
-    """Rows of each of equal bins from low to high (by default the range), the last closed on both sides;
-    values outside are dropped. Bins that are empty do not appear."""
+def histogram(df: DataFrame, value: str, bins: int, shares: tuple[float, float] | None = None) -> DataFrame:
+    """Rows of each of equal bins over the range of values, or between two percentiles of it, the last bin
+    closed on both sides; values outside are dropped. Bins that are empty do not appear."""
     x = F.col(value).cast("double")
-    range_ = df.agg((F.min(x) if low is None else low).alias("lo"), (F.max(x) if high is None else high).alias("hi"))
+    range_ = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")) if shares is None else percentiles(df, [], value, {"lo": shares[0], "hi": shares[1]})
     inside = df.select(x.alias("x")).join(F.broadcast(range_)).where("x >= lo and x <= hi")
     bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))).otherwise(F.lit(0))
     return inside.groupBy(bucket.cast("int").alias("bin"), "lo", "hi").agg(F.count("*").alias("n")).select("bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("left_edge"), "n")

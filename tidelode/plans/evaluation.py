@@ -105,13 +105,13 @@ def stability_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of event values by type."""
-    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(*stats.component_stats("value"))
+    rows = stats.component_stats(table(spark, sf_dir, "events"), ["event_type"], "value")
     return rows.select("event_type", *[r6(c) for c in ("mean", "std", "p05", "p50", "p95")])
 
 
 def energy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, median and deviation of unit prices by type."""
-    rows = unit_prices(spark, sf_dir).groupBy("formula").agg(*stats.energy_summary("e_per_atom"))
+    rows = stats.energy_summary(unit_prices(spark, sf_dir), ["formula"], "e_per_atom")
     return rows.select("formula", r6("mean"), r6("median"), r6("std"))
 
 
@@ -129,7 +129,7 @@ def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sft_source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source with their share and lengths."""
     docs = table(spark, sf_dir, "documents")
-    rows = stats.fractions(docs, "source").join(docs.groupBy("source").agg(*stats.energy_summary("n_chars")), "source")
+    rows = stats.fractions(docs, "source").join(stats.energy_summary(docs, ["source"], "n_chars"), "source")
     return rows.select("source", "n", r6("fraction"), r6("mean"), r6("median"), r6("std"))
 
 
@@ -161,8 +161,7 @@ def histogram_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def histogram_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty-nine bins between the first and the last percentile."""
-    edge = lambda p: F.percentile("value", p)
-    return stats.histogram(table(spark, sf_dir, "events"), "value", 59, edge(0.01), edge(0.99)).select("bin", r6("left_edge"), "n")
+    return stats.histogram(table(spark, sf_dir, "events"), "value", 59, (0.01, 0.99)).select("bin", r6("left_edge"), "n")
 
 
 def ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +175,7 @@ def three_way_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     phases = {"F": "baseline", "O": "sft", "P": "dpo"}
     orders = table(spark, sf_dir, "orders").withColumn("phase", F.element_at(F.create_map(*[F.lit(x) for p in phases.items() for x in p]), F.col("o_orderstatus")))
     each = orders.groupBy("o_orderpriority", "phase").agg(F.count("*").alias("n"), stats.rate(F.count_if(F.col("o_totalprice") > 150000), F.count("*")).alias("stability"), F.avg("o_totalprice").alias("mean"))
-    wide = joins.by_phase(each, ["o_orderpriority"], "phase", list(phases.values()), F.col("stability"), "stability").join(joins.by_phase(each, ["o_orderpriority"], "phase", list(phases.values()), F.col("mean"), "energy_mean"), "o_orderpriority")
+    wide = joins.by_phase(each, ["o_orderpriority"], "phase", list(phases.values()), {"stability": F.col("stability"), "energy_mean": F.col("mean")})
     gain = F.round(F.col("dpo_stability") - F.col("baseline_stability"), 6)
     return wide.select("o_orderpriority", *[r6(f"{p}_{m}") for m in ("stability", "energy_mean") for p in phases.values()], gain.alias("delta_dpo"), r6(F.col("sft_stability") - F.col("baseline_stability"), "delta_sft"), E.verdict(gain).alias("verdict"))
 
@@ -186,7 +185,7 @@ def cross_branch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_totalprice")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     each = orders.join(customers, "o_custkey").groupBy("c_mktsegment", "o_orderstatus").agg(F.count("*").alias("n"))
-    return joins.by_phase(each, ["c_mktsegment"], "o_orderstatus", ["F", "O", "P"], F.col("n"), "orders")
+    return joins.by_phase(each, ["c_mktsegment"], "o_orderstatus", ["F", "O", "P"], {"orders": F.col("n")})
 
 
 def timing_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

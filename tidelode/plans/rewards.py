@@ -92,7 +92,7 @@ def pair_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution of the gaps of these pairs, and pairs a language."""
     pairs = _pairs(spark, sf_dir).withColumn("gap", F.col("chosen_reward") - F.col("rejected_reward"))
     per = stats.counts_per(pairs, "lang").select("groups", r6("mean", "mean_pairs"), "least", "most", r6("std", "std_pairs"))
-    gaps = pairs.agg(F.count("*").alias("n"), *stats.gap_stats("gap"))
+    gaps = stats.gap_stats(pairs, "gap")
     return gaps.select("n", *[r6(c) for c in gaps.columns[1:]]).join(F.broadcast(per))
 
 
