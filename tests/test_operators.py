@@ -144,6 +144,13 @@ def test_gap_is_inclusive(spark):
     assert sampling.preference_pairs(rows, "g", "i", "v", 0.5, 9, 1).count() == 1
 
 
+def test_draws_of_large_pools(spark):
+    rows = numbers(spark, range(200)).withColumns({"in_top": F.col("v") >= 100, "in_bottom": F.col("v") < 100})
+    pairs = sampling.preference_pairs(rows, "g", "i", "v", 50.0, 30, 1).collect()
+    assert len(pairs) == len({(p.chosen_i, p.rejected_i) for p in pairs}) == 30
+    assert all(p.chosen_reward - p.rejected_reward >= 50 for p in pairs)
+
+
 def test_allocation(spark):
     counts = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "target string, n long")
     assert {r.target: r.alloc for r in sampling.checked_allocation(counts, 2).collect()} == {"a": 1, "b": 1, "c": 0}

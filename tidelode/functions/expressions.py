@@ -256,6 +256,11 @@ def hash_order(seed: int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
 
 
+def draw(seed: int, n: Column, *keys: Column | str) -> Column:
+    """A whole number from 0 to n - 1 by hash."""
+    return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("bigint") % n
+
+
 def uniform(seed: int, *keys: Column | str) -> Column:
     """A draw from [0, 1) by hash: the first 8 hexadecimal digits over their range."""
     return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("double") / 4294967296.0

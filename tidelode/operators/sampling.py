@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelode.functions.expressions import hash_order
+from tidelode.functions.expressions import draw, hash_order
 from tidelode.operators.ranking import placed
 
 
@@ -68,22 +68,37 @@ def take_allocated(df: DataFrame, shares: DataFrame, target: str, seed: int, key
     return rows.join(F.broadcast(shares.select(target, "alloc")), target).where("place <= alloc").drop("place", "group_size", "alloc")
 
 
-def preference_pairs(df: DataFrame, prompt: str, key: str, reward: str, gap: float, cap: int, seed: int, most_tokens: int | None = None, tokens: str = "n_tokens") -> DataFrame:
+def preference_pairs(df: DataFrame, prompt: str, key: str, reward: str, gap: float, cap: int, seed: int, most_tokens: int | None = None, tokens: str = "n_tokens", tries: int = 20) -> DataFrame:
     """Pairs (chosen, rejected) of a prompt's top and bottom pool with a reward gap of at least `gap`, at
     most `cap` a prompt, by hash order. df has in_top and in_bottom; keep texts out of it and join them
     to the result.
 
-    The pools are joined on the prompt with the gap as a range condition. Only the cap's rows of each
-    prompt pass the shuffle of the ranking, as Spark cuts groups to the limit on the map side.
+    Pools are never crossed whole: a prompt has tries * cap draws of a place in each pool (or all pairs, if
+    these are no more), and draws are joined to the pools by place. So a prompt costs as many rows however
+    large its pools are.
     """
-    side = lambda flag, p: df.where(flag).select(prompt, F.col(key).alias(f"{p}_{key}"), F.col(reward).alias(f"{p}_reward"), *([F.col(tokens).alias(f"{p}_tokens")] if most_tokens else []))
-    top, bottom = side("in_top", "chosen"), side("in_bottom", "rejected")
-    if most_tokens:
-        top, bottom = top.where(F.col("chosen_tokens") <= most_tokens), bottom.where(F.col("rejected_tokens") <= most_tokens)
-    pairs = top.join(bottom, prompt).where((F.col(f"chosen_{key}") != F.col(f"rejected_{key}")) & (F.col("chosen_reward") - F.col("rejected_reward") >= gap))
+    cols = [prompt, F.col(key), F.col(reward), *([F.col(tokens)] if most_tokens else [])]
+
+    def pool(flag: str, side: str) -> DataFrame:
+        rows = df.where(flag).select(*cols)
+        if most_tokens:
+            rows = rows.where(F.col(tokens) <= most_tokens)
+        rows = placed(rows, [prompt], [-F.col(reward), key], f"{side}_place", f"{side}_size")
+        return rows.withColumnsRenamed({key: f"{side}_{key}", reward: f"{side}_reward", tokens: f"{side}_tokens"})
+
+    top, bottom = pool("in_top", "chosen"), pool("in_bottom", "rejected")
+    sizes = top.groupBy(prompt).agg(F.max("chosen_size").alias("nt")).join(bottom.groupBy(prompt).agg(F.max("rejected_size").alias("nb")), prompt)
+    limit = tries * cap
+    draws = sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("nt") * F.col("nb"), F.lit(limit)) - 1)))
+    all_ = F.col("nt") * F.col("nb") <= limit
+    chosen = F.when(all_, F.floor(F.col("i") / F.col("nb"))).otherwise(draw(seed, F.col("nt"), prompt, "i", F.lit("c"))) + 1
+    rejected = F.when(all_, F.col("i") % F.col("nb")).otherwise(draw(seed, F.col("nb"), prompt, "i", F.lit("r"))) + 1
+    places = draws.select(prompt, chosen.alias("chosen_place"), rejected.alias("rejected_place")).distinct()
+    pairs = places.join(top, [prompt, "chosen_place"]).join(bottom, [prompt, "rejected_place"])
+    pairs = pairs.where((F.col(f"chosen_{key}") != F.col(f"rejected_{key}")) & (F.col("chosen_reward") - F.col("rejected_reward") >= gap))
     order: list[Column] = [hash_order(seed, f"chosen_{key}", f"rejected_{key}"), F.col(f"chosen_{key}"), F.col(f"rejected_{key}")]
     rank = F.row_number().over(Window.partitionBy(prompt).orderBy(*order))
-    return pairs.withColumn("__rank", rank).where(F.col("__rank") <= cap).drop("__rank")
+    return pairs.withColumn("__rank", rank).where(F.col("__rank") <= cap).drop("__rank", "chosen_place", "rejected_place", "chosen_size", "rejected_size")
 
 
 def epochs(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:

@@ -173,9 +173,17 @@ POOLS = """
           select doc_id, lang, n_chars::double as reward, row_number() over (partition by lang order by n_chars desc, doc_id) as rn, count(*) over (partition by lang) as n from documents),
         pools as (select *, rn <= greatest(1, floor(n * 0.1)) as in_top, rn > n - greatest(1, floor(n * 0.1)) as in_bottom from ranked)"""
 PAIRS = f"""{POOLS},
+        tops as (select *, row_number() over (partition by lang order by reward desc, doc_id) as p, count(*) over (partition by lang) as nt from pools where in_top),
+        bottoms as (select *, row_number() over (partition by lang order by reward desc, doc_id) as p, count(*) over (partition by lang) as nb from pools where in_bottom),
+        sizes as (select lang, max(nt) as nt, max(nb) as nb from tops join bottoms using (lang) group by lang),
+        draws as (
+          select lang, i, case when nt * nb <= 6000 then i // nb else ('0x' || substr(md5('42|' || lang || '|' || i || '|c'), 1, 8))::bigint % nt end + 1 as c,
+                 case when nt * nb <= 6000 then i % nb else ('0x' || substr(md5('42|' || lang || '|' || i || '|r'), 1, 8))::bigint % nb end + 1 as r
+          from sizes, unnest(range(least(nt * nb, 6000)::bigint)) as x(i)),
         crossed as (
-          select t.lang, t.doc_id as chosen_doc_id, b.doc_id as rejected_doc_id, t.reward as chosen_reward, b.reward as rejected_reward
-          from pools t join pools b on t.lang = b.lang and t.in_top and b.in_bottom and t.doc_id <> b.doc_id and t.reward - b.reward >= 1000),
+          select distinct t.lang, t.doc_id as chosen_doc_id, b.doc_id as rejected_doc_id, t.reward as chosen_reward, b.reward as rejected_reward
+          from draws d join tops t on t.lang = d.lang and t.p = d.c join bottoms b on b.lang = d.lang and b.p = d.r
+          where t.doc_id <> b.doc_id and t.reward - b.reward >= 1000),
         pairs as (
           select * from crossed qualify row_number() over (partition by lang order by md5('42|' || chosen_doc_id || '|' || rejected_doc_id), chosen_doc_id, rejected_doc_id) <= 300)"""
 ALLOC = """
