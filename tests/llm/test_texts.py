@@ -164,7 +164,7 @@ def test_long_units(pieces):
 @pytest.mark.parametrize("leaf", [1, 3, 64])
 def test_edits(monkeypatch, leaf):
     monkeypatch.setattr(tt, "LEAF", leaf)
-    counter, rng = tt.Counter(tokenizer_file("byte_bpe_50k.tiktoken")), random.Random(leaf)
+    counter, rng = tt.Counter(tt.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))), random.Random(leaf)
     letters = "ab é'slltdmrev   \n\t1 2.,!-🎉"
     for _ in range(300):
         text = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 30, 200])))
@@ -179,7 +179,7 @@ def test_edits(monkeypatch, leaf):
 
 
 def test_edits_touch_little():
-    counter = tt.Counter(tokenizer_file("byte_bpe_50k.tiktoken"))
+    counter = tt.Counter(tt.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")))
     tree = tt.TokenTree(counter, "some words here " * 5000)
     tree.edit(40_000, 40_003, "X")
     assert tree.reread < 20
@@ -189,7 +189,7 @@ def test_edits_touch_little():
 
 def test_edited_counts(spark, edge, edge_rows):
     path = tokenizer_file("byte_bpe_50k.tiktoken")
-    counter = tt.Counter(path)
+    counter = tt.Counter(tt.read_ranks(path))
     got = tt.edited_counts(spark, edge, path).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(counter.coding.encode_ordinary(t or ""))) for i, t in edge_rows)
     docs = spark.createDataFrame([(1, "mail me@example.com or +1 (706) 555-3138 now", [(0, 4, "write")]), (2, None, None)], "doc_id long, text string, edits array<struct<start:int,end:int,put:string>>")

@@ -42,13 +42,12 @@ PERSONAL = (
 
 
 class Counter:
-    """Tokens of pre-tokens, by the merge ranks of a tiktoken file."""
+    """Tokens of pre-tokens, by the merge ranks of a tiktoken file's content."""
 
-    def __init__(self, path: str):
+    def __init__(self, content: bytes):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         self.coding = tiktoken.Encoding("counted", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
@@ -199,9 +198,15 @@ def personal_edits(patterns: list, text: str) -> list[tuple[int, int, str]]:
     return out[::-1]
 
 
-def _edited(path: str, with_edits: bool):
+def read_ranks(path: str) -> bytes:
+    """The content of a tiktoken file; the driver reads it and tasks get it with their code."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def _edited(content: bytes, with_edits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = Counter(content)
         patterns = [(regex.compile(p), tag) for p, tag in PERSONAL]
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
@@ -227,4 +232,4 @@ def edited_counts(spark: SparkSession, docs: DataFrame, ranks_path: str, id_col:
     data is edited out.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(edits_col).alias("edits")] if edits_col else []))
-    return rows.mapInArrow(_edited(ranks_path, edits_col is not None), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, n_tokens_after bigint, n_edits bigint, n_pretokens bigint, n_reread bigint")
+    return rows.mapInArrow(_edited(read_ranks(ranks_path), edits_col is not None), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, n_tokens_after bigint, n_edits bigint, n_pretokens bigint, n_reread bigint")
