@@ -301,7 +301,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     splitters: list[bytes] = []
     if buckets > 1:
         rate = min(1.0, SAMPLES * buckets / total)
-        drawn = sorted({bytes(r[0]) for r in fetched.where(F.xxhash64("id", "mark", "place") % 1_000_000 < F.lit(int(rate * 1_000_000))).select("suffix").collect()})
+        drawn = sorted({bytes(r[0]) for r in fetched.where(F.pmod(F.xxhash64("id", "mark", "place"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1).select("suffix").collect()})
         splitters = [drawn[k * len(drawn) // buckets] for k in range(1, buckets)] if len(drawn) >= buckets else drawn
     dealt = fetched.mapInArrow(_bucketed(splitters), "id bigint, mark bigint, place bigint, alone boolean, suffix binary, front binary, bucket bigint")
     compared = work.write(dealt.groupBy("bucket").applyInArrow(_compared(shape, splitters), _SPAN), "compared")
