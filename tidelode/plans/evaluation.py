@@ -27,7 +27,7 @@ def candidate_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("lang") == "en").alias("valid"), (F.col("n_chars") > 100).alias("hit_target"))
     labels = table(spark, sf_dir, "labels")
     rewards = labels.select("doc_id", F.when(F.col("toxic") == 1, -1.0).otherwise(1.0).alias("reward"), (1 - F.col("quality")).alias("gate_failed"))
-    scores = labels.where("doc_id % 7 <> 0").select("doc_id", F.col("quality").alias("score"))
+    scores = labels.where("quality = 1 or toxic = 1").select("doc_id", F.col("quality").alias("score"))
     rows = joins.candidate_reasons(docs, scores, rewards, "doc_id", F.col("valid"), "score", "reward", "gate_failed")
     return joins.reason_counts(rows)
 
@@ -265,7 +265,7 @@ ORACLE_SQL = {
     "candidate_drop_reasons": """
         with rows_ as (
           select case when not (d.lang = 'en' and d.n_chars > 100) then 'invalid_or_mismatch'
-                      when l.doc_id is null or l.doc_id % 7 = 0 then 'missing_score'
+                      when l.doc_id is null or not (l.quality = 1 or l.toxic = 1) then 'missing_score'
                       when l.quality = 0 then 'gate_failed'
                       when l.toxic = 1 then 'negative_reward' else 'kept' end as drop_reason
           from documents d left join labels l using (doc_id))

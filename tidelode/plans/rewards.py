@@ -24,9 +24,10 @@ def percentile_rank_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def percentile_rank_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later events ranked among the first 3000."""
-    events = _events(spark, sf_dir)
-    rows = ranking.percentile_rank_in(events.where("event_id >= 3000"), events.where("event_id < 3000"), ["event_type"], "value")
+    """Events from the tenth of January on ranked among those before."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    late = F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")
+    rows = ranking.percentile_rank_in(events.where(late), events.where(~late), ["event_type"], "value")
     return rows.select("event_id", r6("pr"))
 
 
@@ -212,10 +213,10 @@ ORACLE_SQL = {
         select event_id, round(pr, 6) as pr, round(1 - least(0.95, greatest(0.05, pr)), 6) as r_proxy
         from (select event_id, percent_rank() over (partition by event_type order by value) as pr from events)""",
     "percentile_rank_buffer": """
-        with b as (select event_type, value from events where event_id < 3000),
+        with b as (select event_type, value from events where ts < '2024-01-10'),
         n as (select event_type, count(*) as n from b group by event_type),
         u as (
-          select e.event_id, e.event_type, e.value, 0 as is_buffer from events e where event_id >= 3000
+          select e.event_id, e.event_type, e.value, 0 as is_buffer from events e where ts >= '2024-01-10'
           union all select null, event_type, value, 1 from b),
         c as (select *, sum(is_buffer) over (partition by event_type order by value) - sum(is_buffer) over (partition by event_type, value) as below from u)
         select event_id, round(case when n = 1 then 0.5 else below / (n - 1) end, 6) as pr from c join n using (event_type) where is_buffer = 0""",

@@ -32,14 +32,15 @@ def element_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbour_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each vector the others of its label within a distance: how many, and the nearest.
+    """Of each vector the others of its structure within a distance: how many, and the nearest.
 
-    Labels bound who may be a neighbour, as cells do for sites of a structure.
+    A hundred vectors in a row stand for the sites of a structure, which has a bounded number of them, so the
+    join by structure grows with the table and not with its square.
     """
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", "label", "embedding")
-    other = v.select(F.col("vec_id").alias("other_id"), "label", F.col("embedding").alias("other"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 100).alias("structure"), "embedding")
+    other = v.select(F.col("vec_id").alias("other_id"), "structure", F.col("embedding").alias("other"))
     square = F.aggregate(F.zip_with("embedding", "other", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda t, x: t + x)
-    near = v.join(other, "label").where("vec_id <> other_id").withColumn("d", F.sqrt(square)).where("d <= 1.35")
+    near = v.join(other, "structure").where("vec_id <> other_id").withColumn("d", F.sqrt(square)).where("d <= 1.35")
     return near.groupBy("vec_id").agg(F.count("*").alias("neighbours"), r6(F.min("d"), "nearest"))
 
 
@@ -62,7 +63,7 @@ def data_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def garbage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of the commonest character in the first lines of documents of many lines."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") < 4000).select("doc_id", E.char_ratio("text").alias("ratio"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", E.char_ratio("text").alias("ratio"))
     return docs.select("doc_id", r6("ratio"), (F.col("ratio") > crystal.MOST_REPEATED).alias("garbage"))
 
 
@@ -87,13 +88,12 @@ def sequence_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as token sequences: mean over a completion, clamped, padded and shifted."""
     v = table(spark, sf_dir, "embeddings")
     ids = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000).cast("int"))
-    short = F.slice(ids, 1, 5)
     return v.select(
         "vec_id",
         r6(E.completion_logp("embedding", F.col("label")), "logp"),
-        F.array_join(F.transform(E.clamp_ids(short, 100), lambda x: x.cast("string")), ",").alias("clamped"),
-        F.array_join(F.transform(E.pad_right(short, 7, F.lit(0)), lambda x: x.cast("string")), ",").alias("padded"),
-        F.array_join(F.transform(E.shifted_targets(short, 6), lambda x: x.cast("string")), ",").alias("targets"),
+        F.array_join(F.transform(E.clamp_ids(ids, 100), lambda x: x.cast("string")), ",").alias("clamped"),
+        F.array_join(F.transform(E.pad_right(ids, 66, F.lit(0)), lambda x: x.cast("string")), ",").alias("padded"),
+        F.array_join(F.transform(E.shifted_targets(ids, 65), lambda x: x.cast("string")), ",").alias("targets"),
     )
 
 
@@ -139,7 +139,7 @@ class DataBlocks:
 
 def udtf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of documents with two of them each, by a table function over a lateral join."""
-    body = F.concat(F.lit("data_"), F.col("doc_id").cast("string"), F.lit("\n"), F.left("text", F.lit(20)), F.lit("\nDATA_next"))
+    body = F.concat(F.lit("data_"), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\nDATA_next"))
     docs = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
     return docs.lateralJoin(DataBlocks(F.col("body").outer())).select("doc_id", "line_no", "line")
 
@@ -172,8 +172,9 @@ ORACLE_SQL = {
                round(greatest(0, 0.9::double - (0.35 * missing / len(t) + 0.25 * extra / len(g))), 6) as r_comp
         from x""",
     "neighbour_range_join": """
-        with v as (select * from embeddings where vec_id < 500),
-        n as (select a.vec_id, list_distance(a.embedding::double[], b.embedding::double[]) as d from v a join v b on a.label = b.label and a.vec_id <> b.vec_id)
+        with n as (
+          select a.vec_id, list_distance(a.embedding::double[], b.embedding::double[]) as d
+          from embeddings a join embeddings b on a.vec_id // 100 = b.vec_id // 100 and a.vec_id <> b.vec_id)
         select vec_id, count(*) as neighbours, round(min(d), 6) as nearest from n where d <= 1.35 group by vec_id""",
     "prompt_formula": """
         select * from (values ('LiFePO4', 4::int, 'data_Li4Fe4P4O16'), ('NaCl', 4, 'data_Na4Cl4'), ('TiO2', 1, 'data_TiO2'), ('BaTiO3', 2, 'data_Ba2Ti2O6'), ('Ca3N2O12H2', 3, 'data_Ca9N6O36H6')) as t(formula, z, prompt)""",
@@ -183,7 +184,7 @@ ORACLE_SQL = {
         from documents""",
     "garbage_ratio": """
         with h as (
-          select doc_id, len(string_split(text, chr(10))) as n_lines, array_to_string(string_split(text, chr(10))[1:50], '') as head from documents where length(text) < 4000),
+          select doc_id, len(string_split(text, chr(10))) as n_lines, array_to_string(string_split(text, chr(10))[1:50], '') as head from documents),
         c as (select doc_id, ch, count(*) as n from h, unnest(string_split(head, '')) as t(ch) where head <> '' group by all),
         m as (select doc_id, max(n) as n from c group by doc_id),
         r as (select h.doc_id, case when n_lines > 10 and m.n is not null then m.n / length(head) else 0.0 end as ratio from h left join m using (doc_id))
@@ -194,10 +195,10 @@ ORACLE_SQL = {
                strftime(to_timestamp(page_id * 86400) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as "at"
         from pages""",
     "sequence_ops": """
-        with x as (select vec_id, label, embedding, list_transform(embedding[1:5], lambda v: floor(abs(v::double) * 1000)::int) as ids from embeddings)
+        with x as (select vec_id, label, embedding, list_transform(embedding, lambda v: floor(abs(v::double) * 1000)::int) as ids from embeddings)
         select vec_id, round(list_avg(list_transform(embedding[greatest(label - 1, 0) + 1 : 64], lambda v: v::double)), 6) as logp,
                array_to_string(list_transform(ids, lambda v: least(v, 99)), ',') as clamped, array_to_string(list_concat(ids, [0, 0]), ',') as padded,
-               array_to_string(list_concat(ids[2:5], [-1, -1]), ',') as targets
+               array_to_string(list_concat(ids[2:64], [-1, -1]), ',') as targets
         from x""",
     "backoff_schedule": """
         with recursive s(attempt, t, k) as (
@@ -208,7 +209,7 @@ ORACLE_SQL = {
         select event_id, (case when pos - lag(pos) over (partition by k order by pos) <= 200 then 1 else 0 end)::int as duplicate_flag from s""",
     "mapinpandas_scorer": "select doc_id, length(text) / 1000 as score_e_per_atom, null::varchar as error_type from documents",
     "udtf_blocks": """
-        with x as (select doc_id, 'data_' || doc_id || chr(10) || text[1:20] || chr(10) || 'DATA_next' as body from documents),
+        with x as (select doc_id, 'data_' || doc_id || chr(10) || text || chr(10) || 'DATA_next' as body from documents),
         l as (select doc_id, unnest(range(len(string_split(body, chr(10)))))::int as line_no, unnest(string_split(body, chr(10))) as line from x)
         select * from l where starts_with(lower(ltrim(line)), 'data_')""",
     "lora_merge": """
