@@ -118,6 +118,36 @@ def test_near_families(spark, monkeypatch):
     assert got == near_plain(rows)
 
 
+def links_plain(rows):
+    """Of each document the other sets, and the other documents, that link with it."""
+    sets = {i: shingles(t) for i, t in rows}
+    like = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    return {i: (sum(like(s, o) for o in set(sets.values()) - {s}), sum(like(s, o) for j, o in sets.items() if j != i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [512, 6])
+def test_near_counts_every_link(spark, monkeypatch, block):
+    """Families of distinct near copies, with copies of some, a chain, a pair and texts without links."""
+    import random
+
+    rng = random.Random(5)
+    texts = []
+    for f, size in ((0, 25), (1, 12), (2, 2)):
+        for _ in range(size):
+            w = [f"f{f}w{x}" for x in range(150)]
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += texts[:3] + [texts[30]] + [texts[0].upper(), None, " ", "alone with few words"]
+    texts += [" ".join(f"c{x}" for x in range(9 * k, 9 * k + 100)) for k in range(12)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+    got = {r.doc_id: (r.n_links, r.n_similar) for r in join(spark, docs).collect()}
+    want = links_plain(rows)
+    assert got == want and max(links for links, _ in want.values()) >= 20
+
+
 def test_near_stage_and_empty(spark, edge, edge_rows):
     assert join(spark, edge.limit(0)).count() == 0
     blank = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")

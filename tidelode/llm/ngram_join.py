@@ -13,8 +13,10 @@ make one class; only its smallest identifier goes on. The rest runs in three ste
    has bound the overlap from above; pairs that may still reach t are intersected as sorted arrays.
    A coarse bitmap, which costs half to move, goes first.
 
-Pairs inside a component are skipped since they cannot change it, so the links found span every component
-but are fewer than all links, and groups of near copies do not grow as their square.
+Pairs inside a component are skipped meanwhile since they cannot change it. Both ends of a link lie in one
+component, so the links are counted at the end: in each component every class is compared with every other,
+by exact overlaps of blocks of sets. Counts, not pairs, leave a block, so no table grows as the square of a
+family; the comparisons do.
 
 Defined cases: null, empty and blank texts have an empty set, size 0, and are linked with nothing; a text
 with fewer words than n has one element, its whole sequence; rows that repeat an identifier count as one
@@ -49,6 +51,10 @@ TILE_RECORDS, PAIRED = 400_000, 16
 #: tells unlike sets apart, and the fewest bits.
 BITS_EACH, COARSE_EACH, FEWEST_BITS = 4, 2, 256
 
+#: Members and elements of a block of a component whose links are counted, elements of the components that one
+#: task counts together, and cells of the matrix in which overlaps are added up.
+LINK_BLOCK, LINK_ELEMENTS, LINK_TOGETHER, LINK_CELLS = 512, 1_000_000, 500_000, 4 << 20
+
 _C = bt.splitmix(np.arange(5000, 5064, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -410,6 +416,62 @@ def _nearest(percent: int):
     return run
 
 
+# ---- links inside components
+
+
+def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of sets[rows] with sets[cols]."""
+    size = np.array([len(x) for x in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(element) > 1
+    owner, element = np.repeat(np.arange(len(sets)), size), element.ravel()
+    keep = shared[element]
+    owner, element = owner[keep], (np.cumsum(shared) - 1)[element[keep]]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    both = np.zeros((len(rows), len(cols)), np.int64)
+    # float32 holds counts up to 2**24 exactly; steps are narrower by far
+    step = max(1, LINK_CELLS // len(sets))
+    for lo in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(element, [lo, lo + step])
+        held = np.zeros((len(sets), step), np.float32)
+        held[owner[a:b], element[a:b] - lo] = 1
+        both += (held[rows] @ held[cols].T).astype(np.int64)
+    return both
+
+
+def _linked(percent: int):
+    """Of a cell, two blocks of a component or several small components: each class's links there, and
+    the documents that they reach."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("root", "ascending"), ("class", "ascending")])
+        root, i, n, copies, block = (table.column(k).to_numpy() for k in ("root", "class", "n", "copies", "block"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("bits")]
+        one = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        links, similar = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        cut = np.flatnonzero(np.diff(root, prepend=root[0] ^ 1))
+        for lo, hi in zip(cut, np.append(cut[1:], len(i)), strict=True):
+            at = np.arange(hi - lo)
+            rows = at if one else np.flatnonzero(block[lo:hi] == table.column("x")[0].as_py())
+            cols = at if one else np.setdiff1d(at, rows)
+            if not (len(rows) and len(cols)):
+                continue
+            both = overlaps(sets[lo:hi], rows, cols)
+            rows, cols = rows + lo, cols + lo
+            ok = 100 * both >= percent * (n[rows][:, None] + n[cols][None, :] - both)
+            if one:
+                np.fill_diagonal(ok, False)
+            links[rows] += ok.sum(axis=1)
+            similar[rows] += ok @ copies[cols]
+            if not one:
+                links[cols] += ok.sum(axis=0)
+                similar[cols] += copies[rows] @ ok
+        return pa.table({"class": pa.array(i), "n_links": pa.array(links), "n_similar": pa.array(similar)})
+
+    return run
+
+
 # ---- the join
 
 
@@ -457,8 +519,8 @@ class NgramJoin:
         self.work.drop(f"{name}-sets")
         return links
 
-    def run(self) -> tuple[DataFrame, DataFrame]:
-        """(documents: id, n, root, class; links: a, b between classes)."""
+    def run(self) -> DataFrame:
+        """Documents: id, n, root, class."""
         work, percent = self.work, self.percent
         seen = work.write(self.docs.mapInArrow(_seen(self.n), _SEEN), "seen")
         rows = seen.where("n is not null").select("id", "n", "d1", "d2", "sketch")
@@ -512,23 +574,48 @@ class NgramJoin:
         # back to documents: copies to their class, classes to their root, empty sets to themselves
         named = rows.join(sized(copies, 40), "id", "left").withColumn("class", F.coalesce("class", "id"))
         named = named.join(sized(roots.withColumnRenamed("node", "class"), 40), "class", "left").select("id", "n", F.coalesce("root", "class").alias("root"), "class")
-        return named, links
+        self.classes, self.roots = classes, roots
+        return named
+
+    def degrees(self) -> DataFrame:
+        """After run(), of each class with links: class, n_links (to other classes), n_similar (documents of these)."""
+        work = self.work
+        members = work.write(self.roots.withColumnRenamed("node", "class").join(self.classes.select("class", "n", "copies"), "class"), "members")
+        groups = work.write(members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("elements"), F.sum("copies").alias("docs")), "groups")
+        # the two classes of a component of two are linked, or it would not be one
+        two = members.join(groups.where("m = 2"), "root").select("class", F.lit(1).cast("bigint").alias("n_links"), (F.col("docs") - F.col("copies")).alias("n_similar"))
+        blocks = F.greatest(F.ceil(F.col("m") / LINK_BLOCK), F.ceil(F.col("elements") / LINK_ELEMENTS)).cast("int")
+        wanted = members.join(groups.where("m > 2").select("root", blocks.alias("blocks")), "root")
+        wanted = work.write(wanted.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "link-members")
+        together = max(1, (wanted.where("blocks = 1").agg(F.sum("n")).head()[0] or 0) // LINK_TOGETHER)
+        key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(together))).otherwise(F.col("root"))
+        sets = work.write(self._made(work.write(wanted.select(F.col("class").alias("id")), "link-ids"), True).select(F.col("id").alias("class"), "bits"), "link-sets")
+        cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y"))))
+        cells = wanted.join(sets, "class").select(key.alias("key"), cell.alias("cell"), "root", "class", "n", "copies", "block", "bits")
+        cells = cells.select("key", "cell.x", "cell.y", "root", "class", "n", "copies", "block", "bits").groupBy("key", "x", "y")
+        found = work.write(cells.applyInArrow(_linked(self.percent), "class bigint, n_links bigint, n_similar bigint"), "linked")
+        work.drop("link-sets")
+        return found.groupBy("class").agg(F.sum("n_links").alias("n_links"), F.sum("n_similar").alias("n_similar")).unionByName(two)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, class_id, n_links.
+    """One row for each document: doc_id, n_shingles, component_id, class_id, n_links, n_similar.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of n-word shingles.
     component_id is the smallest identifier that links reach, class_id the smallest with the same set,
-    n_links the links proved for the class (enough to span its component).
+    n_links the number of other sets (classes) that link with the document's, n_similar the number of other
+    documents that link with it, those of the same set included.
     """
-    named, links = NgramJoin(spark, docs, id_col, text_col, n, percent).run()
-    degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
-    return named.join(degree, "class", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    join = NgramJoin(spark, docs, id_col, text_col, n, percent)
+    named = join.run()
+    degree = join.classes.select("class", "copies").join(join.degrees(), "class", "left")
+    degree = degree.select("class", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("n_similar", F.lit(0)) + F.col("copies") - 1).alias("n_similar"))
+    named = named.join(degree, "class", "left")
+    return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without those that another of their component, with a smaller doc_id, stands for."""
     work = Workspace(spark, "ngram-join-kept")
-    gone = work.write(ngram_join(spark, docs).where("doc_id <> component_id").select("doc_id"), "gone")
+    gone = work.write(NgramJoin(spark, docs, "doc_id", "text", 5, 75).run().where("id <> root").select(F.col("id").alias("doc_id")), "gone")
     return docs.join(sized(gone, 24), "doc_id", "left_anti")
