@@ -158,6 +158,15 @@ def test_near_stage_and_empty(spark, edge, edge_rows):
     assert sorted(r.doc_id for r in left.collect()) == sorted(roots) and len(roots) < 5 and left.columns == edge.columns
 
 
+def test_near_rows_of_one_id(spark):
+    """Rows under repeated and null ids are each compared, returned and dropped by themselves."""
+    base, other, third = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(1, base), (2, other), (2, base + " more"), (3, third), (3, "short and alone it stays"), (None, third + " end"), (None, "of its own without an id"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.text for r in ngram_join.one_of_each(spark, docs).collect() if r.text) == sorted([base, other, third, rows[4][1], rows[6][1]])
+    assert sum(r.doc_id is None for r in join(spark, docs).collect()) == 3
+
+
 def test_bounds_never_lose_a_pair():
     import numpy as np
 

@@ -90,6 +90,13 @@ def test_contamination_of_nothing(spark, edge):
     assert left.columns == edge.columns and left.count() == edge.count() - 2
 
 
+def test_contaminated_rows_of_one_id(spark):
+    rows = [(1, "one two three"), (1, "clean words"), (None, "say one two three"), (None, "nothing here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert sorted(r.text for r in dc.clean_documents(spark, docs, some).collect()) == ["clean words", "nothing here"]
+
+
 # ---- segmentation
 
 

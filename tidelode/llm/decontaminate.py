@@ -205,12 +205,13 @@ def _merged() -> F.Column:
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated ones. Of rows that repeat a doc_id all go if one is contaminated."""
-    from tidelode.llm.workspace import Workspace, sized
+    """docs without contaminated ones. Where doc_ids repeat or are null each row counts by itself."""
+    from tidelode.llm.workspace import Workspace, row_keyed, sized
 
     work = Workspace(spark, "decontaminate")
-    gone = work.write(contamination(spark, docs, benchmark).where("contaminated").select("doc_id").distinct(), "gone")
-    return docs.join(sized(gone, 24), "doc_id", "left_anti")
+    rows, key = row_keyed(docs, work)
+    gone = work.write(contamination(spark, rows, benchmark, key).where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return rows.join(sized(gone, 24), key, "left_anti").select(*docs.columns)
 
 
 def items_digest(items: list[str]) -> str:

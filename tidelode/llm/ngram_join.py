@@ -20,7 +20,8 @@ family; the comparisons do.
 
 Defined cases: null, empty and blank texts have an empty set, size 0, and are linked with nothing; a text
 with fewer words than n has one element, its whole sequence; rows that repeat an identifier count as one
-document with the smallest such set; null identifiers are returned with a null component.
+document with the smallest such set; each row with a null identifier is returned, with a null component.
+one_of_each goes by rows instead: other texts under a repeated or null identifier are compared as well.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidelode.llm import bytetext as bt
 from tidelode.llm.components import components
-from tidelode.llm.workspace import Workspace, sized
+from tidelode.llm.workspace import Workspace, row_keyed, sized
 
 #: Smallest hashes of a set by which the sketch step compares it, members of a block there, and the
 #: nearest others that each is paired with.
@@ -524,10 +525,11 @@ class NgramJoin:
         work, percent = self.work, self.percent
         seen = work.write(self.docs.mapInArrow(_seen(self.n), _SEEN), "seen")
         rows = seen.where("n is not null").select("id", "n", "d1", "d2", "sketch")
-        unique = rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+        unique = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
         if not unique:
             # where an identifier repeats, its smallest set speaks for it, from here on by one such text
-            rows = work.write(rows.groupBy("id").agg(F.min(F.struct("n", "d1", "d2", "sketch")).alias("s")).select("id", "s.*"), "rows")
+            smallest = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("n", "d1", "d2", "sketch")).alias("s")).select("id", "s.*")
+            rows = work.write(smallest.unionByName(rows.where("id is null")), "rows")
             self.docs = work.write(self.docs.mapInArrow(_digested(self.n), "id bigint, text binary, d1 bigint, d2 bigint").join(rows.select("id", "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id"]).select("id", F.col("text").cast("string").alias("text")), "docs")
         classes = work.write(rows.where("id is not null and n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("class"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
         copies = work.write(rows.join(classes.where("copies > 1").select("n", "d1", "d2", "class"), ["n", "d1", "d2"]).where("id <> class").select("id", "class"), "copies")
@@ -615,7 +617,12 @@ def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without those that another of their component, with a smaller doc_id, stands for."""
+    """docs without those that another of their component, with a smaller doc_id, stands for.
+
+    Where doc_ids repeat or are null each row counts by itself; of equal ids one row stands for the others,
+    and null ids come last.
+    """
     work = Workspace(spark, "ngram-join-kept")
-    gone = work.write(NgramJoin(spark, docs, "doc_id", "text", 5, 75).run().where("id <> root").select(F.col("id").alias("doc_id")), "gone")
-    return docs.join(sized(gone, 24), "doc_id", "left_anti")
+    rows, key = row_keyed(docs, work)
+    gone = work.write(NgramJoin(spark, rows, key, "text", 5, 75).run().where("id <> root").select(F.col("id").alias(key)), "gone")
+    return rows.join(sized(gone, 24), key, "left_anti").select(*docs.columns)

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidelode.scratch import BROADCAST_BYTES, Workspace, shared_root, sized
+from tidelode.scratch import BROADCAST_BYTES, Workspace, row_keyed, shared_root, sized
 
-__all__ = ["BROADCAST_BYTES", "Workspace", "shared_root", "sized"]
+__all__ = ["BROADCAST_BYTES", "Workspace", "row_keyed", "shared_root", "sized"]

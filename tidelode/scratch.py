@@ -65,6 +65,17 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_keyed(docs: DataFrame, work: Workspace) -> tuple[DataFrame, str]:
+    """docs, and the column that tells its rows apart: doc_id, or row__ where ids repeat or are null.
+
+    docs is then written with row__, which follows doc_id (nulls last) and the digest of the text.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs, "doc_id"
+    rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.sha2(F.col("text").cast("binary"), 256))
+    return work.write(rows.withColumn("row__", F.monotonically_increasing_id()), "row-keyed"), "row__"
+
+
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if counting shows it to be small; else as it is, to be shuffled.
 
