@@ -42,6 +42,17 @@ def test_exact(spark, edge, edge_rows, how):
     assert sum(r.kept for r in got) == groups
 
 
+def test_exact_collision_of_the_whole_digest(spark, monkeypatch):
+    """Texts whose full digests are equal stay apart by their bytes."""
+    from pyspark.sql import functions as F
+
+    sha2 = F.sha2
+    monkeypatch.setattr(F, "sha2", lambda c, bits: sha2(F.substring(c, 1, 1), bits))
+    docs = spark.createDataFrame([(1, "ab"), (2, "ac"), (3, "ab"), (4, "b"), (5, "c"), (6, "c")], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(spark, docs).collect()}
+    assert got == {1: (1, 2, True), 2: (2, 1, True), 3: (1, 2, False), 4: (4, 1, True), 5: (5, 2, True), 6: (5, 2, False)}
+
+
 def test_exact_stage(spark, edge, edge_rows):
     left = without_copies(spark, edge)
     assert left.columns == edge.columns

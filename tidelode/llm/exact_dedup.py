@@ -87,16 +87,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     stores = stores or max(spark.sparkContext.defaultParallelism, -(-rows // STORE_DIGESTS))
     hit = work.write(_settled(spark, arrivals, work, batch or {"maxBytesPerTrigger": BATCH_BYTES}, stores).where("group_size > 1"), "hit")
     # the full bytes of every hit text: equal ones meet in the map-side part of the aggregation
-    texts = docs.withColumn("digest", digest(F.col("norm"), bits)).join(sized(hit.select("digest"), 64), "digest", "left_semi")
+    texts = docs.withColumns({"digest": digest(F.col("norm"), bits), "row": F.monotonically_increasing_id()}).join(sized(hit.select("digest"), 64), "digest", "left_semi")
     variants = texts.groupBy("digest", "norm").agg(F.count("*").alias("n"))
     clashing = work.write(variants.groupBy("digest").agg(F.count("*").alias("variants")).where("variants > 1").select("digest"), "clashing")
     if clashing.isEmpty():
         return _result(arrivals.join(sized(hit, 160), "digest", "left"))
-    # texts that share a digest: grouped by their bytes, which the full SHA-256 names within one digest
-    apart = arrivals.join(sized(clashing, 64), "digest", "left_semi")
-    sole = apart.groupBy("digest", "sha").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "file")).alias("keeper"), F.count("*").alias("group_size"))
+    # texts that share a digest are read again and grouped by their bytes
+    apart = texts.join(sized(clashing, 64), "digest", "left_semi").withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    apart = work.write(apart, "apart")
+    sole = apart.groupBy("digest", "norm").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "file")).alias("keeper"), F.count("*").alias("group_size"))
     rest = arrivals.join(sized(clashing, 64), "digest", "left_anti")
-    return _result(rest.join(sized(hit, 160), "digest", "left").unionByName(apart.join(sole, ["digest", "sha"])))
+    return _result(rest.join(sized(hit, 160), "digest", "left").unionByName(apart.join(sole, ["digest", "norm"]).drop("norm")))
 
 
 def _result(rows: DataFrame) -> DataFrame:
