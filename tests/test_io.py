@@ -97,6 +97,27 @@ def test_reports(spark):
     assert "| Stability Rate | 0.1250 | 0.1230 | 0.1235 | -0.0015 |" in text and "N/A" in text and "does not improve" in text
 
 
+def test_reports_of_pairs_and_branches(spark):
+    text = reports.pair_quality("P", {"n": 3, "gap_mean": 0.5, "gap_p90": float("nan"), "groups": 2, "mean_pairs": 1.5, "least": 1, "most": 2, "std_pairs": 0.5}, ["few pairs"])
+    assert "Pairs: 3" in text and "| mean | 0.5000 |" in text and "| p90 | N/A |" in text and "| prompts | 2 |" in text and text.endswith("Warning: few pairs\n")
+    rows = spark.createDataFrame([("b", 0.5, 0.75), ("a", None, 0.5)], "branch string, base_rate double, dpo_rate double")
+    text = reports.cross_branch("B", rows, "branch", ["base", "dpo"], "rate")
+    assert "| a | N/A | 0.5000 | N/A |\n| b | 0.5000 | 0.7500 | +0.2500 |" in text
+
+
+def test_run_folders(spark, tmp_path):
+    import os
+
+    from tidelode import scratch
+
+    with scratch.run_folders():
+        work = scratch.Workspace(spark, "folders")
+        assert work.write(spark.range(3), "t").count() == 3
+        path = work.path.removeprefix("file://")
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)
+
+
 def structures(spark, rows):
     cols = "target string, seq long, e_per_atom double, min_distance double, density double, ref_density double, mean_cn double, max_cn double, same boolean, cosine double, target_elements array<string>, elements array<string>, struct_key string"
     return spark.createDataFrame([("t", i, e, d, 3.5, 3.5, 4.0, 4.0, True, 1.0, ["A"], ["A"], k) for i, (e, d, k) in enumerate(rows)], cols)

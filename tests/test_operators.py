@@ -105,6 +105,46 @@ def test_percentile_ranks(spark):
         assert r.pr == pytest.approx((buffer < r.v).sum() / 40)
 
 
+def with_nulls(spark):
+    rows = [("a", 1.0, 0), ("a", 3.0, 1), ("a", None, 2), (None, 2.0, 3), (None, 5.0, 4), (None, 2.0, 5), ("b", float("nan"), 6), ("b", 1.0, 7)]
+    return spark.createDataFrame(rows, "g string, v double, i long")
+
+
+def test_percentile_ranks_keep_null_rows(spark):
+    rows = with_nulls(spark)
+    got = {r.i: r.pr for r in ranking.percentile_rank(rows, ["g"], "v").collect()}
+    assert got == {0: 0.0, 1: 1.0, 2: None, 3: 0.0, 4: 1.0, 5: 0.0, 6: 1.0, 7: 0.0}
+    buffer = spark.createDataFrame([("a", 0.0), ("a", 2.0), ("a", None), (None, 1.0), (None, 3.0), (None, 4.0)], "g string, v double")
+    got = {r.i: r.pr for r in ranking.percentile_rank_in(rows, buffer, ["g"], "v").collect()}
+    assert got == {0: 1.0, 1: 2.0, 2: None, 3: 0.5, 4: 1.5, 5: 0.5, 6: None, 7: None}
+
+
+def test_allocated_rows_of_a_null_target(spark):
+    shares = spark.createDataFrame([("a", 2), (None, 2)], "g string, alloc long")
+    got = sampling.take_allocated(with_nulls(spark), shares, "g", 1, "i").collect()
+    assert sorted(str(r.g) for r in got) == ["None", "None", "a", "a"]
+
+
+def test_pairs_of_null_prompts_and_rewards(spark):
+    rows = with_nulls(spark).withColumns({"in_top": F.lit(True), "in_bottom": F.lit(True)})
+    got = {(r.g, r.chosen_i, r.rejected_i) for r in sampling.preference_pairs(rows.where("not isnan(v) or v is null"), "g", "i", "v", 1.0, 9, 1).collect()}
+    assert got == {("a", 1, 0), (None, 4, 3), (None, 4, 5)}
+
+
+def test_rare_pairs_are_all_found(spark):
+    """Of 40,000 pairs only 6 meet the gap; draws of all pairs would miss most."""
+    rows = numbers(spark, [*range(100, 300), *range(200)]).withColumns({"in_top": F.col("i") < 200, "in_bottom": F.col("i") >= 200})
+    pairs = sampling.preference_pairs(rows, "g", "i", "v", 297.0, 5, 1, tries=2).collect()
+    assert len(pairs) == 5 and all(p.chosen_reward - p.rejected_reward >= 297 for p in pairs)
+    assert sampling.preference_pairs(rows, "g", "i", "v", 297.0, 50, 1, tries=2).count() == 6
+
+
+def test_large_sample(spark, monkeypatch):
+    small = {r.id for r in sampling.exact_sample(spark.range(500), 40, 1, "id").collect()}
+    monkeypatch.setattr(sampling, "TOP_K", 10)
+    assert {r.id for r in sampling.exact_sample(spark.range(500), 40, 1, "id").collect()} == small
+
+
 def test_nearest_index(spark):
     r = ranking.nearest_index(numbers(spark, range(20)), ["g"], "v").head()
     assert (r.p10, r.p90, r.best, r.worst) == (2.0, 18.0, 0.0, 19.0)
@@ -174,7 +214,17 @@ def test_histogram_like_numpy(spark):
     values = np.random.default_rng(2).normal(size=500).round(2)
     got = {r.bin: r.n for r in stats.histogram(numbers(spark, values), "v", 17).collect()}
     want = np.histogram(values, 17)[0]
-    assert [got.get(k, 0) for k in range(17)] == want.tolist()
+    assert [got[k] for k in range(17)] == want.tolist()
+
+
+def test_histogram_of_odd_values(spark):
+    values = [1.0, 2.0, 9.0, float("nan"), float("inf"), 9.0]
+    rows = numbers(spark, values).unionByName(spark.createDataFrame([("k", None, 9)], "g string, v double, i long"))
+    got = sorted(stats.histogram(rows, "v", 8, density=True).collect(), key=lambda r: r.bin)
+    density, edges = np.histogram([1.0, 2.0, 9.0, 9.0], 8, density=True)
+    assert [r.n for r in got] == [1, 1, 0, 0, 0, 0, 0, 2] and [r.density for r in got] == pytest.approx(density.tolist()) and [r.left_edge for r in got] == pytest.approx(edges[:-1].tolist())
+    assert [r.n for r in stats.histogram(numbers(spark, [4.0, 4.0]), "v", 2, density=True).orderBy("bin").collect()] == [2, 0]
+    assert stats.histogram(numbers(spark, [float("nan")]), "v", 4).count() == 0
 
 
 def test_percentiles_like_numpy(spark):
@@ -250,6 +300,12 @@ def test_structures(spark):
     assert got[0][4] == "P m -3 m" and got[0][5][1].z == 0.5
 
 
+def test_flat_cells_have_no_geometry(spark):
+    flat = SALT.replace("_cell_length_a 4.0", "_cell_length_a 0.000001")
+    row = spark.createDataFrame([(flat,)], "t string").select(crystal.geometry(crystal.parsed("t")).alias("g")).head().g
+    assert row.min_distance is None and row.mean_cn is None
+
+
 def test_files_by_extension(spark):
     rows = spark.createDataFrame([("a/x.PNG",), ("y.png",), ("z",)], "path string")
     assert {r.extension: r.n for r in stats.extension_counts(rows).collect()} == {"png": 2, "": 1}

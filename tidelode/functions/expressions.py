@@ -115,9 +115,11 @@ def char_ratio(c: Column | str, lines: int = 50, least: int = 10) -> Column:
     """The share of the commonest character in the first lines of a text, 0 for texts of few lines."""
     all_ = F.split(F.coalesce(col(c), F.lit("")), "\n")
     head = F.array_join(F.slice(all_, 1, lines), "")
-    # what taking a character out shortens the text by: one native pass for each different character
-    most = F.array_max(F.transform(F.array_distinct(F.split(head, "")), lambda x: F.length(head) - F.length(F.replace(head, x, F.lit("")))))
-    return F.when((F.size(all_) > least) & (F.length(head) > 0), most / F.length(head)).otherwise(0.0)
+    # what taking a character out shortens the text by: one native pass for each different character. The head is
+    # bound once, as a lambda's variable, or it would be cut anew in each pass
+    most = lambda h: F.array_max(F.transform(F.array_distinct(F.split(h, "")), lambda x: F.length(h) - F.length(F.replace(h, x, F.lit("")))))
+    share = F.transform(F.array(head), lambda h: F.when(F.length(h) > 0, most(h) / F.length(h)).otherwise(0.0))[0]
+    return F.when(F.size(all_) > least, share).otherwise(0.0)
 
 
 def reduced(formula: Column | str) -> Column:
@@ -256,9 +258,9 @@ def hash_order(seed: int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
 
 
-def draw(seed: int, n: Column, *keys: Column | str) -> Column:
-    """A whole number from 0 to n - 1 by hash."""
-    return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("bigint") % n
+def draw(seed: int, n: Column, *keys: Column | str, digits: int = 8) -> Column:
+    """A whole number from 0 to n - 1 by hash, of so many hexadecimal digits (15 at most)."""
+    return F.conv(F.substring(hash_order(seed, *keys), 1, digits), 16, 10).cast("bigint") % n
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:

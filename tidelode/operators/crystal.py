@@ -23,6 +23,8 @@ STRUCTURE = T.StructType([*(T.StructField(k, T.DoubleType()) for k in ("a", "b",
 _GEOMETRY = T.StructType([T.StructField(k, T.DoubleType()) for k in ("min_distance", "mean_cn", "max_cn")])
 #: Sites that a valid structure has at least and at most, and the share of one character that is garbage.
 LEAST_SITES, MOST_SITES, MOST_REPEATED = 2, 300, 0.5
+#: Images of sites that a search for neighbours lists at most; cells that need more have no geometry.
+MOST_IMAGES = 2_000_000
 
 #: Atomic masses of the elements up to lead, in order of atomic number: fixed values.
 _ELEMENTS = (
@@ -136,10 +138,12 @@ def cell_matrix(a: float, b: float, c: float, alpha: float, beta: float, gamma:
 
 def neighbours(cell: np.ndarray, coords: np.ndarray, radius: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each site the sites within a radius, periodic images included, and their distances."""
-    if not abs(np.linalg.det(cell)) > 1e-9:
+    if not abs(np.linalg.det(cell)) > 1e-9 or not np.isfinite(cell).all():
         raise ValueError("the cell has no volume")
     heights = abs(np.linalg.det(cell)) / np.array([np.linalg.norm(np.cross(cell[(k + 1) % 3], cell[(k + 2) % 3])) for k in range(3)])
     reach = np.ceil(radius / heights).astype(int) + 1
+    if np.prod(2.0 * reach + 1) * len(coords) > MOST_IMAGES:
+        raise ValueError("the cell is too flat to list its images")
     images = np.stack(np.meshgrid(*[np.arange(-r, r + 1) for r in reach], indexing="ij"), -1).reshape(-1, 3)
     inside = coords % 1.0
     site = np.tile(np.arange(len(inside)), len(images))
@@ -154,10 +158,12 @@ def neighbours(cell: np.ndarray, coords: np.ndarray, radius: float) -> list[tupl
 @F.pandas_udf(_GEOMETRY)
 def geometry(structures: pd.DataFrame) -> pd.DataFrame:
     """The shortest distance between different sites within 4 Angstrom, and mean and most neighbours within
-    3 Angstrom (images of a site count there). NaN where there are none."""
+    3 Angstrom (images of a site count there). Null where there are none."""
     out = []
     for s in structures.itertuples(index=False):
         try:
+            if not LEAST_SITES <= len(s.sites) <= MOST_SITES:
+                raise ValueError("no valid structure has so many sites")
             cell = cell_matrix(s.a, s.b, s.c, s.alpha, s.beta, s.gamma)
             coords = np.array([[p["x"], p["y"], p["z"]] for p in s.sites], float)
             around = neighbours(cell, coords, 4.0)

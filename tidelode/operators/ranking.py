@@ -8,6 +8,7 @@ number is its place in its part plus the rows of its group in the parts before.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,40 +39,57 @@ def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], pl
     return out.select(*df.columns, place, size)
 
 
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """left joined to right on keys of which a null equals a null; the keys come once, from left."""
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys], F.lit(True))
+    return left.join(named, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "pr") -> DataFrame:
-    """(values below) / (n - 1) within keys, 0.5 for a group of one."""
-    rows = placed(df, keys, [value])
-    below = F.min("place").alias("__least")
+    """(values below) / (n - 1) within keys, 0.5 for a group of one.
+
+    A null value has a null rank and does not count for others; NaN is above all numbers; null keys are a group.
+    """
+    ks = [*keys, "__none"]
+    rows = placed(df.withColumn("__none", F.col(value).isNull()), ks, [value])
     # rows of equal value share the place of the first of them
-    first = rows.groupBy(*keys, value).agg(below)
-    out = rows.join(first, [*keys, value])
-    return out.withColumn(name, F.when(F.col("group_size") > 1, (F.col("__least") - 1) / (F.col("group_size") - 1)).otherwise(0.5)).drop("place", "group_size", "__least")
+    first = rows.groupBy(*ks, value).agg(F.min("place").alias("__least"))
+    out = matched(rows, first, [*ks, value])
+    rank = F.when(F.col("group_size") > 1, (F.col("__least") - 1) / (F.col("group_size") - 1)).otherwise(0.5)
+    return out.withColumn(name, F.when(~F.col("__none"), rank)).select(*df.columns, name)
 
 
 def percentile_rank_in(df: DataFrame, buffer: DataFrame, keys: Sequence[str], value: str, name: str = "pr") -> DataFrame:
     """(buffer values below) / (buffer size - 1) within keys, 0.5 for a buffer of one, null without a buffer.
 
-    The batch itself does not count; the rank may exceed 1 and is clipped by its user.
+    The batch itself does not count; the rank may exceed 1 and is clipped by its user. Null values have a null
+    rank and do not count in a buffer; null keys are a group.
     """
+    buffer = buffer.where(F.col(value).isNotNull())
     both = buffer.select(*keys, value).withColumn("__own", F.lit(0)).unionByName(df.withColumn("__own", F.lit(1)), allowMissingColumns=True)
     # equal values: the batch's rows in front of the buffer's, so that places count smaller ones only
     rows = placed(both, keys, [value, F.lit(1) - F.col("__own")])
-    counted = _running(rows.withColumn("__is", 1 - F.col("__own")), keys, "__is")
+    counted = running(rows.withColumn("__is", 1 - F.col("__own")), keys, "__is")
     size = buffer.groupBy(*keys).agg(F.count("*").alias("__size"))
-    out = counted.where("__own = 1").join(size, list(keys), "left")
-    rank = F.when(F.col("__size") == 1, 0.5).when(F.col("__size") > 1, F.col("__running") / (F.col("__size") - 1))
+    out = matched(counted.where("__own = 1"), size, keys, "left")
+    rank = F.when(F.col(value).isNull(), None).when(F.col("__size") == 1, 0.5).when(F.col("__size") > 1, F.col("__running") / (F.col("__size") - 1))
     return out.withColumn(name, rank).select(*df.columns, name)
 
 
-def _running(rows: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
-    """Of placed rows the flags set up to each: places are cut into ranges, whose sums precede their rows."""
-    step = 4096
+def running(rows: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
+    """Of placed rows the sum of a column up to each, as __running.
+
+    Places are cut into ranges, whose sums precede their rows. A key of n rows has about sqrt(n) ranges of as
+    many rows, so neither the window over ranges nor that inside of one grows faster.
+    """
+    step = F.greatest(F.lit(4096), F.ceil(F.sqrt("group_size")))
     cut = rows.withColumn("__range", F.floor(F.col("place") / step))
     sums = cut.groupBy(*keys, "__range").agg(F.sum(flag).alias("__sum"))
     w = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*keys, "__range", F.coalesce(F.sum("__sum").over(w), F.lit(0)).alias("__before"))
     own = F.sum(flag).over(Window.partitionBy(*keys, "__range").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("__within", own).join(before, [*keys, "__range"]).withColumn("__running", F.col("__within") + F.col("__before"))
+    return matched(cut.withColumn("__within", own), before, [*keys, "__range"]).withColumn("__running", F.col("__within") + F.col("__before"))
 
 
 def duplicate_in_window(df: DataFrame, keys: Sequence[str], item: str, order: Sequence[Column | str], width: int, history: DataFrame | None = None) -> DataFrame:
@@ -113,21 +131,22 @@ def nearest_index(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.when(many, at(0.1)).otherwise(F.min(value)).alias("p10"), F.when(many, at(0.9)).otherwise(F.max(value)).alias("p90"), F.min(value).alias("best"), F.max(value).alias("worst"))
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact percentiles by linear interpolation within keys, one column each.
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], moments: Sequence[Column] = ()) -> DataFrame:
+    """Exact percentiles by linear interpolation within keys, one column each, behind other aggregates.
 
     Built-in exact percentiles hold a group's distinct values in one task; here rows are placed by a range
-    sort, and only those at the places asked for meet.
+    sort, and only those at the places asked for meet. df is evaluated once; moments see its null values.
     """
-    rows = placed(df.select(*keys, value).where(F.col(value).isNotNull()), keys, [value])
+    rows = placed(df.select(*keys, value, F.col(value).isNull().alias("__none")), [*keys, "__none"], [value])
+    known = ~F.col("__none")
     spot = lambda p: (F.col("group_size") - 1) * p + 1
-    at = lambda place: F.max(F.when(F.col("place") == place, F.col(value)).cast("double"))
+    at = lambda place: F.max(F.when(known & (F.col("place") == place), F.col(value)).cast("double"))
     aggs = []
     for name, p in shares.items():
         low, high = at(F.floor(spot(p))), at(F.ceil(spot(p)))
-        part = F.max(spot(p) - F.floor(spot(p)))
+        part = F.max(F.when(known, spot(p) - F.floor(spot(p))))
         aggs.append((low + (high - low) * part).alias(name))
-    return rows.groupBy(*keys).agg(*aggs)
+    return rows.groupBy(*keys).agg(*moments, *aggs)
 
 
 def ecdf(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str]) -> DataFrame:

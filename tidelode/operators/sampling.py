@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelode.functions.expressions import draw, hash_order
-from tidelode.operators.ranking import placed
+from tidelode.operators.ranking import matched, placed, running
+
+#: Rows up to which a sample is a top-k, which ends in one task.
+TOP_K = 100_000
 
 
 class AllocationError(ValueError):
@@ -24,7 +27,9 @@ class AllocationError(ValueError):
 
 
 def exact_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows by hash: a top-k, which every task cuts to n rows first."""
+    """n rows by hash: a top-k, which every task cuts to n rows first, or beyond TOP_K rows a range sort."""
+    if n > TOP_K:
+        return placed(df, [], [hash_order(seed, key), key]).where(F.col("place") <= n).select(*df.columns)
     return df.withColumn("__h", hash_order(seed, key)).orderBy("__h", key).limit(n).drop("__h")
 
 
@@ -63,42 +68,54 @@ def checked_allocation(counts: DataFrame, total: int, target: str = "target", n:
 
 
 def take_allocated(df: DataFrame, shares: DataFrame, target: str, seed: int, key: str) -> DataFrame:
-    """Of each target its allocated number of rows, in hash order. shares has a row a target."""
+    """Of each target its allocated number of rows, in hash order; null is a target. shares has a row a target."""
     rows = placed(df, [target], [hash_order(seed, key), key])
-    return rows.join(F.broadcast(shares.select(target, "alloc")), target).where("place <= alloc").drop("place", "group_size", "alloc")
+    return matched(rows, F.broadcast(shares.select(target, "alloc")), [target]).where("place <= alloc").drop("place", "group_size", "alloc")
 
 
 def preference_pairs(df: DataFrame, prompt: str, key: str, reward: str, gap: float, cap: int, seed: int, most_tokens: int | None = None, tokens: str = "n_tokens", tries: int = 20) -> DataFrame:
     """Pairs (chosen, rejected) of a prompt's top and bottom pool with a reward gap of at least `gap`, at
     most `cap` a prompt, by hash order. df has in_top and in_bottom; keep texts out of it and join them
-    to the result.
+    to the result. Rows of null reward are in no pair; a null prompt is a prompt.
 
-    Pools are never crossed whole: a prompt has tries * cap draws of a place in each pool (or all pairs, if
-    these are no more), and draws are joined to the pools by place. So a prompt costs as many rows however
-    large its pools are.
+    Pools are never crossed whole. The rejected rows that go with a chosen one are the last ones of their pool
+    in falling reward, so counting them numbers all pairs of a prompt that meet the gap, in the order of both
+    places. Of these numbers tries * cap are drawn (or all are taken, if they are no more) and only the drawn
+    pairs are made. A prompt with that many pairs gets its cap, however rare they are among all.
     """
-    cols = [prompt, F.col(key), F.col(reward), *([F.col(tokens)] if most_tokens else [])]
+    pools = df.where(F.col(reward).isNotNull())
+    cols = [prompt, F.col(key), F.col(reward).cast("double").alias(reward), *([F.col(tokens)] if most_tokens else [])]
 
     def pool(flag: str, side: str) -> DataFrame:
-        rows = df.where(flag).select(*cols)
+        rows = pools.where(flag).select(*cols)
         if most_tokens:
             rows = rows.where(F.col(tokens) <= most_tokens)
         rows = placed(rows, [prompt], [-F.col(reward), key], f"{side}_place", f"{side}_size")
         return rows.withColumnsRenamed({key: f"{side}_{key}", reward: f"{side}_reward", tokens: f"{side}_tokens"})
 
     top, bottom = pool("in_top", "chosen"), pool("in_bottom", "rejected")
-    sizes = top.groupBy(prompt).agg(F.max("chosen_size").alias("nt")).join(bottom.groupBy(prompt).agg(F.max("rejected_size").alias("nb")), prompt)
+    # rejected rows at or below each chosen reward less the gap; a little more, as the gap itself is tested below
+    bound = F.col("chosen_reward") - gap + F.greatest(F.abs("chosen_reward"), F.lit(1.0)) * 1e-9
+    both = bottom.select(prompt, F.col("rejected_reward").alias("__v"), F.lit(1).alias("__below")).unionByName(top.withColumnsRenamed({f"chosen_{key}": "__key"}).withColumn("__v", bound).withColumn("__below", F.lit(0)), allowMissingColumns=True)
+    counted = running(placed(both, [prompt], ["__v", F.lit(1) - F.col("__below")]), [prompt], "__below").where("__below = 0 and __running > 0")
+    chosen = counted.select(prompt, F.col("__key").alias(f"chosen_{key}"), "chosen_reward", *(["chosen_tokens"] if most_tokens else []), F.col("__running").alias("__fits"), F.col("chosen_place").alias("place"), F.col("chosen_size").alias("group_size"))
+    chosen = running(chosen, [prompt], "__fits").withColumn("__from", F.col("__running") - F.col("__fits"))
     limit = tries * cap
-    draws = sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("nt") * F.col("nb"), F.lit(limit)) - 1)))
-    all_ = F.col("nt") * F.col("nb") <= limit
-    chosen = F.when(all_, F.floor(F.col("i") / F.col("nb"))).otherwise(draw(seed, F.col("nt"), prompt, "i", F.lit("c"))) + 1
-    rejected = F.when(all_, F.col("i") % F.col("nb")).otherwise(draw(seed, F.col("nb"), prompt, "i", F.lit("r"))) + 1
-    places = draws.select(prompt, chosen.alias("chosen_place"), rejected.alias("rejected_place")).distinct()
-    pairs = places.join(top, [prompt, "chosen_place"]).join(bottom, [prompt, "rejected_place"])
+    sizes = chosen.groupBy(prompt).agg(F.max("__running").alias("__pairs"))
+    number = F.when(F.col("__pairs") <= limit, F.col("i")).otherwise(draw(seed, F.col("__pairs"), prompt, "i", digits=15))
+    draws = sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("__pairs", F.lit(limit)) - 1))).select(prompt, "__pairs", number.alias("__number")).distinct()
+    # numbers meet the chosen rows whose pairs hold them by bins, of which a prompt has `limit` at most
+    width = F.ceil(F.col("__pairs") / limit)
+    bins = matched(chosen, sizes, [prompt]).withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__from") / width), F.floor((F.col("__running") - 1) / width)))).drop("__pairs", "place", "group_size")
+    drawn = matched(bins, draws.withColumn("__bin", F.floor(F.col("__number") / width)).drop("__pairs"), [prompt, "__bin"]).where("__number >= __from and __number < __running")
+    ends = bottom.groupBy(prompt).agg(F.max("rejected_size").alias("__last"))
+    drawn = matched(drawn, ends, [prompt]).withColumn("rejected_place", F.col("__last") - F.col("__fits") + 1 + F.col("__number") - F.col("__from"))
+    pairs = matched(drawn, bottom, [prompt, "rejected_place"])
     pairs = pairs.where((F.col(f"chosen_{key}") != F.col(f"rejected_{key}")) & (F.col("chosen_reward") - F.col("rejected_reward") >= gap))
     order: list[Column] = [hash_order(seed, f"chosen_{key}", f"rejected_{key}"), F.col(f"chosen_{key}"), F.col(f"rejected_{key}")]
     rank = F.row_number().over(Window.partitionBy(prompt).orderBy(*order))
-    return pairs.withColumn("__rank", rank).where(F.col("__rank") <= cap).drop("__rank", "chosen_place", "rejected_place", "chosen_size", "rejected_size")
+    out = pairs.withColumn("__rank", rank).where(F.col("__rank") <= cap)
+    return out.select(prompt, *[f"{side}_{c}" for side in ("chosen", "rejected") for c in (key, "reward", *(["tokens"] if most_tokens else []))])
 
 
 def epochs(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:

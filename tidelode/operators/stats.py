@@ -28,14 +28,8 @@ def hit_rates(valid: Column, hit: Column) -> list[Column]:
 
 
 def described(df: DataFrame, keys: Sequence[str], value: str, moments: Sequence[Column], shares: dict[str, float]) -> DataFrame:
-    """Aggregates of a value within keys, with exact percentiles beside them."""
-    base = df.groupBy(*keys).agg(*moments)
-    found = percentiles(df, keys, value, shares)
-    if not keys:
-        return base.join(F.broadcast(found), F.lit(True), "left")
-    named = found.withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return base.join(named, on, "left").drop(*[f"__{k}" for k in keys])
+    """Aggregates of a value within keys, with exact percentiles beside them, by one evaluation of df."""
+    return percentiles(df, keys, value, shares, moments)
 
 
 def energy_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -130,14 +124,23 @@ def clamped_std(value: str, least: float = 1e-8) -> Column:
     return F.greatest(F.coalesce(F.stddev_samp(value), F.lit(0.0)), F.lit(least))
 
 
-def histogram(df: DataFrame, value: str, bins: int, shares: tuple[float, float] | None = None) -> DataFrame:
-    """Rows of each of equal bins over the range of values, or between two percentiles of it, the last bin
-    closed on both sides; values outside are dropped. Bins that are empty do not appear."""
+def histogram(df: DataFrame, value: str, bins: int, shares: tuple[float, float] | None = None, density: bool = False) -> DataFrame:
+    """Rows of each of equal bins over the range of finite values, or between two percentiles of it, the last
+    bin closed on both sides; values outside are dropped. Empty bins have 0; without finite values there is no
+    row. density adds a column of that name: the share of rows over the width, null for a range of one value."""
     x = F.col(value).cast("double")
-    range_ = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")) if shares is None else percentiles(df, [], value, {"lo": shares[0], "hi": shares[1]})
-    inside = df.select(x.alias("x")).join(F.broadcast(range_)).where("x >= lo and x <= hi")
+    rows = df.select(x.alias("x")).where(finite("x"))
+    range_ = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi")) if shares is None else percentiles(rows, [], "x", {"lo": shares[0], "hi": shares[1]})
+    inside = rows.join(F.broadcast(range_)).where("x >= lo and x <= hi")
     bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))).otherwise(F.lit(0))
-    return inside.groupBy(bucket.cast("int").alias("bin"), "lo", "hi").agg(F.count("*").alias("n")).select("bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("left_edge"), "n")
+    counts = inside.groupBy(bucket.cast("int").alias("b")).agg(F.count("*").alias("c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    # a row a bin: bins are few, whatever the table's size
+    all_ = counts.agg(F.collect_list(F.struct("b", "c")).alias("cs"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sum("c").alias("total")).where("lo is not null")
+    out = all_.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.map_from_entries("cs").alias("cs"), "lo", "hi", "total")
+    width = (F.col("hi") - F.col("lo")) / bins
+    n = F.coalesce(F.try_element_at("cs", "bin"), F.lit(0)).alias("n")
+    more = [F.try_divide(n, F.col("total") * width).alias("density")] if density else []
+    return out.select("bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("left_edge"), n, *more)
 
 
 def extension_counts(paths: DataFrame) -> DataFrame:

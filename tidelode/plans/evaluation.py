@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidelode.functions import expressions as E
 from tidelode.operators import gates, joins, ranking, stats
 from tidelode.plans.common import props_value, r6, table
+from tidelode.scratch import Workspace
 
 EVENT_NUMBER = "try_cast(json_extract_string(props, '$.k') as double)"
 
@@ -89,7 +90,7 @@ def _references(spark: SparkSession) -> DataFrame:
 
 def hull_ref_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by the way their reference was found, with the mean excess over it."""
-    prices = unit_prices(spark, sf_dir)
+    prices = Workspace(spark, "prices").write(unit_prices(spark, sf_dir).select("formula", "e_per_atom"), "prices")
     bottom = ranking.bottom_mean(prices.where("formula <> 'SMALL'"), ["formula"], "e_per_atom", 0.1)
     rows = joins.hull_reference(prices, _references(spark), bottom)
     return rows.groupBy("formula", "ehull_method").agg(F.count("*").alias("n"), r6(F.avg("ehull_proxy"), "mean_excess"))
@@ -97,7 +98,7 @@ def hull_ref_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stability_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each type the lines whose excess over the reference is under a threshold."""
-    prices = unit_prices(spark, sf_dir)
+    prices = Workspace(spark, "prices").write(unit_prices(spark, sf_dir).select("formula", "e_per_atom"), "prices")
     rows = joins.hull_reference(prices, _references(spark).limit(0), ranking.bottom_mean(prices, ["formula"], "e_per_atom", 0.1))
     stable = F.count_if(F.col("ehull_proxy") < 100.0)
     return rows.groupBy("formula").agg(F.count("*").alias("total"), stable.alias("stable"), r6(stats.rate(stable, F.count("*")), "stability_rate"))
@@ -155,8 +156,8 @@ def distribution_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def histogram_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eighty equal bins of event values."""
-    return stats.histogram(table(spark, sf_dir, "events"), "value", 80).select("bin", r6("left_edge"), "n")
+    """Eighty equal bins of event values, empty ones too, with their densities."""
+    return stats.histogram(table(spark, sf_dir, "events"), "value", 80, density=True).select("bin", r6("left_edge"), "n", r6("density"))
 
 
 def histogram_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,13 +323,15 @@ ORACLE_SQL = {
     "diversity_ratio": "select count(*) as n, count(distinct (p_type, p_brand)) as distinct_keys, round(count(distinct (p_type, p_brand)) / count(*), 6) as diversity_ratio from part",
     "distribution_fraction": "select event_type, count(*) as n, round(count(*) / (select count(*) from events), 6) as fraction from events group by event_type",
     "histogram_fixed": """
-        with r as (select min(value) as lo, max(value) as hi from events)
-        select least(floor((value - lo) * 80 / (hi - lo)), 79)::int as bin, round(lo + (hi - lo) * least(floor((value - lo) * 80 / (hi - lo)), 79) / 80, 6) as left_edge, count(*) as n
-        from events, r group by all""",
+        with r as (select min(value) as lo, max(value) as hi from events),
+        c as (select least(floor((value - lo) * 80 / (hi - lo)), 79)::int as bin, count(*) as n from events, r group by all)
+        select b::int as bin, round(lo + (hi - lo) * b / 80, 6) as left_edge, coalesce(n, 0) as n, round(coalesce(n, 0) / ((select sum(n) from c) * (hi - lo) / 80), 6) as density
+        from r, unnest(range(80)) as t(b) left join c on c.bin = b""",
     "histogram_clipped": """
-        with r as (select quantile_cont(value, 0.01) as lo, quantile_cont(value, 0.99) as hi from events)
-        select least(floor((value - lo) * 59 / (hi - lo)), 58)::int as bin, round(lo + (hi - lo) * least(floor((value - lo) * 59 / (hi - lo)), 58) / 59, 6) as left_edge, count(*) as n
-        from events, r where value between lo and hi group by all""",
+        with r as (select quantile_cont(value, 0.01) as lo, quantile_cont(value, 0.99) as hi from events),
+        c as (select least(floor((value - lo) * 59 / (hi - lo)), 58)::int as bin, count(*) as n from events, r where value between lo and hi group by all)
+        select b::int as bin, round(lo + (hi - lo) * b / 59, 6) as left_edge, coalesce(n, 0) as n
+        from r, unnest(range(59)) as t(b) left join c on c.bin = b""",
     "ecdf": "select event_id, event_type, round(row_number() over (partition by event_type order by value, event_id) / count(*) over (partition by event_type), 6) as cdf from events",
     "three_way_report": """
         with each as (

@@ -36,6 +36,25 @@ def three_way(title: str, metrics: Mapping[str, tuple[float, float, float]], ver
     return f"# {title}\n\n{text}\n\n{SENTENCES[verdict].format(gain=last - base)}\n"
 
 
+def pair_quality(title: str, row: Mapping[str, float], warnings: Sequence[str] = ()) -> str:
+    """Pairs, the distribution of their reward gap, pairs a prompt, and warnings; from the one row of such a query."""
+    gap = [(k.removeprefix("gap_"), row[k]) for k in row if k.startswith("gap_")]
+    per = [(label, row[k]) for label, k in (("prompts", "groups"), ("mean", "mean_pairs"), ("least", "least"), ("most", "most"), ("std", "std_pairs"))]
+    parts = [f"# {title}", f"Pairs: {row['n']}", "## Reward gap", table(gap, ["Statistic", "Value"], ["", ".4f"]), "## Pairs a prompt", table(per, ["Statistic", "Value"], ["", ".4g"])]
+    return "\n\n".join([*parts, *(f"Warning: {w}" for w in warnings)]) + "\n"
+
+
+def cross_branch(title: str, rows: DataFrame, branch: str, phases: Sequence[str], metric: str, pattern: str = ".4f") -> str:
+    """A line a branch with a metric in each phase, from columns <phase>_<metric>, and the last one's change
+    against the first. Branches are few; they come in order of name."""
+    got = []
+    for r in rows.orderBy(branch).collect():
+        values = [r[f"{p}_{metric}"] for p in phases]
+        change = None if values[0] is None or values[-1] is None else values[-1] - values[0]
+        got.append((r[branch], *values, change))
+    return f"# {title}\n\n" + table(got, [branch, *phases, "Change"], ["", *[pattern] * len(phases), f"+{pattern}"]) + "\n"
+
+
 def profile(title: str, rows: DataFrame) -> str:
     """A report of numeric columns from a numeric profile."""
     got = [tuple(r) for r in rows.collect()]

@@ -144,16 +144,20 @@ def preference_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structure_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts by a key of type, brand and price bucket, as structures by formula, group and cell."""
+    """Parts as structures by formula, group and cell: type and brand, and lengths and angles from their size."""
     parts = table(spark, sf_dir, "part")
-    key = F.concat_ws("|", "p_type", "p_brand", F.floor(F.col("p_retailprice") / 50).cast("string"))
+    size = F.col("p_size")
+    lattice = [size / 3.0, size / 7.0, size / 11.0, 90.0 + size / 9.0, F.lit(90.0), F.lit(120.0)]
+    key = E.structure_key("p_type", "p_brand", lattice)
     return parts.groupBy(key.alias("struct_key")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_seen"))
 
 
 def source_union_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two subsets of documents under one tag each, with a density from a table of targets or its default."""
+    """All documents as three sources under one tag each, with a density from a table of targets or its default."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    both = docs.where("lang = 'en'").withColumn("source_target", F.lit("NaCl")).unionByName(docs.where("lang = 'fr'").withColumn("source_target", F.lit("other")))
+    tags = {"lang = 'en'": "NaCl", "lang = 'fr'": "TiO2", "lang is null or lang not in ('en', 'fr')": "other"}
+    parts = [docs.where(where).withColumn("source_target", F.lit(tag)) for where, tag in tags.items()]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return both.withColumn("ref_density", reward.reference_density(F.col("source_target")))
 
 
@@ -176,15 +180,14 @@ POOLS = """
 PAIRS = f"""{POOLS},
         tops as (select *, row_number() over (partition by lang order by reward desc, doc_id) as p, count(*) over (partition by lang) as nt from pools where in_top),
         bottoms as (select *, row_number() over (partition by lang order by reward desc, doc_id) as p, count(*) over (partition by lang) as nb from pools where in_bottom),
-        sizes as (select lang, max(nt) as nt, max(nb) as nb from tops join bottoms using (lang) group by lang),
+        qualified as (
+          select t.lang, t.doc_id as chosen_doc_id, b.doc_id as rejected_doc_id, t.reward as chosen_reward, b.reward as rejected_reward,
+                 row_number() over (partition by t.lang order by t.p, b.p) - 1 as number, count(*) over (partition by t.lang) as q
+          from tops t join bottoms b on b.lang = t.lang and t.reward - b.reward >= 1000),
         draws as (
-          select lang, i, case when nt * nb <= 6000 then i // nb else ('0x' || substr(md5('42|' || lang || '|' || i || '|c'), 1, 8))::bigint % nt end + 1 as c,
-                 case when nt * nb <= 6000 then i % nb else ('0x' || substr(md5('42|' || lang || '|' || i || '|r'), 1, 8))::bigint % nb end + 1 as r
-          from sizes, unnest(range(least(nt * nb, 6000)::bigint)) as x(i)),
-        crossed as (
-          select distinct t.lang, t.doc_id as chosen_doc_id, b.doc_id as rejected_doc_id, t.reward as chosen_reward, b.reward as rejected_reward
-          from draws d join tops t on t.lang = d.lang and t.p = d.c join bottoms b on b.lang = d.lang and b.p = d.r
-          where t.doc_id <> b.doc_id and t.reward - b.reward >= 1000),
+          select distinct lang, case when q <= 6000 then i else ('0x' || substr(md5('42|' || lang || '|' || i), 1, 15))::bigint % q end as number
+          from (select distinct lang, q from qualified), unnest(range(least(q, 6000)::bigint)) as x(i)),
+        crossed as (select * exclude (number, q) from qualified join draws using (lang, number) where chosen_doc_id <> rejected_doc_id),
         pairs as (
           select * from crossed qualify row_number() over (partition by lang order by md5('42|' || chosen_doc_id || '|' || rejected_doc_id), chosen_doc_id, rejected_doc_id) <= 300)"""
 ALLOC = """
@@ -266,10 +269,12 @@ ORACLE_SQL = {
         select chosen_doc_id, rejected_doc_id, round(adv, 6) as adv, round(margin, 6) as margin, round(ln(1 + exp(-z)), 6) as dpo,
                round(0.9 * ln(1 + exp(-z)) + 0.1 * ln(1 + exp(z)), 6) as cdpo, round(ln(1 + exp(-(z - 0.5))), 6) as simpo, (adv > 0)::int as accurate
         from l""",
-    "structure_key": "select p_type || '|' || p_brand || '|' || floor(p_retailprice / 50)::bigint as struct_key, count(*) as n, min(p_partkey) as first_seen from part group by all",
+    "structure_key": """
+        select p_type || '|' || p_brand || '|(' || round(p_size / 3.0::double, 2) || ', ' || round(p_size / 7.0::double, 2) || ', ' || round(p_size / 11.0::double, 2) || ', ' || round(90.0::double + p_size / 9.0::double, 1) || ', 90.0, 120.0)' as struct_key,
+               count(*) as n, min(p_partkey) as first_seen from part group by all""",
     "source_union_tagged": """
-        select doc_id, lang, case lang when 'en' then 'NaCl' else 'other' end as source_target, case lang when 'en' then 2.16::double else 3.5::double end as ref_density
-        from documents where lang in ('en', 'fr')""",
+        select doc_id, lang, case lang when 'en' then 'NaCl' when 'fr' then 'TiO2' else 'other' end as source_target, case lang when 'en' then 2.16::double when 'fr' then 4.25::double else 3.5::double end as ref_density
+        from documents""",
     "routed_output_counts": """
         select case quality when 1 then 'valid' when 0 then 'invalid' else 'unlabelled' end as route, count(*) as n, min(doc_id) as first_doc
         from documents left join labels using (doc_id) group by all""",

@@ -152,12 +152,21 @@ def structure_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.lit(_CELL), F.lit("{a}"), F.format_string("%.1f", (F.col("p_size") - 1) / 5.0))
     rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).withColumn("s", crystal.wrapped(crystal.parsed("text")))
     valid = crystal.invalid_reason(F.col("text"), F.col("s"))
-    return rows.select("p_partkey", valid.alias("reason"), r6(crystal.volume(F.col("s")), "volume"), crystal.n_elements(F.col("s")).alias("n_elements"), r6(F.round(F.col("s.sites")[1].z, 6), "z"), crystal.geometry("s").alias("g")).select("p_partkey", "reason", "volume", "n_elements", "z", r6("g.min_distance", "min_distance"), r6("g.mean_cn", "mean_cn"))
+    rows = rows.select("p_partkey", valid.alias("reason"), r6(crystal.volume(F.col("s")), "volume"), crystal.n_elements(F.col("s")).alias("n_elements"), r6(F.round(F.col("s.sites")[1].z, 6), "z"), crystal.geometry("s").alias("g"))
+    return rows.select("p_partkey", "reason", "volume", "n_elements", "z", *[r6(F.when(F.col("reason").isNull() & E.finite(f"g.{c}"), F.col(f"g.{c}")), c) for c in ("min_distance", "mean_cn", "max_cn")])
+
+
+def space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure texts made from parts by the space group that they declare, the empty one for those without."""
+    head = F.when(F.col("p_size") % 4 == 0, F.lit("data_t\n")).otherwise(F.concat(F.lit("data_t\n_symmetry_space_group_name_H-M  '"), "p_brand", F.lit("' \n")))
+    text = F.concat(head, F.lit("_cell_length_a 4.0\n_symmetry_space_group_name_H-M 'second'\n"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", E.space_group(text).alias("space_group"))
+    return rows.groupBy("space_group").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_seen"))
 
 
 QUERIES = {f.__name__: f for f in (
     cosine_similarity, element_penalty, neighbour_range_join, prompt_formula, data_block_extract, garbage_ratio, text_scalar_pack, sequence_ops, backoff_schedule, lora_merge, stream_state_novelty,
-    mapinpandas_scorer, udtf_blocks, structure_validation,
+    mapinpandas_scorer, udtf_blocks, structure_validation, space_groups,
 )}
 
 ORACLE_SQL = {
@@ -200,6 +209,17 @@ ORACLE_SQL = {
                array_to_string(list_transform(ids, lambda v: least(v, 99)), ',') as clamped, array_to_string(list_concat(ids, [0, 0]), ',') as padded,
                array_to_string(list_concat(ids[2:64], [-1, -1]), ',') as targets
         from x""",
+    "structure_validation": """
+        with s as (select p_partkey, round((p_size - 1) / 5.0::double, 1) as a from part),
+        m as (
+          select *, case when a <= 0 then 'negative_lattice_length' end as reason, sqrt((a / 2) * (a / 2) + 8) as d,
+                 case when a > 0 then 2 * floor(3.0::double / a) + 8 * len(list_filter(range(0, 60), lambda i: (i + 0.5) * a <= 1.0 + 1e-9)) end as cn
+          from s)
+        select p_partkey, reason, round(a * 16, 6) as volume, 2 as n_elements, 0.5::double as z, case when reason is null and d <= 4 then round(d, 6) end as min_distance,
+               case when reason is null then cn::double end as mean_cn, case when reason is null then cn::double end as max_cn
+        from m""",
+    "space_groups": """
+        select chr(39) || case when p_size % 4 = 0 then 'second' else p_brand end || chr(39) || case when p_size % 4 = 0 then '' else ' ' end as space_group, count(*) as n, min(p_partkey) as first_seen from part group by all""",
     "backoff_schedule": """
         with recursive s(attempt, t, k) as (
           select 1, 1.0::double, 40 union all select attempt + 1, greatest(0.6, t * 0.8), greatest(5, k // 2) from s where attempt < 6)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,16 +31,39 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+#: Workspaces of the runs that are open, the innermost last.
+_RUNS: list[list[Workspace]] = []
+
+
+@contextmanager
+def run_folders() -> Iterator[None]:
+    """Deletes at its end the folders of all operators that were called inside.
+
+    Results are read from these folders, so write or collect them inside:
+
+        with run_folders():
+            query(spark, sf_dir).write.parquet(out)
+    """
+    _RUNS.append([])
+    try:
+        yield
+    finally:
+        for work in _RUNS.pop():
+            work.drop()
+
+
 class Workspace:
     """A folder of one operator run, holding the written tables that cut its lineage.
 
     Written tables survive lost executors and are read by column, unlike cached blocks. The folder
-    stays until `drop()`, as the operator's result is read from it lazily.
+    stays until `drop()` or the end of `run_folders()`, as the operator's result is read from it lazily.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/tidelode/{name}-{uuid.uuid4().hex}"
+        if _RUNS:
+            _RUNS[-1].append(self)
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
