@@ -133,8 +133,49 @@ def test_paths(pieces):
         for text, (ids, best) in zip(texts[part.lo : part.hi], encoder.encode(part), strict=True):
             want = paths_plain(pieces, text, 4)
             assert ids.tolist() == want[0][2]
-            assert [s for s, _ in best] == pytest.approx([-x[0] for x in want])
-            assert pl.decode(pieces, ids) == text.encode()
+            assert [p.score for p in best] == pytest.approx([-x[0] for x in want])
+            own = [p.ids(ids).tolist() for p in best]
+            assert all(pl.decode(pieces, np.array(x, np.int64)) == text.encode() and len(x) == p.n_tokens for x, p in zip(own, best, strict=True))
+            assert len({tuple(x) for x in own}) == len(own)
+            # of equal scores either path may be named; the scores of the ids named are those of the path
+            scores = {tuple(x[2]): -x[0] for x in paths_plain(pieces, text, 10**6)}
+            assert [scores[tuple(x)] for x in own] == pytest.approx([p.score for p in best])
+
+
+def test_long_search(pieces):
+    """Iterative deepening finds the paths of the search by an agenda, in its order."""
+    rng = random.Random(6)
+    units = [b" there", b" ", b"\n", b"ab" * 20, b"z" * 30, " été漢字🎉".encode(), b" aaaa\x01b"]
+    units += ["".join(rng.choice("thereionaé漢🎉") for _ in range(rng.randint(1, 14))).encode() for _ in range(60)]
+    for unit in units:
+        for n in (1, 2, 7):
+            want, got = pl.n_best(pieces, unit, n), pl.LongUnit(pieces, unit).n_best(n)
+            assert [(pytest.approx(s), x.tolist()) for s, x in got] == want, unit
+
+
+def test_a_very_long_unit_takes_little_memory():
+    """A megabyte without spaces, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, sys
+import pyarrow as pa
+from tidelode.llm import bytetext as bt, piece_lattice as pl
+from tidelode.llm.queries import tokenizer_file
+pieces = pl.Pieces.load(tokenizer_file("piece_bpe_32k.model"))
+rng = random.Random(3)
+text = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=500_000)) + "ab" * 250_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+(part,) = bt.slices(pa.array([text], pa.large_string()))
+((ids, best),) = pl.Encoder(pieces, 4).encode(part)
+assert len(best) == 4 and all(pl.decode(pieces, p.ids(ids)) == text.encode() for p in best)
+assert best[0].score >= best[1].score >= best[2].score >= best[3].score
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout) < 500
 
 
 def test_star_search(pieces):
@@ -151,6 +192,8 @@ def test_segmented(spark, edge, edge_rows):
     rows = pl.segmented(spark, edge, path)
     got = rows.collect()
     assert len(got) == len(edge_rows) and all(r.exact and r.n_tokens == len(r.ids) and r.score == r.best[0].score for r in got)
+    assert all(p.exact and p.n_tokens == len(p.ids) and hashlib.sha256(np.array(p.ids, "<u4").tobytes()).hexdigest() == p.ids_sha256 for r in got for p in r.best)
+    assert max(len(r.best) for r in got) == 4 and all(len({tuple(p.ids) for p in r.best}) == len(r.best) for r in got)
     back = Counter((r.doc_id, r.text) for r in pl.desegmented(spark, rows, path).collect())
     assert back == Counter((i, t or "") for i, t in edge_rows)
     assert pl.segmented(spark, edge.limit(0), path).count() == 0
@@ -161,8 +204,8 @@ def test_long_units(pieces):
     text = "ab" * 400 + " " + "z" * 70
     (part,) = bt.slices(pa.array([text], pa.large_string()))
     ((ids, best),) = encoder.encode(part)
-    assert pl.decode(pieces, ids).decode() == text and best[0][0] >= best[1][0]
-    assert best[0][0] == pytest.approx(sum(pl.n_best(pieces, u, 1)[0][0] for u in (b" " + b"ab" * 400, b" " + b"z" * 70)))
+    assert pl.decode(pieces, ids).decode() == text and best[0].score >= best[1].score
+    assert best[0].score == pytest.approx(sum(pl.n_best(pieces, u, 1)[0][0] for u in (b" " + b"ab" * 400, b" " + b"z" * 70)))
 
 
 # ---- token counts

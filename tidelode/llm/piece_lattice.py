@@ -10,20 +10,28 @@ Viterbi score of the place reached. That is the exact cost of the rest, so the s
 that is not a prefix of one of the N best. In the N best of a text only the N - 1 units with the smallest
 loss to their second path can differ from the best one; their lists are merged by a heap.
 
+A long unit (a text in a script without spaces, a blob) would fill the search's agenda with millions of open
+paths. There the same search runs by iterative deepening: a depth-first walk from the end takes only edges
+whose loss against the forward scores stays within a bound, so it never meets a dead end and holds one path;
+the bound then rises to the least loss that it turned away. Memory is a few dozen bytes for each byte of the unit.
+
 A path's score is the sum of the pieces' scores; of equal scores the path with the longer last piece (then
 the one in front of it, and so on) is first. A character that is no piece costs less than any piece and
 gives the byte pieces of its UTF-8. The character U+2581, which stands for a space inside models, is
 written by bytes too, so that decoding returns every text exactly.
 
 Defined cases: null and empty texts have no tokens and one empty path; a text with fewer than N paths
-gives all it has.
+gives all it has; rows that repeat, and repeated or null identifiers, are each returned; an empty table gives
+no rows; a very long text is held whole by one task, with arrays of a bounded number of bytes for each of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +41,15 @@ from pyspark.sql import functions as F
 from tidelode.llm import bytetext as bt
 
 #: Paths of a text that a query returns, bytes of a slice, longest unit of a matrix, units of a matrix.
-N_BEST, SLICE, LONGEST, MATRIX = 4, 1 << 21, 64, 4096
+N_BEST, SLICE, LONGEST, MATRIX = 4, 1 << 20, 64, 4096
+#: Units whose N-best lists a task remembers.
+REMEMBER = 50_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = -1e18
 #: Scores below this mark pieces that the model does not use by itself.
 _UNUSED = -1e8
+#: Losses that differ by less are equal.
+_SAME = 1e-9
 
 
 class Pieces:
@@ -235,6 +247,141 @@ def n_best(pieces: Pieces, unit: bytes, n: int) -> list[tuple[float, list[int]]]
     return found
 
 
+class LongUnit:
+    """One unit of any length: its edges by the place where they end, longest first, with their losses.
+
+    The loss of an edge is what the best path to its end is better by than the best one through the edge; a
+    path's loss against the best path is the sum of its edges' losses.
+    """
+
+    def __init__(self, pieces: Pieces, unit: bytes):
+        self.pieces, self.unit, size = pieces, unit, len(unit)
+        data = np.frombuffer(unit, np.uint8)
+        h = _prefix_hash(data[None, :])[0]
+        lead = _LEAD[data]
+        own = np.zeros(size, bool)  # characters that are pieces
+        parts: list[tuple[np.ndarray, np.ndarray, int]] = []
+        power = np.ones(1, np.uint64)
+        for k in range(1, min(size, pieces.longest) + 1):
+            power = power * _BASE
+            if k not in pieces.tables:
+                continue
+            hashes, ids, seen = pieces.tables[k]
+            part = h[k:] - h[: size - k + 1] * power
+            at = np.flatnonzero(seen[(part >> np.uint64(48)).astype(np.int64)])
+            spot = np.minimum(np.searchsorted(hashes, part[at]), len(hashes) - 1)
+            ok = hashes[spot] == part[at]
+            at, spot = at[ok], spot[ok]
+            own[at[lead[at] == k]] = True
+            parts.append((at + k, ids[spot], k))
+        for k in range(1, 5):
+            at = np.flatnonzero((lead == k) & ~own)
+            at = at[at + k <= size]
+            parts.append((at + k, np.full(len(at), -1), k))
+        end = np.concatenate([e for e, _, _ in parts])
+        step = np.concatenate([np.full(len(e), k, np.int16) for e, _, k in parts])
+        order = np.lexsort((-step, end))
+        end, step, piece = end[order], step[order], np.concatenate([i for _, i, _ in parts]).astype(np.int32)[order]
+        value = np.where(piece >= 0, pieces.scores[piece], pieces.unknown)
+        self.begin = array("q", np.searchsorted(end, np.arange(size + 2)).tolist())
+        self.step, self.piece = array("h", step.tobytes()), array("i", piece.tobytes())
+        self._forward(array("d", value.tobytes()))
+
+    def _forward(self, value: array) -> None:
+        """Forward Viterbi scores; of each place the best edge, and the least loss of any other edge on the
+        best path to it. Scores become losses."""
+        size, begin, step = len(self.unit), self.begin, self.step
+        forward = array("d", [_NEVER]) * (size + 1)
+        forward[0] = 0.0
+        self.best, self.other, self.loss = array("q", [-1]) * (size + 1), array("d", [np.inf]) * (size + 1), value
+        for j in range(1, size + 1):
+            lo, hi = begin[j], begin[j + 1]
+            top, at = _NEVER, -1
+            for e in range(lo, hi):
+                before = forward[j - step[e]]
+                value[e] = before + value[e] if before > _NEVER else _NEVER
+                if value[e] > top:
+                    top, at = value[e], e
+            forward[j], self.best[j] = top, at
+            if at < 0:
+                continue
+            least = self.other[j - step[at]]
+            for e in range(lo, hi):
+                value[e] = top - value[e] if value[e] > _NEVER else np.inf
+                if e != at and value[e] < least:
+                    least = value[e]
+            self.other[j] = least
+        self.score = forward[size]
+
+    def _walk(self, bound: float) -> Iterator[tuple[float, array] | float]:
+        """The paths of at most that loss, from the end and longer pieces first, as their loss and edges from
+        the end to the place where only the best path is left; then the least loss that was turned away."""
+        begin, step, loss, other = self.begin, self.step, self.loss, self.other
+        edges, losses = array("q"), array("d")
+        place, lost, e, beyond = len(self.unit), 0.0, -1, np.inf
+        while True:
+            if e < 0:  # a new place
+                if lost + other[place] > bound or place == 0:
+                    beyond = min(beyond, lost + other[place])
+                    yield lost, edges
+                    e = -2
+                else:
+                    e = begin[place]
+            if e >= 0:
+                end = begin[place + 1]
+                while e < end and lost + loss[e] > bound:
+                    beyond = min(beyond, lost + loss[e])
+                    e += 1
+                if e < end:
+                    edges.append(e)
+                    losses.append(lost)
+                    lost += loss[e]
+                    place -= step[e]
+                    e = -1
+                    continue
+            if not edges:  # every edge of this place is done: back to the one behind it
+                break
+            e, lost = edges.pop(), losses.pop()
+            place += step[e]
+            e += 1
+        yield float(beyond)
+
+    def ids(self, edges: array) -> np.ndarray:
+        """The ids of a path, from its edges at the end and the best path in front of them."""
+        place, own = len(self.unit), array("q", edges)
+        for e in edges:
+            place -= self.step[e]
+        while place > 0:
+            e = self.best[place]
+            own.append(e)
+            place -= self.step[e]
+        e = np.frombuffer(own, np.int64)[::-1]
+        piece, step = np.frombuffer(self.piece, np.int32)[e], np.frombuffer(self.step, np.int16)[e].astype(np.int64)
+        width = np.where(piece >= 0, 1, step)
+        out = np.repeat(piece, width)
+        raw = out < 0
+        if raw.any():
+            start = np.cumsum(step) - step
+            off = np.arange(len(out)) - np.repeat(np.cumsum(width) - width, width)
+            data = np.frombuffer(self.unit, np.uint8)
+            out[raw] = self.pieces.byte_id[data[(np.repeat(start, width) + off)[raw]]]
+        return out
+
+    def n_best(self, n: int) -> list[tuple[float, np.ndarray]]:
+        """The n best paths with their scores, by iterative deepening A* from the end."""
+        found: list[tuple[float, np.ndarray]] = []
+        below, bound = -1.0, 0.0
+        while len(found) < n and np.isfinite(bound):
+            for x in self._walk(bound + _SAME):
+                if isinstance(x, float):
+                    below, bound = bound + _SAME, x
+                elif x[0] > below:
+                    found.append((self.score - x[0], self.ids(x[1])))
+                    if len(found) == n:
+                        break
+        return found
+
+
 def merged_best(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best sums of one score from each list (each sorted, best first), with the ranks taken."""
     start = (0,) * len(lists)
@@ -250,29 +397,54 @@ def merged_best(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int
     return out
 
 
+class Path(NamedTuple):
+    """One of the n best paths of a text: where it leaves the best one, first and last token there (the end
+    excluded) and what stands in place of them."""
+
+    score: float
+    n_tokens: int
+    instead: list[tuple[int, int, np.ndarray]]
+
+    def ids(self, best: np.ndarray) -> np.ndarray:
+        """The ids of the path, from those of the best one."""
+        if not self.instead:
+            return best
+        parts, at = [], 0
+        for lo, hi, own in self.instead:
+            parts += [best[at:lo], own]
+            at = hi
+        return np.concatenate([*parts, best[at:]])
+
+
 class Encoder:
-    """Encodes slices of texts; keeps the N-best lists that it has found for units."""
+    """Encodes slices of texts; keeps the N-best lists that it has found for short units."""
 
-    def __init__(self, pieces: Pieces, n: int, remember: int = 200_000):
+    def __init__(self, pieces: Pieces, n: int, remember: int = REMEMBER):
         self.pieces, self.n, self.remember = pieces, n, remember
-        self.known: dict[bytes, list[tuple[float, list[int]]]] = {}
-
-    def _list(self, unit: bytes) -> list[tuple[float, list[int]]]:
+        self.known: dict[bytes, list[tuple[float, np.ndarray]]] = {}
+        self.long: dict[bytes, list[tuple[float, np.ndarray]]] = {}
+
+    def _list(self, unit: bytes) -> list[tuple[float, np.ndarray]]:
+        if len(unit) > LONGEST:  # of this slice only
+            if unit not in self.long:
+                self.long[unit] = LongUnit(self.pieces, unit).n_best(self.n)
+            return self.long[unit]
         if unit not in self.known:
             if len(self.known) >= self.remember:
                 self.known.clear()
-            self.known[unit] = n_best(self.pieces, unit, self.n)
+            self.known[unit] = [(s, np.array(ids, np.int32)) for s, ids in n_best(self.pieces, unit, self.n)]
         return self.known[unit]
 
-    def encode(self, part: bt.Slice) -> Iterator[tuple[np.ndarray, list[tuple[float, int]]]]:
-        """For each text of the slice: ids of its best path, and score and number of tokens of its n best."""
+    def encode(self, part: bt.Slice) -> Iterator[tuple[np.ndarray, list[Path]]]:
+        """For each text of the slice: ids of its best path, and its n best ones."""
+        self.long.clear()
         p = self.pieces
         size = np.diff(part.starts)
         some = size > 0
         data = np.insert(part.data, part.starts[:-1][some], 0x20)
         starts = part.starts + np.concatenate(([0], np.cumsum(some)))
         if not len(data):
-            yield from ((np.zeros(0, np.int64), [(0.0, 0)]) for _ in size)
+            yield from ((np.zeros(0, np.int64), [Path(0.0, 0, [])]) for _ in size)
             return
         space, cut = data == 0x20, p.cut[data]
         lead = cut | space
@@ -294,21 +466,23 @@ class Encoder:
             total = int(n.sum())
             take = np.repeat(at[units] - np.cumsum(n) + n, n) + np.arange(total)
             best = float(score[units].sum())
-            yield ids[take], self._n_best(data, u_begin, u_long, units, loss, best, total)
+            yield ids[take], self._n_best(data, u_begin, u_long, units, loss, best, n)
 
-    def _n_best(self, data, begin, long, units, loss, best: float, total: int) -> list[tuple[float, int]]:
-        own = loss[units]
+    def _n_best(self, data, begin, long, units, loss, best: float, count: np.ndarray) -> list[Path]:
+        own, total = loss[units], int(count.sum())
         if self.n < 2 or not len(own):
-            return [(best, total)]
+            return [Path(best, total, [])]
         m = min(self.n - 1, len(own))
         edge = np.partition(own, m - 1)[m - 1]
         places = np.concatenate([np.flatnonzero(own < edge), np.flatnonzero(own == edge)])[:m]
         places = np.sort(places[np.isfinite(own[places])])
         lists = [self._list(data[begin[u] : begin[u] + long[u]].tobytes()) for u in units[places].tolist()]
+        first = (np.cumsum(count) - count)[places].tolist()
+        gone = sum(x[0][0] for x in lists)
         out = []
         for score, ranks in merged_best([[s for s, _ in x] for x in lists], self.n):
-            gone = sum(x[0][0] for x in lists)
-            out.append((best - gone + score, total + sum(len(x[r][1]) - len(x[0][1]) for x, r in zip(lists, ranks, strict=True))))
+            instead = [(at, at + len(x[0][1]), x[r][1]) for at, x, r in zip(first, lists, ranks, strict=True) if r]
+            out.append(Path(best - gone + score, total + sum(len(ids) - (hi - lo) for lo, hi, ids in instead), instead))
         return out
 
     def _solve(self, data: np.ndarray, begin: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -323,10 +497,10 @@ class Encoder:
             for a in range(lo, hi, MATRIX if size <= LONGEST else 1):
                 units = order[a : min(hi, a + (MATRIX if size <= LONGEST else 1))]
                 if size > LONGEST:
-                    paths = self._list(data[begin[units[0]] : begin[units[0]] + size].tobytes())[:2] if self.n > 1 else n_best(self.pieces, data[begin[units[0]] : begin[units[0]] + size].tobytes(), 1)
+                    paths = self._list(data[begin[units[0]] : begin[units[0]] + size].tobytes())[:2]
                     score[units], count[units] = paths[0][0], len(paths[0][1])
                     loss[units] = paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf
-                    found.append((units, np.array(paths[0][1], np.int64)))
+                    found.append((units, paths[0][1]))
                     continue
                 lattice = Lattice(self.pieces, data[begin[units][:, None] + np.arange(size)])
                 flat, count[units] = lattice.tokens()
@@ -348,8 +522,15 @@ def decode(pieces: Pieces, ids: np.ndarray) -> bytes:
     return pieces.all[np.repeat(pieces.begin[ids] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].tobytes()[1:]
 
 
+def _sha(ids: np.ndarray) -> str:
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
+
+
+_PATHS = "array<struct<score:double,n_tokens:bigint,ids_sha256:string,exact:boolean,ids:array<int>>>"
+
+
 def _encoded(pieces: Pieces, n: int, with_ids: bool):
-    paths = pa.list_(pa.struct([("score", pa.float64()), ("n_tokens", pa.int64())]))
+    paths = pa.list_(pa.struct([("score", pa.float64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("exact", pa.bool_()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces, n)
@@ -357,12 +538,15 @@ def _encoded(pieces: Pieces, n: int, with_ids: bool):
             for part in bt.slices(bt.column(batch, "body"), SLICE):
                 rows: dict[str, list] = {"n_tokens": [], "score": [], "ids_sha256": [], "exact": [], "best": [], "ids": []}
                 for k, (ids, best) in enumerate(encoder.encode(part)):
+                    text = part.data[part.starts[k] : part.starts[k + 1]].tobytes()
+                    own = [(p, p.ids(ids)) for p in best]
+                    said = [{"score": p.score, "n_tokens": p.n_tokens, "ids_sha256": _sha(x), "exact": decode(pieces, x) == text, "ids": x.astype(np.int32) if with_ids else None} for p, x in own]
                     rows["n_tokens"].append(len(ids))
-                    rows["score"].append(best[0][0])
-                    rows["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    rows["exact"].append(decode(pieces, ids) == part.data[part.starts[k] : part.starts[k + 1]].tobytes())
-                    rows["best"].append([{"score": s, "n_tokens": c} for s, c in best])
-                    rows["ids"].append(ids.astype(np.int32) if with_ids else None)
+                    rows["score"].append(best[0].score)
+                    rows["ids_sha256"].append(said[0]["ids_sha256"])
+                    rows["exact"].append(said[0]["exact"])
+                    rows["best"].append(said)
+                    rows["ids"].append(said[0]["ids"])
                 kinds = (pa.int64(), pa.float64(), pa.string(), pa.bool_(), paths, pa.list_(pa.int32()))
                 ids_in = batch.column("doc_id").slice(part.lo, part.hi - part.lo)
                 yield pa.RecordBatch.from_arrays([ids_in, *(pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True))], names=["doc_id", *rows])
@@ -372,11 +556,11 @@ def _encoded(pieces: Pieces, n: int, with_ids: bool):
 
 def segmented(spark: SparkSession, docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST, with_ids: bool = True) -> DataFrame:
     """One row for each document: doc_id, n_tokens, score, ids_sha256, exact (whether decoding gives the
-    text back), best (score and tokens of the n best paths), ids (null unless with_ids)."""
+    text back), best (the same of each of the n best paths, and its ids), ids (null unless with_ids)."""
     pieces = Pieces.load(model_path)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
     kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInArrow(_encoded(pieces, n, with_ids), f"doc_id {kind}, n_tokens bigint, score double, ids_sha256 string, exact boolean, best array<struct<score:double,n_tokens:bigint>>, ids array<int>")
+    return texts.mapInArrow(_encoded(pieces, n, with_ids), f"doc_id {kind}, n_tokens bigint, score double, ids_sha256 string, exact boolean, best {_PATHS}, ids array<int>")
 
 
 def _decoded(pieces: Pieces):
