@@ -277,6 +277,54 @@ def least_cost(roles):
     return best
 
 
+def path_plain(roles):
+    """The cheapest path of a conversation and, of equal ones, the first by its turns' choices from the last one
+    on: (action, role, empty turns) of each turn."""
+    states = {0: (0.0, ())}  # least cost, then the choices from this state back
+    for name in roles:
+        own, after = chat._role(name), {}
+        for a, (cost, back) in states.items():
+            ways = []
+            for b in (1, 2, 3):
+                price = 0 if b == own else chat.UNKNOWN_COST if own == 0 else chat.RELABEL_COST
+                if (a, b) in chat.GAPS:
+                    ways.append((0 if b == own else 2, len(chat.GAPS[a, b]), b, price + chat.EMPTY_COST * len(chat.GAPS[a, b])))
+                if a == b:
+                    ways.append((1, 0, b, price + chat.MERGE_COST))
+            for kind, empty, b, price in ways:
+                key = (cost + price, (((kind, empty, a), b), *back))
+                if b not in after or key[0] < after[b][0] or (key[0] == after[b][0] and [x[0] for x in key[1]] < [x[0] for x in after[b][1]]):
+                    after[b] = key
+        states = after
+    total = {b: cost + chat.EMPTY_COST * len(chat.ENDS[b]) for b, (cost, _) in states.items()}
+    last = min(total, key=lambda b: (total[b], b))
+    return [(("keep", "merge", "relabel")[kind], chat.ROLES[b - 1], empty) for (kind, empty, _), b in reversed(states[last][1])]
+
+
+@pytest.mark.parametrize("block", [256, 1, 2, 3, 7])
+def test_chat_paths(spark, block):
+    """The path and its rendering are those of the plain version, however conversations are cut."""
+    rng = random.Random(12)
+    convs = {c: [rng.choice(["user", "assistant", "system", "tool", None, "user", "assistant"]) for _ in range(rng.choice([1, 2, 3, 5, 8, 13]))] for c in range(150)}
+    turns = spark.createDataFrame([(c, k, r, f"t{k}") for c, roles in convs.items() for k, r in enumerate(roles)], "conv_id long, turn long, role string, text string").repartition(3)
+    got = {}
+    for r in sorted(chat.repaired(spark, turns, block).collect(), key=lambda r: (r.conv_id, r.place)):
+        got.setdefault(r.conv_id, []).append(r)
+    for c, roles in convs.items():
+        want = path_plain(roles)
+        assert [(r.action, r.out_role, r.n_empty) for r in got[c]] == want, roles
+        said, at = [], 0
+        for k, (action, role, empty) in enumerate(want):
+            if action == "merge":
+                said[-1][1] += f"\nt{k}"
+            else:
+                said += [[chat.ROLES[x - 1], ""] for x in chat.GAPS[at, chat.ROLES.index(role) + 1][:empty]] + [[role, f"t{k}"]]
+            at = chat.ROLES.index(role) + 1
+        said += [[chat.ROLES[x - 1], ""] for x in chat.ENDS[at]]
+        want_text = "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in said)
+        assert "".join(r.piece for r in got[c]) == want_text
+
+
 @pytest.mark.parametrize("block", [256, 2])
 def test_chat(spark, block):
     rng = random.Random(2)

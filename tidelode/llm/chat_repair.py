@@ -8,21 +8,23 @@ user, assistant).
 
 Costs of paths are combined by (min, +), which is associative. So turns are cut into blocks of bounded size
 wherever a conversation is long: each block gives the cost from every state to every state, a pass over the
-few blocks of a conversation fixes the state at each border, and each block then traces its own best path.
-No conversation is gathered in one task, and its rendering is returned in pieces, one for each turn, which
-in order of turns make up the text.
+few blocks of a conversation fixes the costs in front of each, each block then tells for every state behind it
+the one that its best path comes from, a pass back fixes the state behind each block, and each block traces its
+own part of the path. No conversation is gathered in one task, and its rendering is returned in pieces, one for
+each turn, which in order of turns make up the text. Conversations of one block need the last step only.
 
 Of paths with equal costs the one is taken whose last turn has the first choice in the order keep, merge,
-relabel, with fewer empty turns first; then the turn before it, and so on.
+relabel, with fewer empty turns first; then the turn before it, and so on. Blocks do not change that choice.
 
 Defined cases: a null or unknown role can be given any role at UNKNOWN_COST; a null text is empty; equal
 turn numbers are ordered by role and text; a null conv_id is a conversation; rows that repeat are turns of
-their own.
+their own; an empty table gives no rows; a very long text is held by one task, as its piece.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ ROLES = ("system", "user", "assistant")
 #: Costs of merging a turn into the one in front, of another role, of a role where none is known, and of
 #: an empty turn.
 MERGE_COST, RELABEL_COST, UNKNOWN_COST, EMPTY_COST = 1.0, 2.0, 1.0, 3.0
-#: Turns of a block.
-BLOCK = 256
+#: Turns of a block, turns that one task is meant for, and traces that a task remembers.
+BLOCK, TASK_TURNS, REMEMBER = 256, 100_000, 20_000
 
 _INF = float("inf")
 #: States that may follow each state.
@@ -104,36 +106,64 @@ def block_costs(roles: list[int]) -> np.ndarray:
     return cost
 
 
-def trace(roles: list[int], first: int, last: int) -> list[Step]:
-    """The best path over a run of turns between two states."""
-    cost = [{a: 0.0 if a == first else _INF for a in range(4)}]
+def forward(roles: tuple[int, ...], entry: tuple[float, ...]) -> list[tuple[float, ...]]:
+    """Least costs of each state in front of a run of turns, given those at its entry, and behind each turn."""
+    out = [entry]
     for role in roles:
-        after = dict.fromkeys(range(4), _INF)
+        cost, after = out[-1], [_INF] * 4
         for a, steps in STEPS[role].items():
             for s in steps:
-                after[s.b] = min(after[s.b], cost[-1][a] + s.cost)
-        cost.append(after)
+                if cost[a] + s.cost < after[s.b]:
+                    after[s.b] = cost[a] + s.cost
+        out.append(tuple(after))
+    return out
+
+
+def _back(roles: tuple[int, ...], costs: list[tuple[float, ...]], last: int) -> tuple[list[Step], int]:
+    """The best path over a run of turns that ends in a state, and the state that it comes from."""
     path: list[Step] = []
     state = last
     for k in range(len(roles), 0, -1):
-        ways = [(s.rank, a, s) for a, steps in STEPS[roles[k - 1]].items() for s in steps if s.b == state and cost[k - 1][a] + s.cost == cost[k][state]]
+        before, want = costs[k - 1], costs[k][state]
+        ways = [(s.rank, a, s) for a, steps in STEPS[roles[k - 1]].items() for s in steps if s.b == state and before[a] + s.cost == want]
         _, state, step = min(ways, key=lambda x: x[:2])
         path.append(step)
-    return path[::-1]
+    return path[::-1], state
+
+
+@lru_cache(maxsize=REMEMBER)
+def trace(roles: tuple[int, ...], entry: tuple[float, ...], last: int) -> tuple[Step, ...]:
+    """The best path over a run of turns from the costs at its entry to the state behind it."""
+    return tuple(_back(roles, forward(roles, entry), last)[0])
+
+
+@lru_cache(maxsize=REMEMBER)
+def ending(roles: tuple[int, ...], entry: tuple[float, ...]) -> tuple[float, int]:
+    """Least cost of a conversation that ends with these turns, and its last state."""
+    return last_state(forward(roles, entry)[-1])
+
+
+def last_state(cost: tuple[float, ...]) -> tuple[float, int]:
+    total = [cost[s] + EMPTY_COST * len(ENDS[s]) for s in range(4)]
+    return min(total), total.index(min(total))
 
 
-def borders(blocks: list[np.ndarray]) -> tuple[float, list[int]]:
-    """Least cost of a conversation of blocks, and the state behind each block."""
-    cost = [np.array([0.0, _INF, _INF, _INF])]
+def sources(roles: tuple[int, ...], entry: tuple[float, ...]) -> list[int]:
+    """For each state behind a run of turns the one in front that the best path to it comes from, -1 for none."""
+    costs = forward(roles, entry)
+    return [_back(roles, costs, s)[1] if costs[-1][s] < _INF else -1 for s in range(4)]
+
+
+#: Costs of the states where a conversation begins.
+ENTRY = (0.0, _INF, _INF, _INF)
+
+
+def entries(blocks: list[np.ndarray]) -> list[tuple[float, ...]]:
+    """Costs of the states in front of each block of a conversation, and behind the last."""
+    out = [ENTRY]
     for m in blocks:
-        cost.append((cost[-1][:, None] + m).min(axis=0))
-    total = [cost[-1][s] + EMPTY_COST * len(ENDS[s]) for s in range(4)]
-    state = int(np.argmin(total))
-    out = [state]
-    for k in range(len(blocks) - 1, 0, -1):
-        state = int(np.argmin(cost[k] + blocks[k][:, state]))
-        out.append(state)
-    return float(min(total)), out[::-1]
+        out.append(tuple((np.array(out[-1])[:, None] + m).min(axis=0).tolist()))
+    return out
 
 
 def _role(name: str | None) -> int:
@@ -141,17 +171,87 @@ def _role(name: str | None) -> int:
     return ROLES.index(name) + 1 if name in ROLES else START
 
 
-def _costs(table: pa.Table) -> pa.Table:
-    rows = table.combine_chunks().sort_by("place")
-    m = block_costs([_role(x) for x in rows.column("role").to_pylist()])
-    return pa.table({"conv": rows.column("conv").slice(0, 1), "block": rows.column("block").slice(0, 1), "costs": pa.array([m.ravel().tolist()], pa.list_(pa.float64()))})
+def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, list]]:
+    """Runs of rows with the same keys, as lists by column; the rows of a partition are sorted by them."""
+    held: dict[str, list] = {}
+    last: tuple | None = None
+    for batch in batches:
+        cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+        marks = list(zip(*(cols[k] for k in keys), strict=True))
+        cut = [k for k in range(len(marks)) if marks[k] != (marks[k - 1] if k else last)]
+        edges = [0, *[k for k in cut if k], len(marks)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if lo == hi:
+                continue
+            if held and marks[lo] != last:
+                yield held
+                held = {}
+            for n, v in cols.items():
+                held.setdefault(n, []).extend(v[lo:hi])
+            last = marks[lo]
+    if held:
+        yield held
+
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 5000) -> Iterator[pa.RecordBatch]:
+    """Rows of about `most` to a batch."""
+    held: list[tuple] = []
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+    for r in rows:
+        held.append(r)
+        if len(held) >= most:
+            yield out()
+            held = []
+    if held:
+        yield out()
+
 
+_COSTS = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("costs", pa.list_(pa.float64()))])
+_ENTRY = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("entry", pa.list_(pa.float64()))])
+_SOURCE = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("entry", pa.list_(pa.float64())), ("source", pa.list_(pa.int32())), ("behind", pa.list_(pa.float64()))])
+_LAST = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("entry", pa.list_(pa.float64())), ("last", pa.int32()), ("cost", pa.float64()), ("final", pa.bool_())])
 
-def _borders(table: pa.Table) -> pa.Table:
-    rows = table.combine_chunks().sort_by("block")
-    n = rows.num_rows
-    cost, states = borders([np.array(x).reshape(4, 4) for x in rows.column("costs").to_pylist()])
-    return pa.table({"conv": rows.column("conv"), "block": rows.column("block"), "first": pa.array([START, *states[:-1]], pa.int32()), "last": pa.array(states, pa.int32()), "cost": pa.array([cost] * n), "final": pa.array([False] * (n - 1) + [True])})
+
+def _roles(names: list[str | None]) -> tuple[int, ...]:
+    return tuple(map(_role, names))
+
+
+def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _batched(((x["conv"][0], x["block"][0], block_costs(list(_roles(x["role"]))).ravel().tolist()) for x in _blocks(batches, ("conv", "block"))), _COSTS)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for x in _blocks(batches, ("conv",)):
+            found = entries([np.array(c).reshape(4, 4) for c in x["costs"]])
+            yield from zip(x["conv"], x["block"], map(list, found[:-1]), strict=True)
+
+    yield from _batched(rows(), _ENTRY)
+
+
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for x in _blocks(batches, ("conv", "block")):
+            roles, entry = _roles(x["role"]), tuple(x["entry"][0])
+            yield x["conv"][0], x["block"][0], list(entry), sources(roles, entry), list(forward(roles, entry)[-1])
+
+    yield from _batched(rows(), _SOURCE)
+
+
+def _lasts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state behind each block, from the last one back."""
+
+    def rows() -> Iterator[tuple]:
+        for x in _blocks(batches, ("conv",)):
+            n = len(x["block"])
+            cost, state = last_state(tuple(x["behind"][-1]))
+            lasts = [state]
+            for k in range(n - 1, 0, -1):
+                lasts.append(x["source"][k][lasts[-1]])
+            for k, state in enumerate(reversed(lasts)):
+                yield x["conv"][k], x["block"][k], x["entry"][k], state, cost, k == n - 1
+
+    yield from _batched(rows(), _LAST)
 
 
 def render_head(role: int) -> str:
@@ -161,29 +261,35 @@ def render_head(role: int) -> str:
 END = "<|end|>\n"
 
 
-def _rendered(table: pa.Table) -> pa.Table:
-    """Pieces of a block. A turn's piece closes the turn in front of it, unless it is merged into that."""
-    rows = table.combine_chunks().sort_by("place")
-    first, last, final = rows.column("first")[0].as_py(), rows.column("last")[0].as_py(), rows.column("final")[0].as_py()
-    path = trace([_role(x) for x in rows.column("role").to_pylist()], first, last)
-    texts = rows.column("text").to_pylist()
-    pieces, state = [], first
-    for k, (step, text) in enumerate(zip(path, texts, strict=True)):
-        text = text or ""
-        if step.action == "merge":
-            piece = "\n" + text
-        else:
-            close = END if state != START else ""
-            piece = close + "".join(render_head(r) + END for r in step.empty) + render_head(step.b) + text
-        state = step.b
-        if final and k == len(path) - 1:
-            piece += END + "".join(render_head(r) + END for r in ENDS[state])
-        pieces.append(piece)
-    opened = [0 if s.action == "merge" else 1 + len(s.empty) for s in path]
-    return pa.table({
-        "conv": rows.column("conv"), "turn": rows.column("turn"), "place": rows.column("place"), "role": rows.column("role"), "out_role": pa.array([ROLES[s.b - 1] for s in path]), "action": pa.array([s.action for s in path]),
-        "n_empty": pa.array([len(s.empty) for s in path], pa.int32()), "opened": pa.array(opened, pa.int32()), "cost": rows.column("cost"), "piece": pa.array(pieces, pa.string()),
-    })
+_TURNS = pa.schema([
+    ("conv_id", pa.int64()), ("turn", pa.int64()), ("place", pa.int64()), ("role", pa.string()), ("out_role", pa.string()), ("action", pa.string()), ("n_empty", pa.int32()), ("opened", pa.int32()), ("cost", pa.float64()),
+    ("piece", pa.string()),
+])
+
+
+def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of blocks. A turn's piece closes the turn in front of it, unless it is merged into that."""
+
+    def rows() -> Iterator[tuple]:
+        for x in _blocks(batches, ("conv", "block")):
+            roles, n = _roles(x["role"]), len(x["role"])
+            if x["entry"][0] is None:  # the conversation has one block
+                entry, final = ENTRY, True
+                cost, last = ending(roles, entry)
+            else:
+                entry, last, cost, final = tuple(x["entry"][0]), x["last"][0], x["cost"][0], x["final"][0]
+            for k, (step, text) in enumerate(zip(trace(roles, entry, last), x["text"], strict=True)):
+                text = text or ""
+                if step.action == "merge":
+                    piece, opened = "\n" + text, 0
+                else:
+                    close = END if x["place"][k] else ""
+                    piece, opened = close + "".join(render_head(r) + END for r in step.empty) + render_head(step.b) + text, 1 + len(step.empty)
+                if final and k == n - 1:
+                    piece += END + "".join(render_head(r) + END for r in ENDS[step.b])
+                yield x["conv"][k], x["turn"][k], x["place"][k], x["role"][k], ROLES[step.b - 1], step.action, len(step.empty), opened, cost, piece
+
+    yield from _batched(rows(), _TURNS)
 
 
 def repaired(spark: SparkSession, turns: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -203,11 +309,29 @@ def repaired(spark: SparkSession, turns: DataFrame, block: int = BLOCK) -> DataF
     named = parts.withColumnsRenamed({"conv": "p_conv", "part": "p_part"})
     placed = ranged.join(named, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("part") == F.col("p_part"))).select("conv", "turn", "role", "text", (F.col("within") - F.col("begin") + F.col("before")).alias("place"))
     placed = work.write(placed.withColumn("block", F.floor(F.col("place") / block)), "placed")
-    costs = placed.select("conv", "block", "place", "role").groupBy("conv", "block").applyInArrow(_costs, "conv bigint, block bigint, costs array<double>")
-    ends = work.write(costs.groupBy("conv").applyInArrow(_borders, "conv bigint, block bigint, first int, last int, cost double, final boolean"), "borders").withColumnsRenamed({"conv": "e_conv", "block": "e_block"})
-    full = placed.join(ends, F.col("conv").eqNullSafe(F.col("e_conv")) & (F.col("block") == F.col("e_block"))).drop("e_conv", "e_block")
-    out = full.groupBy("conv", "block").applyInArrow(_rendered, "conv bigint, turn bigint, place bigint, role string, out_role string, action string, n_empty int, opened int, cost double, piece string")
-    return out.withColumnRenamed("conv", "conv_id")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-placed.count() // TASK_TURNS))
+    convs = lambda df: df.repartition(tasks, "conv").sortWithinPartitions("conv", "block")
+    blocks = lambda df: df.repartition(tasks, "conv", "block").sortWithinPartitions("conv", "block", "place")
+    # conversations of several blocks: costs, then states, at each border
+    long = placed.groupBy("conv").agg(F.max("block").alias("b")).where("b > 0").select(F.col("conv").alias("l_conv"))
+    turns_ = placed.join(long, F.col("conv").eqNullSafe(F.col("l_conv")), "left_semi").select("conv", "block", "place", "role")
+    turns_ = work.write(turns_, "long")
+    columns = placed.select("conv", "block", "place", "turn", "role", "text")
+    if turns_.isEmpty():
+        full = columns.withColumns({"entry": F.lit(None).cast("array<double>"), "last": F.lit(None).cast("int"), "cost": F.lit(None).cast("double"), "final": F.lit(None).cast("boolean")})
+    else:
+        costs = blocks(turns_).mapInArrow(_costs, "conv bigint, block bigint, costs array<double>")
+        entry = convs(costs).mapInArrow(_entries, "conv bigint, block bigint, entry array<double>")
+        found = blocks(_with(turns_, entry, "inner")).mapInArrow(_sources, "conv bigint, block bigint, entry array<double>, source array<int>, behind array<double>")
+        lasts = work.write(convs(found).mapInArrow(_lasts, "conv bigint, block bigint, entry array<double>, last int, cost double, final boolean"), "borders")
+        full = _with(columns, lasts, "left")
+    return blocks(full).mapInArrow(_rendered, "conv_id bigint, turn bigint, place bigint, role string, out_role string, action string, n_empty int, opened int, cost double, piece string")
+
+
+def _with(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """rows joined to a table of blocks."""
+    named = table.withColumnsRenamed({"conv": "e_conv", "block": "e_block"})
+    return rows.join(named, F.col("conv").eqNullSafe(F.col("e_conv")) & (F.col("block") == F.col("e_block")), how).drop("e_conv", "e_block")
 
 
 def _window():
