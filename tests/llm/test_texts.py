@@ -228,6 +228,42 @@ def test_edits(monkeypatch, leaf):
             assert tree.text == text and tree.total == len(counter.coding.encode_ordinary(text))
 
 
+@pytest.mark.parametrize("leaf", [1, 8, 64])
+def test_many_edits(monkeypatch, leaf):
+    """Hundreds of edits of one text, at one spot, in order and all over, and cuts that empty it."""
+    monkeypatch.setattr(tt, "LEAF", leaf)
+    counter, rng = tt.Counter(tt.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))), random.Random(leaf)
+    for where in (lambda n, k: min(n, 40), lambda n, k: min(n, 3 * k), lambda n, k: rng.randint(0, n)):
+        text = "some words, 12 here  and there\n" * 60
+        tree = tt.TokenTree(counter, text)
+        for k in range(400):
+            a = where(len(text), k)
+            b = min(len(text), a + rng.choice([0, 0, 2, 9, 60 if k % 50 else 1500]))
+            put = rng.choice(["x y ", " ", "don't", "", "12 \n\n ", "a b c d e f g h "])
+            tree.edit(a, b, put)
+            text = text[:a] + put + text[b:]
+            if k % 20 == 0:
+                assert tree.text == text and tree.total == len(counter.coding.encode_ordinary(text))
+        assert tree.text == text and tree.total == len(counter.coding.encode_ordinary(text))
+        assert sum(len(x.lengths) for x in tree.leaves) == len(counter.split.findall(text)) and sum(x.chars for x in tree.leaves) == len(text)
+
+
+def test_edits_cost_what_they_touch():
+    """Thousands of edits of a long text take about as long each as of a short one."""
+    import time
+
+    counter = tt.Counter(tt.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")))
+    spent = []
+    for repeat in (1_000, 100_000):
+        tree = tt.TokenTree(counter, "some words here " * repeat)
+        rng, began = random.Random(0), time.process_time()
+        for _ in range(2000):
+            a = rng.randint(0, tree.root.chars)
+            tree.edit(a, a, "one more ")
+        spent.append(time.process_time() - began)
+    assert spent[1] < 5 * spent[0] + 0.5
+
+
 def test_edits_touch_little():
     counter = tt.Counter(tt.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")))
     tree = tt.TokenTree(counter, "some words here " * 5000)

@@ -2,23 +2,24 @@
 
 A byte-level BPE encodes each pre-token (a match of the vocabulary's pattern) by itself, so a text's number
 of tokens is a sum over its pre-tokens. A document keeps a segment tree over runs of pre-tokens: leaves hold
-the bounds and counts of up to LEAF pre-tokens, inner nodes sums of characters and tokens. An edit re-reads
-the pattern from the last pre-token that it cannot reach back to, until a new bound falls on an old one
-behind the edit; only new pre-tokens are encoded, the leaves concerned are replaced, and sums change along
-their paths.
+the text, bounds and counts of up to LEAF pre-tokens, inner nodes sums of characters and tokens. An edit
+re-reads the pattern from the last pre-token that it cannot reach back to, until a new bound falls on an old
+one behind the edit; only new pre-tokens are encoded, the leaves concerned are replaced, and sums change along
+their paths. The text exists in the leaves alone, so an edit costs what it touches and the height of the tree.
 
 How far back a match depends on the text: the pattern looks at most two characters past a match's end
 (white space before a word; a contraction), so pre-tokens that end CONTEXT characters before an edit stand.
 
 Defined cases: null and empty texts have no tokens; an edit outside of the text fails; edits of one
-document are applied in order, each on the text that the one before left.
+document are applied in order, each on the text that the one before left; rows that repeat, and repeated or
+null identifiers, are each returned; an empty table gives no rows; a very long text is held whole by one task,
+where a single pre-token of any length is encoded in one go.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,123 +67,205 @@ class Counter:
         return [known[w] for w in words]
 
 
-@dataclass
-class _Leaf:
-    """Lengths in characters and tokens of some pre-tokens in a row."""
+class _Node:
+    """A node: its sums and, of a leaf, the text, lengths in characters and tokens of some pre-tokens in a row."""
 
-    chars: list[int]
-    tokens: list[int]
+    __slots__ = ("after", "before", "chars", "left", "lengths", "right", "text", "tokens", "up", "values")
+
+    def __init__(self, text: str = "", lengths: list[int] | None = None, values: list[int] | None = None):
+        self.left: _Node | None = None
+        self.right: _Node | None = None
+        self.up: _Node | None = None
+        self.before: _Node | None = None  # neighbours among leaves
+        self.after: _Node | None = None
+        self.put(text, lengths or [], values or [])
+
+    def put(self, text: str, lengths: list[int], values: list[int]) -> None:
+        self.text, self.lengths, self.values = text, lengths, values
+        self.chars, self.tokens = len(text), sum(values)
 
 
 class TokenTree:
     """The segment tree of one text.
 
-    Sums are kept in arrays of twice the leaves' capacity (node k has children 2k and 2k + 1). Leaves that
-    an edit makes too many are handled by building the arrays anew from the leaves' sums; pre-tokens
-    outside of the edit are neither split nor encoded again.
+    A leaf that edits make too large becomes an inner node over leaves of its parts; leaves that edits empty
+    stay with sums of 0. When the tree has become too high, or has too many empty leaves, it is built anew
+    from its leaves, which splits or encodes no text and happens after as many changes as leaves.
     """
 
     def __init__(self, counter: Counter, text: str):
         self.counter = counter
-        self.text = text
         words = counter.split.findall(text)
-        tokens = counter.counts(words)
-        self.leaves = self._cut([len(w) for w in words], tokens)
-        self._build()
         self.reread = 0
+        self._build(self._cut(text, [len(w) for w in words], counter.counts(words)))
 
     @staticmethod
-    def _cut(chars: list[int], tokens: list[int]) -> list[_Leaf]:
-        return [_Leaf(chars[k : k + LEAF], tokens[k : k + LEAF]) for k in range(0, len(chars), LEAF)] or [_Leaf([], [])]
+    def _cut(text: str, lengths: list[int], values: list[int]) -> list[_Node]:
+        """Leaves of up to LEAF pre-tokens, at least one."""
+        out, at = [], 0
+        for k in range(0, len(lengths), LEAF):
+            own = lengths[k : k + LEAF]
+            size = sum(own)
+            out.append(_Node(text[at : at + size], own, values[k : k + LEAF]))
+            at += size
+        return out or [_Node()]
+
+    def _build(self, leaves: list[_Node]) -> None:
+        for a, b in zip(leaves[:-1], leaves[1:], strict=True):
+            a.after, b.before = b, a
+        leaves[0].before = leaves[-1].after = None
+        self.first, self.empty, self.number = leaves[0], 0, len(leaves)
+        self.root, self.highest = self._over(leaves), 2 * len(leaves).bit_length() + 8
+        self.root.up = None
 
-    def _build(self) -> None:
-        self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for k, leaf in enumerate(self.leaves):
-            self.chars[self.width + k], self.tokens[self.width + k] = sum(leaf.chars), sum(leaf.tokens)
-        for k in range(self.width - 1, 0, -1):
-            self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
+    @staticmethod
+    def _over(leaves: list[_Node]) -> _Node:
+        """A balanced tree over leaves."""
+        level = leaves
+        while len(level) > 1:
+            up = []
+            for k in range(0, len(level) - 1, 2):
+                node = _Node()
+                node.left, node.right = level[k], level[k + 1]
+                node.left.up = node.right.up = node
+                node.chars, node.tokens = node.left.chars + node.right.chars, node.left.tokens + node.right.tokens
+                up.append(node)
+            level = up + level[len(level) // 2 * 2 :]
+        return level[0]
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
-
-    def _leaf_at(self, place: int) -> tuple[int, int]:
-        """The leaf that holds a character (or the last one), and the characters in front of it."""
-        k, before = 1, 0
-        while k < self.width:
-            k *= 2
-            if place >= before + self.chars[k] and self.chars[k + 1]:
-                before += self.chars[k]
-                k += 1
-        return k - self.width, before
+        return self.root.tokens
+
+    @property
+    def leaves(self) -> list[_Node]:
+        out, leaf = [], self.first
+        while leaf:
+            out.append(leaf)
+            leaf = leaf.after
+        return out
+
+    @property
+    def text(self) -> str:
+        return "".join(x.text for x in self.leaves)
+
+    def _leaf_at(self, place: int) -> tuple[_Node, int]:
+        """The leaf that holds a character (or the last one with text), and the characters in front of it."""
+        node, before = self.root, 0
+        while node.left:
+            if place >= before + node.left.chars and node.right.chars:
+                before += node.left.chars
+                node = node.right
+            else:
+                node = node.left
+        return node, before
 
     def edit(self, start: int, end: int, put: str) -> None:
         """Replaces the characters start to end of the text."""
-        if not 0 <= start <= end <= len(self.text):
+        if not 0 <= start <= end <= self.root.chars:
             raise ValueError("the edit is outside of the text")
-        old_text, shift = self.text, len(put) - (end - start)
-        self.text = old_text[:start] + put + old_text[end:]
+        shift = len(put) - (end - start)
         # the last pre-token that cannot depend on the edit ends at most here
-        first, at = self._leaf_at(max(0, start - CONTEXT))
-        while first > 0 and at > start - CONTEXT:
-            first -= 1
-            at -= self.chars[self.width + first]
-        head = self.leaves[first]
-        kept = 0
-        while kept < len(head.chars) and at + head.chars[kept] + CONTEXT <= start:
-            at += head.chars[kept]
+        first, begin = self._leaf_at(max(0, start - CONTEXT))
+        while first.before and begin > start - CONTEXT:
+            first = first.before
+            begin -= first.chars
+        at, kept = begin, 0
+        while kept < len(first.lengths) and at + first.lengths[kept] + CONTEXT <= start:
+            at += first.lengths[kept]
             kept += 1
+        # the text from there on, as far as leaves have been looked at
+        seen, old = first, [first.text[at - begin :]]
+        until = begin + first.chars
+        while until < end and seen.after:
+            seen = seen.after
+            old.append(seen.text)
+            until += seen.chars
+        old_text = "".join(old)
+        text = old_text[: start - at] + put + old_text[end - at :]
         # old bounds behind the edit, leaf by leaf as the new matches come to them
         last, bound, inner = first, at, kept
         words: list[str] = []
-        place = at
-        limit = len(self.text)
-        met = False
+        place, met = 0, False  # in text
         match = self.counter.split.match
-        while place < limit:
-            while bound + shift < place or bound < end:
-                step = self._next(last, inner)
-                if step is None:
+        while True:
+            found = None
+            while place < len(text):
+                found = match(text, place)
+                if found.end() + CONTEXT <= len(text) or not seen.after:
+                    break
+                # what comes next may change the match
+                seen = seen.after
+                text += seen.text
+            if place >= len(text) and seen.after:
+                seen = seen.after
+                text += seen.text
+                continue
+            while bound + shift < at + place or bound < end:
+                while inner == len(last.lengths) and last.after and last is not seen:
+                    last, inner = last.after, 0
+                if inner == len(last.lengths):
                     break
-                last, inner, size = step
-                bound += size
-            if bound >= end and bound + shift == place:
+                bound += last.lengths[inner]
+                inner += 1
+            if bound >= end and bound + shift == at + place:
                 met = True
                 break
-            found = match(self.text, place)
+            if found is None:  # the end of the text
+                break
             words.append(found.group())
             place = found.end()
-        if not met:  # to the end of the text
-            last, inner = len(self.leaves) - 1, len(self.leaves[-1].chars)
+        if not met:
+            last, inner = seen, len(seen.lengths)
         self.reread += len(words)
-        tail = self.leaves[last]
-        counts = self.counter.counts(words)
-        own = _Leaf(head.chars[:kept] + [len(w) for w in words] + tail.chars[inner:], head.tokens[:kept] + counts + tail.tokens[inner:])
-        new = self._cut(own.chars, own.tokens)
-        if len(new) == last - first + 1:
-            for k, leaf in enumerate(new, first):
-                self.leaves[k] = leaf
-                self._update(k, sum(leaf.chars), sum(leaf.tokens))
+        tail = last.text[sum(last.lengths[:inner]) :]
+        own = (first.text[: at - begin] + text[:place] + tail, first.lengths[:kept] + [len(w) for w in words] + last.lengths[inner:], first.values[:kept] + self.counter.counts(words) + last.values[inner:])
+        while first is not last:  # what the edit has swallowed stays as an empty leaf
+            self._put(last, "", [], [])
+            last = last.before
+        self._put(first, *own)
+        if len(first.lengths) > 2 * LEAF:
+            self._part(first)
+        if self.empty > self.number // 2 + 8:
+            self._build([x for x in self.leaves if x.lengths] or [self.first])
+
+    def _put(self, leaf: _Node, text: str, lengths: list[int], values: list[int]) -> None:
+        """New content of a leaf, with the sums above it."""
+        chars, tokens, self.empty = leaf.chars, leaf.tokens, self.empty + (bool(leaf.lengths) - bool(lengths))
+        leaf.put(text, lengths, values)
+        more_chars, more_tokens = leaf.chars - chars, leaf.tokens - tokens
+        node = leaf.up
+        while node:
+            node.chars += more_chars
+            node.tokens += more_tokens
+            node = node.up
+
+    def _part(self, leaf: _Node) -> None:
+        """Puts leaves of its parts in place of a leaf."""
+        parts = self._cut(leaf.text, leaf.lengths, leaf.values)
+        self.number += len(parts) - 1
+        for a, b in zip(parts[:-1], parts[1:], strict=True):
+            a.after, b.before = b, a
+        parts[0].before, parts[-1].after = leaf.before, leaf.after
+        if leaf.before:
+            leaf.before.after = parts[0]
+        else:
+            self.first = parts[0]
+        if leaf.after:
+            leaf.after.before = parts[-1]
+        node, up = self._over(parts), leaf.up
+        node.up = up
+        if up is None:
+            self.root = node
+        elif up.left is leaf:
+            up.left = node
         else:
-            self.leaves[first : last + 1] = new
-            self._build()
-
-    def _next(self, leaf: int, inner: int) -> tuple[int, int, int] | None:
-        """The place behind an old pre-token, and its length."""
-        while inner == len(self.leaves[leaf].chars):
-            if leaf + 1 == len(self.leaves):
-                return None
-            leaf, inner = leaf + 1, 0
-        return leaf, inner + 1, self.leaves[leaf].chars[inner]
-
-    def _update(self, leaf: int, chars: int, tokens: int) -> None:
-        k = self.width + leaf
-        more_chars, more_tokens = chars - self.chars[k], tokens - self.tokens[k]
-        while k:
-            self.chars[k] += more_chars
-            self.tokens[k] += more_tokens
-            k //= 2
+            up.right = node
+        height = len(parts).bit_length()
+        while up:
+            height, up = height + 1, up.up
+        if height > self.highest:
+            self._build([x for x in self.leaves if x.lengths] or [self.first])
 
 
 def personal_edits(patterns: list, text: str) -> list[tuple[int, int, str]]:
@@ -213,7 +296,7 @@ def _edited(content: bytes, with_edits: bool):
             edits_in = batch.column("edits").to_pylist() if with_edits else None
             for k, text in enumerate(bt.column(batch, "text").to_pylist()):
                 tree = TokenTree(counter, text)
-                before, n = tree.total, sum(len(x.chars) for x in tree.leaves)
+                before, n = tree.total, sum(len(x.lengths) for x in tree.leaves)
                 edits = [(e["start"], e["end"], e["put"] or "") for e in edits_in[k] or ()] if with_edits else personal_edits(patterns, text)
                 for e in edits:
                     tree.edit(*e)
