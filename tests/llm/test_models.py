@@ -126,6 +126,38 @@ def test_compaction(spark):
     assert table.shards() == live
 
 
+def test_writers_and_vacuum(spark, monkeypatch):
+    """A vacuum between a writer's files and its commit spares them; of a writer that fails they go."""
+    root = Workspace(spark, "test-writers").at("t")
+    one, two = compaction.ShardedTable(spark, root), compaction.ShardedTable(spark, root)
+    one.append(spark.range(10))
+    commit, met = compaction.ShardedTable.commit, []
+
+    def late(table, base, shards):
+        if table is one and not met:  # the other writer is first, and clears the table
+            met.append(two.append(spark.range(100, 110)))
+            met.append(two.vacuum())
+        return commit(table, base, shards)
+
+    monkeypatch.setattr(compaction.ShardedTable, "commit", late)
+    assert one.append(spark.range(50, 55)) == 3 and met == [2, []]
+    assert sorted(r.id for r in one.read().collect()) == [*range(10), *range(50, 55), *range(100, 110)]
+
+    def failing(table, base, shards):
+        raise RuntimeError("the writer is lost")
+
+    monkeypatch.setattr(compaction.ShardedTable, "commit", failing)
+    with pytest.raises(RuntimeError):
+        two.append(spark.range(5))
+    monkeypatch.setattr(compaction.ShardedTable, "commit", commit)
+    assert len(one.vacuum()) >= 1 and one.read().count() == 25
+    folder = "shards/left"
+    one._written(spark.range(3).coalesce(1), folder)  # a writer that is gone without giving its claim up
+    assert not one.vacuum()
+    monkeypatch.setattr(compaction, "CLAIM_SECONDS", -10)
+    assert len(one.vacuum()) == 1 and one.read().count() == 25
+
+
 def test_compaction_edges(spark, edge, edge_rows):
     rows = compaction.sharded(spark, edge, arrivals=3).collect()
     assert Counter((r.doc_id, r.n_bytes) for r in rows) == Counter((i, len((t or "").encode())) for i, t in edge_rows)

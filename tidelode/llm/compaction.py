@@ -5,7 +5,9 @@ once a tier has `fanout` shards, runs of them are merged into files of up to the
 the tier of their size, until no tier is full. A manifest lists the live shards. Each append and each
 compaction writes its files first and then commits the next version of the manifest by renaming a complete
 temporary file to a name that must not exist yet: of two writers one fails, and a reader sees either
-version whole. Files of old versions stay until `vacuum`.
+version whole; an append that fails is committed again on the version that came first. Files of old versions
+stay until `vacuum`. A writer claims its folder before it writes and gives the claim up after its commit, so
+`vacuum` spares files that wait for theirs.
 
 The driver handles names and sizes of shards, whose number is the data over the target size (plus less than
 `fanout` a tier); rows are moved by tasks only, each merge reading and writing its own shards.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -30,8 +33,10 @@ from tidelode.llm.workspace import Workspace
 
 #: Bytes of a file that compaction aims at, shards that fill a tier, and how much larger each tier is.
 TARGET_BYTES, FANOUT, RATIO = 128 << 20, 4, 4
-#: Merges that one compaction job carries out.
-JOB_MERGES = 512
+#: Merges that one compaction job carries out, and versions that an append tries to follow.
+JOB_MERGES, TRIES = 512, 20
+#: Seconds after which the claim of a writer that has not committed counts as given up.
+CLAIM_SECONDS = 7 * 86400
 
 
 @dataclass(frozen=True)
@@ -94,9 +99,11 @@ class ShardedTable:
 
     def _written(self, df: DataFrame, folder: str) -> list[Shard]:
         """Writes df below the root and lists its files with their rows."""
+        self._fs.mkdirs(self._path(f"{self.root}/claims"))
+        self._fs.create(self._claim(folder), True).close()
         df.write.mode("error").parquet(f"{self.root}/{folder}")
         rows = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}")
-        counts = {r.name: r.n for r in rows.groupBy(F.col("_metadata.file_path").alias("name")).agg(F.count("*").alias("n")).collect()}
+        counts = {r.name: r.n for r in rows.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n")).collect()}
         out = []
         files = self._fs.listFiles(self._path(f"{self.root}/{folder}"), True)
         while files.hasNext():
@@ -104,18 +111,32 @@ class ShardedTable:
             full = f.getPath().toString()
             name = full[full.index(f"/{folder}/") + 1 :]
             if name.endswith(".parquet"):
-                n = next((v for k, v in counts.items() if k.endswith(name)), 0)
+                n = counts.get(f.getPath().getName(), 0)
                 if n:
                     out.append(Shard(name, int(f.getLen()), int(n)))
                 else:
                     self._fs.delete(f.getPath(), False)
         return sorted(out, key=lambda s: s.name)
 
+    def _claim(self, folder: str):
+        return self._path(f"{self.root}/claims/{folder.rpartition('/')[2]}")
+
     def append(self, arrival: DataFrame) -> int:
-        """Adds the partitions of an arrival as shards."""
-        base = max(self.versions(), default=0)
-        live = self.shards()
-        return self.commit(base, live + self._written(arrival, f"shards/{uuid.uuid4().hex}"))
+        """Adds the partitions of an arrival as shards, behind whatever versions come first meanwhile."""
+        folder = f"shards/{uuid.uuid4().hex}"
+        try:
+            made = self._written(arrival, folder)
+            for left in range(TRIES, 0, -1):
+                base = max(self.versions(), default=0)
+                live = self.shards(base) if base else []
+                try:
+                    return self.commit(base, live + made)
+                except ConflictError:
+                    if left == 1:
+                        raise
+        finally:
+            self._fs.delete(self._claim(folder), False)
+        raise AssertionError
 
     def tier(self, size: int) -> int:
         """Tiers count up from 0; files of the target size and above are in the last."""
@@ -145,18 +166,22 @@ class ShardedTable:
         """Merges until no tier is full; one version for each round of merges. Returns the last version."""
         while True:
             base = max(self.versions(), default=0)
-            live = self.shards()
+            live = self.shards(base) if base else []
             merges = self.plan(live)[:JOB_MERGES]
             if not merges:
                 return base
             gone = {s.name for run in merges for s in run}
-            made = self._merged(merges)
-            self.commit(base, [s for s in live if s.name not in gone] + made)
-
-    def _merged(self, merges: list[list[Shard]]) -> list[Shard]:
+            folder = f"shards/{uuid.uuid4().hex}"
+            try:
+                made = self._merged(merges, folder)
+                self.commit(base, [s for s in live if s.name not in gone] + made)
+            finally:
+                self._fs.delete(self._claim(folder), False)
+
+    def _merged(self, merges: list[list[Shard]], folder: str) -> list[Shard]:
         """One file for each run, by one task that reads the run's shards: nothing is shuffled."""
         runs = [self._files(run).coalesce(1) for run in merges]
-        return self._written(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs), f"shards/{uuid.uuid4().hex}")
+        return self._written(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs), folder)
 
     def _files(self, shards: list[Shard]) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{s.name}" for s in shards])
@@ -168,17 +193,25 @@ class ShardedTable:
         return self._files(self.shards(version))
 
     def vacuum(self, keep: int = 1) -> list[str]:
-        """Deletes files that none of the last `keep` versions lists; returns their names."""
-        known = self.versions()[-keep:]
-        live = {s.name for v in known for s in self.shards(v)}
-        gone = []
-        files = self._fs.listFiles(self._path(f"{self.root}/shards"), True)
-        while files.hasNext():
+        """Deletes files that none of the last `keep` versions lists and no writer claims; returns their names.
+
+        Files are listed before claims, and claims before versions: a file whose claim has gone by then is in a
+        version, or its writer has failed.
+        """
+        found = {}
+        files = self._fs.listFiles(self._path(f"{self.root}/shards"), True) if self._fs.exists(self._path(f"{self.root}/shards")) else None
+        while files and files.hasNext():
             p = files.next().getPath()
-            name = p.toString()[p.toString().index("/shards/") + 1 :]
-            if name.endswith(".parquet") and name not in live:
-                self._fs.delete(p, False)
-                gone.append(name)
+            name = p.toString()[p.toString().rindex("/shards/") + 1 :]
+            if name.endswith(".parquet"):
+                found[name] = p
+        oldest = (time.time() - CLAIM_SECONDS) * 1000
+        claims = self._path(f"{self.root}/claims")
+        claimed = {s.getPath().getName() for s in self._fs.listStatus(claims) if s.getModificationTime() >= oldest} if self._fs.exists(claims) else set()
+        live = {s.name for v in self.versions()[-keep:] for s in self.shards(v)}
+        gone = sorted(n for n in found if n not in live and n.split("/")[1] not in claimed)
+        for n in gone:
+            self._fs.delete(found[n], False)
         return gone
 
 
