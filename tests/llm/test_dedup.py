@@ -251,6 +251,21 @@ def test_substrings_of_few_letters(spark, alphabet):
         assert Counter(map(tuple, got)) == spans_plain(rows, 24)
 
 
+@pytest.mark.parametrize("segments", [200, 20_000])
+def test_substrings_of_one_passage_in_many_contexts(spark, segments):
+    """A passage that most documents share makes a key with more segments than a bucket holds."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(150))[:800]
+    rows = [(k, " ".join(word() for _ in range(rng.randint(0, 90))) + " " + (passage if k % 4 else "") + " " + " ".join(word() for _ in range(rng.randint(0, 90)))) for k in range(1200)]
+    rows += [(5000 + k, rows[k][1]) for k in range(3)] + [(1, rows[1][1]), (None, rows[2][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = repeated_spans(spark, docs, bucket_segments=segments).drop("spans").collect()
+    assert Counter(map(tuple, got)) == spans_plain(rows, 400)
+
+
 def test_substrings_empty(spark, edge):
     assert repeated_spans(spark, edge.limit(0)).count() == 0
     with pytest.raises(ValueError):

@@ -10,11 +10,16 @@ All windows with one anchor make a segment: the bytes from its first window's st
    128-bit digest of its segment. A window can only repeat if its key does; other anchors end here.
 2. Segments with one digest are equal: all their windows repeat. One of each digest goes on.
 3. Segments that share a key with another are fetched. Sampled splitters part their suffixes (the text
-   from the anchor on) by range; each bucket is sorted by multikey quicksort, as are the reversed texts in
-   front of the anchors. Two windows at the same offset are equal if the suffixes share enough bytes to
-   the right and the reversed texts enough to the left, which the common prefixes of sorted neighbours
-   tell for all segments of a bucket at once.
-4. Windows whose bytes reach across a splitter are compared across buckets, by digest.
+   from the anchor on) by range of their leading bytes, as many as the key covers; each bucket is sorted by
+   multikey quicksort, as are the reversed texts in front of the anchors. Two windows at the same offset are
+   equal if the suffixes share enough bytes to the right and the reversed texts enough to the left, which the
+   common prefixes of sorted neighbours tell for all segments of a bucket at once. Suffixes on two sides of a
+   splitter differ in these leading bytes, which all windows hold, so no window is equal to one beyond it.
+4. A passage in very many contexts makes a key with more segments than a bucket should hold, and no splitter
+   parts them. Their windows are compared across tasks by 128-bit digests instead.
+
+The splitters are those of Spark's range exchange: it samples a bounded number of leading bytes, whatever the
+input, and the driver holds nothing else.
 
 Repeated windows become spans of bytes, merged for each document.
 
@@ -24,7 +29,6 @@ are occurrences like any others; identifiers may repeat or be null; an empty tab
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -38,8 +42,8 @@ from tidelode.llm import bytetext as bt
 from tidelode.llm.workspace import Workspace, sized
 
 LENGTH = 400
-#: Segments that a bucket is meant for, and sampled suffixes a splitter.
-BUCKET_SEGMENTS, SAMPLES = 20_000, 64
+#: Segments that a bucket is meant for, which are also the most that one key may bring.
+BUCKET_SEGMENTS = 10_000
 #: Broadcast limits in bytes: keys and digests, which are many, and identifiers of documents concerned.
 FEW_BYTES, DOCUMENT_BYTES = 1 << 20, 8 << 20
 #: Bytes of text that are searched for anchors at once.
@@ -119,18 +123,19 @@ def _anchored(shape: Shape):
 
 
 def _fetched(shape: Shape):
-    """The segments asked for: place, whether its digest is met once, suffix, reversed text in front."""
+    """The segments asked for: place, whether its digest is met once, whether its key has too many, suffix,
+    reversed text in front."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("id", "mark", "place", "alone", "suffix", "front")
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        names = ("id", "mark", "place", "alone", "hot", "suffix", "front")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary())
         for batch in batches:
             rows: list[tuple] = []
             for i, mark, body, wanted in zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("body"), batch.column("wanted").to_pylist(), strict=True):
                 text = memoryview(body.as_buffer())
                 for x in wanted:
                     a, near, far = x["place"] >> 32, x["place"] >> 16 & 0xFFFF, x["place"] & 0xFFFF
-                    rows.append((i, mark, x["place"], x["alone"], bytes(text[a : a - near + shape.length]), bytes(text[a - far : a])[::-1]))
+                    rows.append((i, mark, x["place"], x["alone"], x["hot"], bytes(text[a : a - near + shape.length]), bytes(text[a - far : a])[::-1]))
                 if len(rows) >= 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []
@@ -194,15 +199,6 @@ def repeated_offsets(suffixes: list[bytes], fronts: list[bytes], near: np.ndarra
     return out
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Bytes of the common prefix."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
-    return int(np.argmax(x != y))
-
-
 _SPAN = "id bigint, mark bigint, first bigint, last bigint, window binary"
 
 
@@ -214,38 +210,58 @@ def _spans(i, mark, place: int, offsets: np.ndarray, length: int) -> Iterator[tu
         yield i, mark, a - hi + 1, a - lo + length, None
 
 
-def _compared(shape: Shape, splitters: list[bytes]):
-    """Spans of windows that repeat in a bucket, and digests of those that reach across its splitters."""
+_FETCHED = "id bigint, mark bigint, place bigint, alone boolean, hot boolean, suffix binary, front binary"
+
+
+def _rows_out(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "mark", "first", "last", "window"])
+
+
+def _compared(shape: Shape):
+    """Spans of windows that repeat in a bucket, which is a partition."""
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        suffixes, fronts = table.column("suffix").to_pylist(), table.column("front").to_pylist()
-        place, alone = table.column("place").to_numpy(), table.column("alone").to_pylist()
-        ids, marks = table.column("id").to_pylist(), table.column("mark").to_pylist()
-        near, far = place >> 16 & 0xFFFF, place & 0xFFFF
-        found = repeated_offsets(suffixes, fronts, near, far, shape)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: dict[str, list] = {n: [] for n in ("id", "mark", "place", "alone", "suffix", "front")}
+        seen: set[tuple] = set()
+        for batch in batches:
+            ids, marks, places = (batch.column(n).to_pylist() for n in ("id", "mark", "place"))
+            new = []  # rows that repeat hold the same text: one of them is enough
+            for k, key in enumerate(zip(ids, marks, places, strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(k)
+            batch = batch.take(pa.array(new, pa.int64()))
+            for n, v in cols.items():
+                v += batch.column(n).to_pylist()
+        if not cols["id"]:
+            return
+        place = np.array(cols["place"], np.int64)
+        found = repeated_offsets(cols["suffix"], cols["front"], place >> 16 & 0xFFFF, place & 0xFFFF, shape)
         rows: list[tuple] = []
-        for k in np.flatnonzero(np.array(alone, bool) & found.any(axis=1)).tolist():
-            rows += _spans(ids[k], marks[k], int(place[k]), found[k], shape.length)
-        edges = splitters[max(0, bucket - 1) : bucket + 1]
-        for k in range(len(suffixes)):
-            reach = max((_common(suffixes[k], e) for e in edges), default=0)
-            lowest = max(int(near[k]), shape.length - reach)
-            text = None
-            for o in range(lowest, int(far[k]) + 1):
-                text = text or fronts[k][::-1] + suffixes[k]
-                a, at = int(place[k]) >> 32, int(far[k]) - o
-                rows.append((ids[k], marks[k], a - o, a - o + shape.length, xxhash.xxh3_128_digest(text[at : at + shape.length])))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-        return pa.table([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "mark", "first", "last", "window"])
+        for k in np.flatnonzero(np.array(cols["alone"], bool) & found.any(axis=1)).tolist():
+            rows += _spans(cols["id"][k], cols["mark"][k], int(place[k]), found[k], shape.length)
+        if rows:
+            yield _rows_out(rows)
 
     return run
 
 
-def _bucketed(splitters: list[bytes]):
+def _windows(shape: Shape):
+    """Every window of segments with its digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.append_column("bucket", pa.array([bisect.bisect_right(splitters, x) for x in b.column("suffix").to_pylist()], pa.int64()))
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, mark, place, suffix, front in zip(*(batch.column(n).to_pylist() for n in ("id", "mark", "place", "suffix", "front")), strict=True):
+                text, a, near, far = memoryview(front[::-1] + suffix), place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
+                for o in range(near, far + 1):
+                    rows.append((i, mark, a - o, a - o + shape.length, xxhash.xxh3_128_digest(text[far - o : far - o + shape.length])))
+                if len(rows) >= 20_000:
+                    yield _rows_out(rows)
+                    rows = []
+            if rows:
+                yield _rows_out(rows)
 
     return run
 
@@ -290,24 +306,22 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     whole = shared.join(sized(segments.where("n > 1").select("s1", "s2"), 32, FEW_BYTES), ["s1", "s2"], "left_semi").select("id", "mark", first.alias("first"), last.alias("last"))
 
     # segments to compare: other digests have their key, and not all of these repeat anyway
-    open_ = work.write(segments.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("key"), "open")
-    wanted = segments.join(sized(open_, 16, FEW_BYTES), "key", "left_semi").select("one.id", "one.mark", F.struct(F.col("one.place").alias("place"), (F.col("n") == 1).alias("alone")).alias("x"))
+    open_ = work.write(segments.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("key", (F.col("c") > bucket_segments).alias("hot")), "open")
+    wanted = segments.join(sized(open_, 17, FEW_BYTES), "key").select("one.id", "one.mark", F.struct(F.col("one.place").alias("place"), (F.col("n") == 1).alias("alone"), "hot").alias("x"))
     wanted = work.write(wanted.groupBy("id", "mark").agg(F.collect_list("x").alias("wanted")), "wanted")
     total = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).head()[0]
     source = _with(texts, wanted).select("id", "mark", "body", "wanted")
-    # rows that repeat hold the same text: one of them is enough
-    fetched = work.write(source.mapInArrow(_fetched(shape), "id bigint, mark bigint, place bigint, alone boolean, suffix binary, front binary").dropDuplicates(["id", "mark", "place"]), "fetched")
+    fetched = work.write(source.mapInArrow(_fetched(shape), _FETCHED), "fetched")
     buckets = max(1, -(-total // bucket_segments))
-    splitters: list[bytes] = []
-    if buckets > 1:
-        rate = min(1.0, SAMPLES * buckets / total)
-        drawn = sorted({bytes(r[0]) for r in fetched.where(F.pmod(F.xxhash64("id", "mark", "place"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1).select("suffix").collect()})
-        splitters = [drawn[k * len(drawn) // buckets] for k in range(1, buckets)] if len(drawn) >= buckets else drawn
-    dealt = fetched.mapInArrow(_bucketed(splitters), "id bigint, mark bigint, place bigint, alone boolean, suffix binary, front binary, bucket bigint")
-    compared = work.write(dealt.groupBy("bucket").applyInArrow(_compared(shape, splitters), _SPAN), "compared")
-    across = compared.where("window is not null")
-    met = across.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
-    spans = whole.unionByName(compared.where("window is null").drop("window")).unionByName(across.join(met, "window", "left_semi").drop("window"))
+    dealt = fetched.where("not hot").drop("hot").repartitionByRange(buckets, F.substring("suffix", 1, shape.key))
+    compared = dealt.mapInArrow(_compared(shape), _SPAN)
+    hot = fetched.where("hot").drop("hot")
+    if not hot.isEmpty():
+        windows = hot.mapInArrow(_windows(shape), _SPAN).dropDuplicates(["window", "id", "mark", "first"])
+        windows = work.write(windows, "windows")
+        met = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
+        compared = compared.unionByName(windows.join(met, "window", "left_semi").select("id", "mark", "first", "last", "window"))
+    spans = whole.unionByName(compared.drop("window"))
     spans = work.write(spans.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first:bigint,last:bigint>>"
     if spans.count() * 24 > DOCUMENT_BYTES:
