@@ -104,7 +104,8 @@ def test_near(spark, edge, edge_rows):
     assert all(r.component_id is None for r in rows if r.doc_id is None)
 
 
-def test_near_families(spark, monkeypatch):
+@pytest.mark.parametrize(("hot", "sketch"), [(50_000, 4), (6, 4), (6, 0)])
+def test_near_families(spark, monkeypatch, hot, sketch):
     """Families larger than a tile's pairs, and boilerplate that unlike documents share."""
     import random
 
@@ -123,12 +124,32 @@ def test_near_families(spark, monkeypatch):
         rows.append((k, " ".join(boiler + [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(5, 60))])))
         k += 1
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for name, value in (("PAIRED", 4), ("FREQUENT", 4), ("LOCAL", 2), ("CELL", 8), ("SKETCH_BLOCK", 8)):
+    for name, value in (("PAIRED", 4), ("FREQUENT", 4), ("LOCAL", 2), ("CELL", 8), ("SKETCH_BLOCK", 8), ("HOT", hot), ("SKETCH", sketch)):
         monkeypatch.setattr(ngram_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in join(spark, docs).collect()}
     assert got == near_plain(rows)
 
 
+def test_leading_components():
+    """What a tile's cells compare is every pair of members of different components, once."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(0, 60))
+        tile = np.sort(rng.integers(0, 4, n).astype(np.uint64))
+        root = rng.choice([1, 1, 1, 1, 2, 3], n) if rng.random() < 0.7 else rng.integers(0, 9, n)
+        about = {k: v.tolist() for k, v in ngram_join.led(tile, root).items()}
+        for t in set(tile.tolist()):
+            at = [k for k in range(n) if tile[k] == t]
+            lead, rest = [k for k in at if about["lead"][k]], [k for k in at if not about["lead"][k]]
+            assert all(root[k] == root[lead[0]] for k in lead) and (not lead or 2 * len(lead) > len(at))
+            assert bool(lead) == any(2 * sum(root[at] == x) > len(at) for x in root[at])
+            assert all(about["several"][k] == (len(set(root[rest])) > 1) for k in at)
+            for own, name in ((lead, "leads"), (rest, "rests")):
+                assert all(about[name][k] == -(-len(own) // ngram_join.CELL) for k in at)
+
+
 def links_plain(rows):
     """Of each document the other sets, and the other documents, that link with it."""
     sets = {i: shingles(t) for i, t in rows}

@@ -8,7 +8,10 @@ make one class; only its smallest identifier goes on. The rest runs in three ste
    of a family of near copies by a few pairs for each member.
 2. Tiles. In one global order (hashes that many documents hold come last) two sets of similarity t share
    an element among the first n - ceil(t n) + 1 of each. Each class puts these elements in tiles. Within a
-   tile, classes of compatible size (bands) that are not in one component yet make candidate pairs.
+   tile, classes of compatible size (bands) that are not in one component yet make candidate pairs. A large
+   tile is compared in cells of two blocks. Where most members are in one component, which need no comparison
+   with each other, only the others are copied to its blocks. Tiles of elements that very many documents hold
+   are spread over tasks by member before anything is gathered.
 3. Bounds, then proof. Every set has a bitmap of hashed elements. The bits that only one of two bitmaps
    has bound the overlap from above; pairs that may still reach t are intersected as sorted arrays.
    A coarse bitmap, which costs half to move, goes first.
@@ -48,13 +51,15 @@ BLOCK, LOCAL = 1_000_000, 4
 FREQUENT, MOST_FREQUENT = 32, 1_000_000
 #: Records of a tile file, and members up to which a tile lists its pairs at once.
 TILE_RECORDS, PAIRED = 400_000, 16
+#: Reports of an element from which on its tiles are spread over several files.
+HOT = 50_000
 #: Bits of a signature for each element, rounded up to a power of two, those of a coarse one, which already
 #: tells unlike sets apart, and the fewest bits.
 BITS_EACH, COARSE_EACH, FEWEST_BITS = 4, 2, 256
 
 #: Members and elements of a block of a component whose links are counted, elements of the components that one
 #: task counts together, and cells of the matrix in which overlaps are added up.
-LINK_BLOCK, LINK_ELEMENTS, LINK_TOGETHER, LINK_CELLS = 512, 1_000_000, 500_000, 4 << 20
+LINK_BLOCK, LINK_ELEMENTS, LINK_TOGETHER, LINK_CELLS = 1024, 1_000_000, 500_000, 4 << 20
 
 _C = bt.splitmix(np.arange(5000, 5064, dtype=np.uint64)) | np.uint64(1)
 
@@ -275,17 +280,23 @@ def _unpack(packed: bytes) -> dict[str, np.ndarray]:
     return rec
 
 
-def _records(n: int, percent: int, frequent: np.ndarray, shift: int):
-    """Each class's prefix elements, packed for each file of tiles: (file, payload)."""
+def _records(n: int, percent: int, frequent: np.ndarray, shift: int, hot: np.ndarray, spread: int):
+    """Each class's prefix elements, packed for each file of tiles: (file, payload).
+
+    Files from 1 << shift on hold the tiles of hot elements (a mask over frequent ones), by member.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, int, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, int, np.ndarray]] = []
         total = 0
 
         def out() -> pa.RecordBatch:
             long = [len(x[0]) for x in held]
             rec = {"tile": np.concatenate([x[0] for x in held])} | {name: np.repeat(np.array([x[k] for x in held], np.int64), long) for k, name in ((1, "id"), (2, "root"), (3, "n"))}
             file = (rec["tile"] >> np.uint64(64 - shift)).astype(np.int64) if shift else np.zeros(len(rec["tile"]), np.int64)
+            often = np.concatenate([x[4] for x in held])
+            if often.any():
+                file[often] = (1 << shift) + (bt.splitmix(rec["id"][often].view(np.uint64) ^ rec["tile"][often]) % np.uint64(spread)).astype(np.int64)
             order = np.argsort(file, kind="stable")
             file = file[order]
             cut = np.flatnonzero(np.diff(file, prepend=-1))
@@ -298,8 +309,8 @@ def _records(n: int, percent: int, frequent: np.ndarray, shift: int):
             for part in bt.slices(bt.column(batch, "text")):
                 for i, root, s in zip(ids[part.lo : part.hi], roots[part.lo : part.hi], shingle_sets(part, n), strict=True):
                     if len(s):
-                        tiles = tiles_of(s, percent, frequent)
-                        held.append((tiles, i, root, len(s)))
+                        tiles, often = tiles_of(s, percent, frequent, hot)
+                        held.append((tiles, i, root, len(s), often))
                         total += len(tiles)
                 if total >= TILE_RECORDS:
                     yield out()
@@ -310,36 +321,82 @@ def _records(n: int, percent: int, frequent: np.ndarray, shift: int):
     return run
 
 
-def tiles_of(s: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
-    """The tiles of a sorted set: one for each rare element of its prefix, two for each frequent one.
+def tiles_of(s: np.ndarray, percent: int, frequent: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tiles of a sorted set, and whether they are of hot elements: one for each rare element of its
+    prefix, two for each frequent one.
 
     Tiles of frequent elements are split by size band: a set enters that of its own band and the next
     one, so two sets of compatible sizes still meet.
     """
     k = prefix_length(len(s), percent)
     if not len(frequent):
-        return bt.splitmix(s[:k])
-    often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        return bt.splitmix(s[:k]), np.zeros(k, bool)
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    often = frequent[at] == s
     rare = s[~often][:k]
     if len(rare) == k:
-        return bt.splitmix(rare)
+        return bt.splitmix(rare), np.zeros(k, bool)
     band = np.array([[0], [1]], np.uint64) + np.uint64(int(np.log(len(s)) * _BANDS) + 1)
     common = s[often][: k - len(rare)]
-    return np.concatenate([bt.splitmix(rare), bt.splitmix(common + band * _C[:1]).ravel()])
+    spread = np.concatenate([np.zeros(len(rare), bool), np.tile(hot[at[often][: k - len(rare)]], 2)])
+    return np.concatenate([bt.splitmix(rare), bt.splitmix(common + band * _C[:1]).ravel()]), spread
 
 
-_TILED = "a bigint, b bigint, na bigint, nb bigint, tile bigint, root bigint, block int, members bigint"
+_TILED = "a bigint, b bigint, na bigint, nb bigint, tile bigint, root bigint, lead boolean, block int, leads int, rests int, several boolean, members bigint"
 #: Members of a large tile that are compared with each other by one task, and members from which on they are
 #: compared by their finer bitmaps: such tiles hold families, whose pairs recur in many tiles.
 CELL, FINE = 2048, 32
 
 
-def _tiled(percent: int):
-    """Pairs of small tiles, and the members (b null) of large ones, of classes in several components."""
+def led(tile: np.ndarray, root: np.ndarray) -> dict[str, np.ndarray]:
+    """Of members sorted by tile: whether they are in the component that holds most of their tile's members, if
+    it holds more than half of them; their block among such members, or among the others; the number of blocks
+    of either kind; whether the others are of several components."""
+    n = len(tile)
+    order = np.lexsort((root, tile))
+    t, r = tile[order], root[order]
+    new = np.concatenate(([True], (t[1:] != t[:-1]) | (r[1:] != r[:-1]))) if n else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, n))
+    same = np.repeat(count, count)
+    begins = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(begins, n))
+    which = np.repeat(np.arange(len(begins)), size)
+    lead = np.zeros(n, bool)
+    lead[order] = 2 * same > size[which]
+    tile_of = np.zeros(n, np.int64)
+    tile_of[order] = which
+    leads = np.bincount(tile_of, lead, len(begins)).astype(np.int64)
+    rests = size - leads
+    # rests of one component have as many members of one root as there are rests
+    one = np.zeros(len(begins), bool)
+    one[which[(same == rests[which]) & ~lead[order]]] = True
+    both = tile_of * 2 + lead
+    place = np.zeros(n, np.int64)
+    by = np.argsort(both, kind="stable")
+    start = np.flatnonzero(np.concatenate(([True], both[by][1:] != both[by][:-1]))) if n else np.zeros(0, np.int64)
+    place[by] = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
+    return {"lead": lead, "block": place // CELL, "leads": (-(-leads // CELL))[tile_of], "rests": (-(-rests // CELL))[tile_of], "several": ~one[tile_of] & (rests[tile_of] > 1)}
+
+
+def _tiled(percent: int, shift: int):
+    """Pairs of small tiles, and the members (b null) of large ones, of classes in several components.
+
+    Members of hot tiles come without anything about their tile, which other tasks hold too (members null).
+    """
+
+    def hot(rec: dict[str, np.ndarray]) -> pa.Table:
+        n = len(rec["tile"])
+        none = lambda kind: pa.nulls(n, kind)
+        own = {"a": rec["id"], "na": rec["n"], "tile": bt.signed(rec["tile"].copy()), "root": rec["root"]}
+        kinds = {"b": pa.int64(), "nb": pa.int64(), "lead": pa.bool_(), "block": pa.int32(), "leads": pa.int32(), "rests": pa.int32(), "several": pa.bool_(), "members": pa.int64()}
+        return pa.table({c: pa.array(own[c]) if c in own else none(kinds[c]) for c in ("a", "b", "na", "nb", "tile", "root", "lead", "block", "leads", "rests", "several", "members")})
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpack(x.as_py()) for x in table.column("payload")]
         rec = {k: np.concatenate([x[k] for x in parts]) for k, _ in _FIELDS}
+        if table.column("file")[0].as_py() >= 1 << shift:
+            return hot(rec)
 
         def pick(at: np.ndarray) -> None:
             for k in rec:
@@ -366,14 +423,14 @@ def _tiled(percent: int):
         pairs[:, swap] = pairs[[1, 0, 3, 2]][:, swap]
         pairs = np.unique(pairs, axis=1) if pairs.shape[1] else pairs
         big = np.flatnonzero(~small)
-        begins = np.flatnonzero(np.diff(t[big], prepend=t[big][:1] ^ np.uint64(1))) if len(big) else np.zeros(0, np.int64)
-        place = np.arange(len(big)) - np.repeat(begins, np.diff(np.append(begins, len(big))))
+        about = led(t[big], r[big])
         p, q = pairs.shape[1], len(big)
+        of = lambda name, kind: pa.concat_arrays([pa.nulls(p, kind), pa.array(about[name], kind)])
         return pa.table({
             "a": pa.array(np.concatenate([pairs[0], i[big]])), "b": pa.concat_arrays([pa.array(pairs[1]), pa.nulls(q, pa.int64())]),
             "na": pa.array(np.concatenate([pairs[2], n[big]])), "nb": pa.concat_arrays([pa.array(pairs[3]), pa.nulls(q, pa.int64())]),
             "tile": pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(bt.signed(t[big].copy()))]), "root": pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(r[big])]),
-            "block": pa.concat_arrays([pa.nulls(p, pa.int32()), pa.array((place // CELL).astype(np.int32))]), "members": pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(size[big])]),
+            "lead": of("lead", pa.bool_()), "block": of("block", pa.int32()), "leads": of("leads", pa.int32()), "rests": of("rests", pa.int32()), "several": of("several", pa.bool_()), "members": pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(size[big])]),
         })
 
     return run
@@ -384,9 +441,12 @@ def _compared(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("na", "ascending"), ("a", "ascending")])
-        i, n, root, block = (table.column(k).to_numpy() for k in ("a", "na", "root", "block"))
-        one = table.column("x")[0].as_py() == table.column("y")[0].as_py()
-        differ = lambda k, at: at[(root[at] != root[k]) & ((block[at] != block[k]) | one)]
+        i, n, root, block, lead = (table.column(k).to_numpy() for k in ("a", "na", "root", "block", "lead"))
+        if table.column("mixed")[0].as_py():
+            differ = lambda k, at: at[lead[at] != lead[k]]
+        else:
+            one = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+            differ = lambda k, at: at[(root[at] != root[k]) & ((block[at] != block[k]) | one)]
         sigs = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sig")]
         found = [np.stack([np.full(len(at), k), at]) for k, at, _ in allowed(n, sigs, percent, differ)]
         x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
@@ -552,22 +612,33 @@ class NgramJoin:
 
         # tiles of the exact prefix filter
         often = seen.where("element is not null").groupBy("element").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= FREQUENT)
-        often = work.write(often.orderBy(F.desc("hits"), "element").limit(MOST_FREQUENT).select("element"), "frequent")
-        frequent = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
+        often = work.write(often.orderBy(F.desc("hits"), "element").limit(MOST_FREQUENT).select("element", "hits"), "frequent").toArrow()
+        frequent, hits = often.column("element").to_numpy().astype(np.int64).view(np.uint64), often.column("hits").to_numpy()
+        order = np.argsort(frequent)
+        frequent, hot = frequent[order], hits[order] >= HOT
+        spread = max(1, int(-(-int(hits[hits >= HOT].sum()) // TILE_RECORDS)))
         total = classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).head()[0] or 0
         shift = max(0, int(np.ceil(np.log2(max(1.0, total / TILE_RECORDS)))))
         texts = self.docs.where("id is not null").join(sized(copies.select("id"), 24), "id", "left_anti").join(sized(roots.select(F.col("node").alias("id"), "root"), 40), "id", "left").select("id", "text", F.coalesce("root", "id").alias("root"))
-        packed = texts.mapInArrow(_records(self.n, percent, frequent, shift), "file bigint, payload binary")
-        tiled = work.write(packed.groupBy("file").applyInArrow(_tiled(percent), _TILED), "tiled")
+        packed = texts.mapInArrow(_records(self.n, percent, frequent, shift, hot, spread), "file bigint, payload binary")
+        tiled = work.write(packed.groupBy("file").applyInArrow(_tiled(percent, shift), _TILED), "tiled")
         small = tiled.where("b is not null").select("a", "b", "na", "nb")
-        large = tiled.where("b is null")
+        large = tiled.where("b is null and members is not null")
+        if hot.any():
+            large = large.unionByName(self._hot(tiled.where("b is null and members is null").select("a", "na", "tile", "root")), allowMissingColumns=True)
         ids = tiled.select(F.col("a").alias("id")).unionByName(small.select(F.col("b").alias("id")))
         self._signed(ids, "signatures-1")
-        blocks = F.ceil(F.col("members") / CELL).cast("int")
-        cell = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y"))))
+        # cells of a block of the leading component and one of the others, and of two blocks of the others
+        cell_of = lambda mixed, x, y: F.struct(F.lit(mixed).alias("mixed"), x.alias("x"), y.alias("y"))
+        up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+        block, leads, rests = F.col("block"), F.col("leads"), F.col("rests")
+        own = F.transform(up_to(rests), lambda k: cell_of(True, block, k))
+        others = F.transform(up_to(leads), lambda k: cell_of(True, k, block))
+        others = F.concat(others, F.when(F.col("several"), F.transform(up_to(rests), lambda k: cell_of(False, F.least(k, block), F.greatest(k, block)))).otherwise(F.array().cast("array<struct<mixed:boolean,x:int,y:int>>")))
+        cell = F.explode(F.when(F.col("lead"), own).otherwise(others))
         fine = large.where(F.col("members") >= FINE).join(self._sigs("a", "sig"), "a")
-        cells = large.where(F.col("members") < FINE).join(self._sigs("a", "sig", "coarse"), "a").unionByName(fine).withColumn("cell", cell).select("tile", "cell.x", "cell.y", "a", "na", "root", "block", "sig")
-        cells = cells.groupBy("tile", "x", "y").applyInArrow(_compared(percent), "a bigint, b bigint, na bigint, nb bigint")
+        cells = large.where(F.col("members") < FINE).join(self._sigs("a", "sig", "coarse"), "a").unionByName(fine).withColumn("cell", cell).select("tile", "cell.mixed", "cell.x", "cell.y", "a", "na", "root", "lead", "block", "sig")
+        cells = cells.groupBy("tile", "mixed", "x", "y").applyInArrow(_compared(percent), "a bigint, b bigint, na bigint, nb bigint")
         more = self._proved(self._bounded(small.unionByName(cells).distinct(), "tile"), "tile")
         links = links.unionByName(more)
         whole = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
@@ -579,6 +650,17 @@ class NgramJoin:
         self.classes, self.roots = classes, roots
         return named
 
+    def _hot(self, members: DataFrame) -> DataFrame:
+        """Members of hot tiles with what `led` tells of a tile, by counts that are summed before each shuffle."""
+        each = self.work.write(members.groupBy("tile", "root").agg(F.count("*").alias("c")), "hot-roots")
+        tiles = each.groupBy("tile").agg(F.sum("c").alias("members"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+        led_ = F.col("most.c") * 2 > F.col("members")
+        lead = F.when(led_, F.col("most.c")).otherwise(F.lit(0))
+        count = lambda c: F.ceil(c / CELL).cast("int")
+        tiles = self.work.write(tiles.select("tile", F.when(led_, F.col("most.root")).alias("top"), count(lead).alias("leads"), count(F.col("members") - lead).alias("rests"), ((F.col("roots") - led_.cast("int")) > 1).alias("several"), "members"), "hot-tiles")
+        rows = members.join(sized(tiles, 48), "tile").withColumn("lead", F.coalesce(F.col("root") == F.col("top"), F.lit(False)))
+        return rows.withColumn("block", F.pmod(F.xxhash64("a", "tile"), F.when(F.col("lead"), F.col("leads")).otherwise(F.col("rests"))).cast("int")).drop("top")
+
     def degrees(self) -> DataFrame:
         """After run(), of each class with links: class, n_links (to other classes), n_similar (documents of these)."""
         work = self.work
