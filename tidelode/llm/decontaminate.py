@@ -187,7 +187,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         phrases = Phrases([(r.name, r.text) for r in block.distinct().collect()], size)
-        part = texts.mapInArrow(_searched(phrases), _OUT)
+        part = texts.mapInArrow(bt.lean(_searched(phrases)), _OUT)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:  # rows of one document meet, and as many come out as went in for each block
         met = found.groupBy("id", "digest").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / blocks).cast("int").alias("copies"))

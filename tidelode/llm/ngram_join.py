@@ -547,7 +547,7 @@ class NgramJoin:
 
     def _made(self, ids: DataFrame, whole: bool) -> DataFrame:
         """id and bits, the signature or the whole set, of written ids."""
-        made = self.docs.join(sized(ids, 24), "id", "left_semi").mapInArrow(_features(self.n, whole), "id bigint, bits binary, coarse binary")
+        made = self.docs.join(sized(ids, 24), "id", "left_semi").mapInArrow(bt.lean(_features(self.n, whole)), "id bigint, bits binary, coarse binary")
         return made
 
     def _signed(self, ids: DataFrame, name: str) -> None:
@@ -566,7 +566,7 @@ class NgramJoin:
         """Of pairs (a, b, na, nb) those that their bitmaps allow: first the coarse ones, then the others."""
         for kind in ("coarse", "bits"):
             both = pairs.join(self._sigs("a", "sig_a", kind), "a").join(self._sigs("b", "sig_b", kind), "b")
-            pairs = self.work.write(both.mapInArrow(_bounded(self.percent), "a bigint, b bigint, na bigint, nb bigint"), f"{name}-{kind}")
+            pairs = self.work.write(both.mapInArrow(bt.lean(_bounded(self.percent)), "a bigint, b bigint, na bigint, nb bigint"), f"{name}-{kind}")
         return pairs
 
     def _proved(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -576,21 +576,21 @@ class NgramJoin:
         sets = self.work.write(self._made(ids, True), f"{name}-sets")
         side = lambda k: sets.select(F.col("id").alias(k), F.col("bits").alias(f"set_{k}"))
         full = open_.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
-        links = self.work.write(full.mapInArrow(_proved(self.percent), "a bigint, b bigint"), f"{name}-links")
+        links = self.work.write(full.mapInArrow(bt.lean(_proved(self.percent)), "a bigint, b bigint"), f"{name}-links")
         self.work.drop(f"{name}-sets")
         return links
 
     def run(self) -> DataFrame:
         """Documents: id, n, root, class."""
         work, percent = self.work, self.percent
-        seen = work.write(self.docs.mapInArrow(_seen(self.n), _SEEN), "seen")
+        seen = work.write(self.docs.mapInArrow(bt.lean(_seen(self.n)), _SEEN), "seen")
         rows = seen.where("n is not null").select("id", "n", "d1", "d2", "sketch")
         unique = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
         if not unique:
             # where an identifier repeats, its smallest set speaks for it, from here on by one such text
             smallest = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("n", "d1", "d2", "sketch")).alias("s")).select("id", "s.*")
             rows = work.write(smallest.unionByName(rows.where("id is null")), "rows")
-            self.docs = work.write(self.docs.mapInArrow(_digested(self.n), "id bigint, text binary, d1 bigint, d2 bigint").join(rows.select("id", "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id"]).select("id", F.col("text").cast("string").alias("text")), "docs")
+            self.docs = work.write(self.docs.mapInArrow(bt.lean(_digested(self.n)), "id bigint, text binary, d1 bigint, d2 bigint").join(rows.select("id", "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id"]).select("id", F.col("text").cast("string").alias("text")), "docs")
         classes = work.write(rows.where("id is not null and n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("class"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
         copies = work.write(rows.join(classes.where("copies > 1").select("n", "d1", "d2", "class"), ["n", "d1", "d2"]).where("id <> class").select("id", "class"), "copies")
 
@@ -606,7 +606,7 @@ class NgramJoin:
         roots = work.write(components(links, work, "star-components"), "star-roots")
         block = F.pmod(F.xxhash64("class", "element"), F.ceil(F.col("m") / SKETCH_BLOCK))
         cells = tiles.join(self._sigs("class", "sig"), "class").join(sized(roots.withColumnRenamed("node", "class"), 40), "class", "left")
-        cells = cells.select("element", block.alias("block"), "class", "n", F.coalesce("root", "class").alias("root"), "sig").groupBy("element", "block").applyInArrow(_nearest(percent), "a bigint, b bigint")
+        cells = cells.select("element", block.alias("block"), "class", "n", F.coalesce("root", "class").alias("root"), "sig").groupBy("element", "block").applyInArrow(bt.lean_group(_nearest(percent)), "a bigint, b bigint")
         links = links.unionByName(self._proved(cells, "nearest"))
         roots = work.write(components(links, work, "sketch-components"), "sketch-roots")
 
@@ -620,8 +620,8 @@ class NgramJoin:
         total = classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).head()[0] or 0
         shift = max(0, int(np.ceil(np.log2(max(1.0, total / TILE_RECORDS)))))
         texts = self.docs.where("id is not null").join(sized(copies.select("id"), 24), "id", "left_anti").join(sized(roots.select(F.col("node").alias("id"), "root"), 40), "id", "left").select("id", "text", F.coalesce("root", "id").alias("root"))
-        packed = texts.mapInArrow(_records(self.n, percent, frequent, shift, hot, spread), "file bigint, payload binary")
-        tiled = work.write(packed.groupBy("file").applyInArrow(_tiled(percent, shift), _TILED), "tiled")
+        packed = texts.mapInArrow(bt.lean(_records(self.n, percent, frequent, shift, hot, spread)), "file bigint, payload binary")
+        tiled = work.write(packed.groupBy("file").applyInArrow(bt.lean_group(_tiled(percent, shift)), _TILED), "tiled")
         small = tiled.where("b is not null").select("a", "b", "na", "nb")
         large = tiled.where("b is null and members is not null")
         if hot.any():
@@ -638,7 +638,7 @@ class NgramJoin:
         cell = F.explode(F.when(F.col("lead"), own).otherwise(others))
         fine = large.where(F.col("members") >= FINE).join(self._sigs("a", "sig"), "a")
         cells = large.where(F.col("members") < FINE).join(self._sigs("a", "sig", "coarse"), "a").unionByName(fine).withColumn("cell", cell).select("tile", "cell.mixed", "cell.x", "cell.y", "a", "na", "root", "lead", "block", "sig")
-        cells = cells.groupBy("tile", "mixed", "x", "y").applyInArrow(_compared(percent), "a bigint, b bigint, na bigint, nb bigint")
+        cells = cells.groupBy("tile", "mixed", "x", "y").applyInArrow(bt.lean_group(_compared(percent)), "a bigint, b bigint, na bigint, nb bigint")
         more = self._proved(self._bounded(small.unionByName(cells).distinct(), "tile"), "tile")
         links = links.unionByName(more)
         whole = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
@@ -677,7 +677,7 @@ class NgramJoin:
         cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y"))))
         cells = wanted.join(sets, "class").select(key.alias("key"), cell.alias("cell"), "root", "class", "n", "copies", "block", "bits")
         cells = cells.select("key", "cell.x", "cell.y", "root", "class", "n", "copies", "block", "bits").groupBy("key", "x", "y")
-        found = work.write(cells.applyInArrow(_linked(self.percent), "class bigint, n_links bigint, n_similar bigint"), "linked")
+        found = work.write(cells.applyInArrow(bt.lean_group(_linked(self.percent)), "class bigint, n_links bigint, n_similar bigint"), "linked")
         work.drop("link-sets")
         return found.groupBy("class").agg(F.sum("n_links").alias("n_links"), F.sum("n_similar").alias("n_similar")).unionByName(two)
 

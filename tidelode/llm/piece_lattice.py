@@ -39,11 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelode.llm import bytetext as bt
+from tidelode.llm.workspace import Workspace
 
 #: Paths of a text that a query returns, bytes of a slice, longest unit of a matrix, units of a matrix.
 N_BEST, SLICE, LONGEST, MATRIX = 4, 1 << 20, 64, 4096
 #: Units whose N-best lists a task remembers.
-REMEMBER = 50_000
+REMEMBER = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = -1e18
 #: Scores below this mark pieces that the model does not use by itself.
@@ -560,7 +561,9 @@ def segmented(spark: SparkSession, docs: DataFrame, model_path: str, id_col: str
     pieces = Pieces.load(model_path)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
     kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInArrow(_encoded(pieces, n, with_ids), f"doc_id {kind}, n_tokens bigint, score double, ids_sha256 string, exact boolean, best {_PATHS}, ids array<int>")
+    # written by small Arrow batches, of which a task holds some on both sides of its pipe
+    work = Workspace(spark, "segmented")
+    return work.write(texts.mapInArrow(bt.lean(_encoded(pieces, n, with_ids)), f"doc_id {kind}, n_tokens bigint, score double, ids_sha256 string, exact boolean, best {_PATHS}, ids array<int>"), "paths")
 
 
 def _decoded(pieces: Pieces):
@@ -575,4 +578,4 @@ def _decoded(pieces: Pieces):
 def desegmented(spark: SparkSession, paths: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of rows with doc_id and ids; null ids give an empty text."""
     kind = dict(paths.dtypes)["doc_id"]
-    return paths.select("doc_id", "ids").mapInArrow(_decoded(Pieces.load(model_path)), f"doc_id {kind}, text string")
+    return paths.select("doc_id", "ids").mapInArrow(bt.lean(_decoded(Pieces.load(model_path))), f"doc_id {kind}, text string")

@@ -120,7 +120,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str, te
     n = good.count()
     if n > most_labels:
         good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * most_labels / n))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(good), "doc_id").select("label", "text").mapInArrow(_features, "label double, x array<double>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(good), "doc_id").select("label", "text").mapInArrow(bt.lean(_features), "label double, x array<double>")
     got = rows.toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, N_FEATURES)
     return Classifier(x, (got.column("label").to_numpy() > 0).astype(np.float64))
@@ -162,7 +162,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: F.Col
     model = fit(spark, docs, labels, id_col, text_col, most_labels)
     rows = docs.select(F.col(id_col).alias("doc_id"), host.alias("host"), path.alias("path"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     kinds = dict(rows.dtypes)
-    seen = work.write(rows.mapInArrow(_scored(model), f"doc_id {kinds['doc_id']}, host {kinds['host']}, path {kinds['path']}, mark bigint, evidence double"), "evidence")
+    seen = work.write(rows.mapInArrow(bt.lean(_scored(model)), f"doc_id {kinds['doc_id']}, host {kinds['host']}, path {kinds['path']}, mark bigint, evidence double"), "evidence")
     sums = [F.count("*").alias("n"), F.sum("evidence").alias("total"), F.sum(F.col("evidence") ** 2).alias("squares")]
     paths = work.write(seen.groupBy("host", "path").agg(*sums), "paths")
     hosts = paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares")))

@@ -297,7 +297,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     shape, work = Shape(length), Workspace(spark, "suffix-dedup")
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), body.alias("body")).withColumn("mark", F.xxhash64("body"))
-    found = work.write(texts.where(F.octet_length("body") >= length).mapInArrow(_anchored(shape), "id bigint, mark bigint, place bigint, key bigint, s1 bigint, s2 bigint"), "anchors")
+    found = work.write(texts.where(F.octet_length("body") >= length).mapInArrow(bt.lean(_anchored(shape)), "id bigint, mark bigint, place bigint, key bigint, s1 bigint, s2 bigint"), "anchors")
     keys = work.write(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     shared = work.write(found.join(sized(keys, 16, FEW_BYTES), "key", "left_semi"), "shared")
     segments = work.write(shared.groupBy("key", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "place")).alias("one")), "segments")
@@ -311,13 +311,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     wanted = work.write(wanted.groupBy("id", "mark").agg(F.collect_list("x").alias("wanted")), "wanted")
     total = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).head()[0]
     source = _with(texts, wanted).select("id", "mark", "body", "wanted")
-    fetched = work.write(source.mapInArrow(_fetched(shape), _FETCHED), "fetched")
+    fetched = work.write(source.mapInArrow(bt.lean(_fetched(shape)), _FETCHED), "fetched")
     buckets = max(1, -(-total // bucket_segments))
     dealt = fetched.where("not hot").drop("hot").repartitionByRange(buckets, F.substring("suffix", 1, shape.key))
-    compared = dealt.mapInArrow(_compared(shape), _SPAN)
+    compared = dealt.mapInArrow(bt.lean(_compared(shape)), _SPAN)
     hot = fetched.where("hot").drop("hot")
     if not hot.isEmpty():
-        windows = hot.mapInArrow(_windows(shape), _SPAN).dropDuplicates(["window", "id", "mark", "first"])
+        windows = hot.mapInArrow(bt.lean(_windows(shape)), _SPAN).dropDuplicates(["window", "id", "mark", "first"])
         windows = work.write(windows, "windows")
         met = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
         compared = compared.unionByName(windows.join(met, "window", "left_semi").select("id", "mark", "first", "last", "window"))
@@ -325,11 +325,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     spans = work.write(spans.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first:bigint,last:bigint>>"
     if spans.count() * 24 > DOCUMENT_BYTES:
-        return _with(texts, spans, "left").select("id", "body", "spans").mapInArrow(_cut, out)
+        return _with(texts, spans, "left").select("id", "body", "spans").mapInArrow(bt.lean(_cut), out)
     # documents that lose nothing stay where they are
     ids = F.broadcast(spans.select(F.col("id").alias("w_id"), F.col("mark").alias("w_mark")))
     rest = texts.join(ids, texts.id.eqNullSafe(F.col("w_id")) & (texts.mark == F.col("w_mark")), "left_anti").withColumn("spans", F.array().cast("array<struct<first:bigint,last:bigint>>"))
-    return _with(texts, spans).select("id", "body", "spans").unionByName(rest.select("id", "body", "spans")).mapInArrow(_cut, out)
+    return _with(texts, spans).select("id", "body", "spans").unionByName(rest.select("id", "body", "spans")).mapInArrow(bt.lean(_cut), out)
 
 
 def _with(texts: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:

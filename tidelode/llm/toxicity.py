@@ -127,7 +127,7 @@ def fit(spark: SparkSession, docs: DataFrame, grades: DataFrame, id_col: str, te
     n = own.count()
     if n > most_labels:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * most_labels / n))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(own), "doc_id").select("grade", "text").mapInArrow(_sparse, "grade int, words array<int>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(own), "doc_id").select("grade", "text").mapInArrow(bt.lean(_sparse), "grade int, words array<int>")
     got = rows.toArrow()
     words = got.column("words").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
@@ -155,4 +155,4 @@ def toxicity(spark: SparkSession, docs: DataFrame, grades: DataFrame, id_col: st
     (P(grade >= k) for k from 1), toxic. grades holds doc_id and an integer grade from 0."""
     model = fit(spark, docs, grades, id_col, text_col, most_labels)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scored(model), f"doc_id {dict(rows.dtypes)['doc_id']}, expected_severity double, grade int, at_least array<double>, toxic boolean")
+    return rows.mapInArrow(bt.lean(_scored(model)), f"doc_id {dict(rows.dtypes)['doc_id']}, expected_severity double, grade int, at_least array<double>, toxic boolean")
