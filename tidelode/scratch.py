@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only if its rows times their width stay below this.
 BROADCAST_BYTES = 8 << 20
 
-_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 #: Set where the cluster names no shared folder, as in local tests.
 _LOCAL: list[str] = []
