@@ -102,6 +102,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors of each query, which is every vector whose vec_id is divisible by 100."""
+    from tidelode.llm.threshold_search import top_k
+
+    return top_k(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -113,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op12_topk_search": op12_topk_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -148,4 +156,13 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
                sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
         from lowered left join hit using (doc_id) left join named using (doc_id)""",
+    "op12_topk_search": """
+        with v as (
+          select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+          where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+          select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+          from v q join v c on len(q.e) = len(c.e) and q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+        select query_id, row_number() over w::int as rank, vec_id, score
+        from scored window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 10""",
 }
