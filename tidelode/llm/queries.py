@@ -102,6 +102,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that share the first turns of their hundred."""
+    from tidelode.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(spark, _table(spark, sf_dir, "conversations"))
+
+
 def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best vectors of each query, which is every vector whose vec_id is divisible by 100."""
     from tidelode.llm.threshold_search import top_k
@@ -120,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_topk_search": op12_topk_search,
 }
 
@@ -156,6 +164,35 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
                sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
         from lowered left join hit using (doc_id) left join named using (doc_id)""",
+    # crc32 bit by bit, over the digits of conv_id
+    "op11_prefix_trie": """
+        with own as (
+          select conv_id, row_number() over (partition by conv_id order by turn nulls first) as pos, coalesce(role, '') as role, coalesce(text, '') as text
+          from conversations where conv_id is not null),
+        convs as (
+          select conv_id, conv_id - conv_id % 100 as base,
+                 xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+                   lambda acc, byte: list_reduce(list_concat([xor(acc, byte)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 6 as h
+          from (select distinct conv_id from own)),
+        mixed as (
+          select c.conv_id, 0 as part, pos, role, text from convs c join own o on o.conv_id = base where pos <= h
+          union all
+          select conv_id, 1, pos, role, text from own join convs using (conv_id) where pos > h),
+        paths as (
+          select c.conv_id, coalesce(list({'r': role, 't': text} order by part, pos) filter (part is not null), []) as path
+          from convs c left join mixed using (conv_id) group by c.conv_id),
+        prefixes as (select conv_id, path[1:d] as path, d, len(path) as n from paths, unnest(range(len(path) + 1)) as t(d)),
+        nodes as (
+          select path, d::bigint as depth, min(conv_id) as conv_id, count(*) as n_convs, coalesce(length(path[d].t), 0) as chars,
+                 sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '')) as ends_sha256
+          from prefixes group by path, d),
+        linked as (
+          select n.*, p.conv_id as parent_conv_id, (select count(*) from nodes c where c.depth = n.depth + 1 and c.path[1 : n.depth] = n.path) as n_children
+          from nodes n left join nodes p on p.depth = n.depth - 1 and p.path = n.path[1 : n.depth - 1]),
+        sums as (
+          select d.path, count(*) filter (n.n_children = 0) as n_leaves, sum((n.n_convs - 1) * n.chars)::bigint as saved_tokens
+          from linked n, unnest(range(n.depth + 1)) as t(up), nodes d where d.depth = up and d.path = n.path[1:up] group by d.path)
+        select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from linked join sums using (path)""",
     "op12_topk_search": """
         with v as (
           select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
