@@ -53,6 +53,17 @@ def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.T
     return trimming
 
 
+def lean_cogroup(run: Callable[[tuple, pa.Table, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Likewise a function for applyInArrow of two groups."""
+
+    def trimming(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(key, left, right)
+        trim()
+        return out
+
+    return trimming
+
+
 _MASK = (1 << 64) - 1
 
 
