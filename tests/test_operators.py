@@ -1,14 +1,16 @@
 """Edge rows of joins, ranks, samples, gates and formulas, with values worked out by hand or from published reports."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidelode import scratch
 from tidelode.functions import expressions as E
 from tidelode.functions.low_rank import merged_weights
-from tidelode.operators import crystal, gates, joins, ranking, reward, sampling, stats
+from tidelode.operators import crystal, gates, joins, neighbours, ranking, reward, sampling, stats
 
 
 def one(spark, c):
@@ -293,17 +295,96 @@ Cl1 0.5 0.5 1.5
 
 def test_structures(spark):
     rows = spark.createDataFrame([(SALT,), ("data_x\nnothing",), ("no block",), (None,), (SALT.replace("90\n_cell_angle_beta", "200\n_cell_angle_beta"),)], "t string").withColumn("s", crystal.wrapped(crystal.parsed("t")))
-    got = rows.select(crystal.invalid_reason(F.col("t"), F.col("s")), crystal.volume(F.col("s")), crystal.density(F.col("s")), crystal.geometry("s"), F.col("s.spacegroup"), F.col("s.sites")).collect()
+    got = rows.select(crystal.invalid_reason(F.col("t"), F.col("s")), crystal.volume(F.col("s")), crystal.density(F.col("s")), F.lit(0), F.col("s.spacegroup"), F.col("s.sites")).collect()
     assert [r[0] for r in got] == [None, "parse_error", "no_data_block", "no_data_block", "invalid_lattice_angle"]
     assert got[0][1] == pytest.approx(64.0) and got[0][2] == pytest.approx((22.990 + 35.45) * 1.66053906660 / 64)
-    assert got[0][3].min_distance == pytest.approx(math.sqrt(12)) and got[0][3].mean_cn == 0
+    sites = crystal.exploded_sites(rows.where(crystal.invalid_reason(F.col("t"), F.col("s")).isNull()), ["t"], "s")
+    measured = neighbours.geometry(sites, ["t"]).head()
+    assert measured.min_distance == pytest.approx(math.sqrt(12)) and measured.mean_cn == 0 and measured.n_sites == 2
     assert got[0][4] == "P m -3 m" and got[0][5][1].z == 0.5
 
 
-def test_flat_cells_have_no_geometry(spark):
-    flat = SALT.replace("_cell_length_a 4.0", "_cell_length_a 0.000001")
-    row = spark.createDataFrame([(flat,)], "t string").select(crystal.geometry(crystal.parsed("t")).alias("g")).head().g
-    assert row.min_distance is None and row.mean_cn is None
+def edges_of(a, b, c, alpha, beta, gamma):
+    ca, cb, cg, sg = math.cos(math.radians(alpha)), math.cos(math.radians(beta)), math.cos(math.radians(gamma)), math.sin(math.radians(gamma))
+    cy = (ca - cb * cg) / sg
+    return np.array([[a, 0, 0], [b * cg, b * sg, 0], [c * cb, c * cy, c * math.sqrt(1 - cb * cb - cy * cy)]])
+
+
+def plain_pairs(cell, sites, radius):
+    """All pairs of sites with all images that the heights of the cell allow."""
+    m = edges_of(*cell)
+    heights = abs(np.linalg.det(m)) / np.array([np.linalg.norm(np.cross(m[(k + 1) % 3], m[(k + 2) % 3])) for k in range(3)])
+    n = np.ceil(radius / heights).astype(int) + 1
+    shifts = np.stack(np.meshgrid(*[np.arange(-r, r + 1) for r in n], indexing="ij"), -1).reshape(-1, 3)
+    out = []
+    for p, x in sites:
+        for q, y in sites:
+            d = np.linalg.norm((np.array(y) % 1 - np.array(x) % 1 + shifts) @ m, axis=1)
+            out += [(p, q, round(float(v), 7)) for v in d[(d <= radius) & ((p != q) | (d > 1e-8))]]
+    return sorted(out)
+
+
+SITES = "k string, site int, x double, y double, z double, a double, b double, c double, alpha double, beta double, gamma double"
+CELLS = {
+    "cube": (5.1, 5.1, 5.1, 90, 90, 90), "flat": (0.31, 6.0, 7.0, 90, 90, 90), "skewed": (9.3, 8.7, 6.1, 90, 90, 7), "needle": (40.7, 1.3, 1.7, 80, 95, 120),
+    "sheared": (6.0, 30.0, 30.0, 12, 81, 83), "large": (61.0, 73.0, 55.0, 88, 92, 91), "obtuse": (4.9, 5.3, 6.7, 100, 110, 115),
+}
+
+
+def test_periodic_pairs_against_all_images(spark):
+    rng = random.Random(11)
+    sites = {k: [(n, [rng.uniform(-2, 2) for _ in range(3)]) for n in range(12 if k != "large" else 60)] for k in CELLS}
+    sites["cube"] += [(100, [0.0, 0.0, 0.0]), (101, [1.0, 0.0, -3.0])]  # two sites at one place
+    rows = [(k, n, *x, *map(float, CELLS[k])) for k, own in sites.items() for n, x in own]
+    rows += [("null", 0, None, 0.1, 0.1, *map(float, CELLS["cube"])), ("no volume", 0, 0.1, 0.1, 0.1, 5.0, 5.0, 5.0, 90.0, 90.0, 0.0), ("not finite", 0, float("inf"), 0.1, 0.1, *map(float, CELLS["cube"])), (None, 0, 0.1, 0.1, 0.1, *map(float, CELLS["cube"]))]
+    got = neighbours.periodic_pairs(spark.createDataFrame(rows, SITES).repartition(4), ["k"], 3.9).collect()
+    for k, own in sites.items():
+        found = sorted((r.site, r.other, round(r.distance, 7)) for r in got if r.k == k)
+        want = plain_pairs(CELLS[k], own, 3.9)
+        assert [x[:2] for x in found] == [x[:2] for x in want], k
+        assert np.allclose([x[2] for x in found], [x[2] for x in want], atol=2e-7), k
+    assert {r.k for r in got} <= set(sites)
+
+
+def test_geometry_of_flat_and_odd_cells(spark):
+    rows = [("flat", n, 0.5 * n, 0.5 * n, 0.5 * n, 0.0101, 4.0, 4.0, 90.0, 90.0, 90.0) for n in range(2)]
+    rows += [("none", 0, 0.0, 0.0, 0.0, 5.0, 5.0, 5.0, 90.0, 90.0, 0.0), ("part", 0, 0.0, 0.0, 0.0, 5.0, 5.0, 5.0, 90.0, 90.0, 90.0), ("part", 1, None, 0.0, 0.0, 5.0, 5.0, 5.0, 90.0, 90.0, 90.0), ("far", 0, 0.0, 0.0, 0.0, 50.0, 50.0, 50.0, 90.0, 90.0, 90.0)]
+    got = {r.k: r for r in neighbours.geometry(spark.createDataFrame(rows, SITES), ["k"]).collect()}
+    assert got["flat"].min_distance == pytest.approx(math.sqrt(8 + 0.00505**2))
+    assert got["flat"].mean_cn == 2 * 297 + 4 * 2 * 99  # its own images along the edge, and the other site's on four sides
+    assert got["none"].min_distance is None and got["none"].mean_cn is None and got["part"].max_cn is None
+    assert got["far"].min_distance is None and got["far"].mean_cn == 0 and got["far"].n_sites == 1
+    assert neighbours.geometry(spark.createDataFrame([], SITES), ["k"]).collect() == []
+
+
+def test_periodic_join_is_one_of_keys_in_the_jvm(spark):
+    rows = spark.createDataFrame([("x", 0, 0.1, 0.1, 0.1, *map(float, CELLS["cube"]))], SITES)
+    plan = neighbours.geometry(rows, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Cross" not in plan
+
+
+def test_percentiles_of_tied_values(spark):
+    """Nine values over 64 partitions: what is sorted is one row a value, however many rows have it."""
+    rows = spark.range(20_000).select(F.lit("k").alias("k"), (F.col("id") % 9 / 100.0).alias("v"), (F.col("id") % 9).alias("w"))
+    values = [r.v for r in rows.collect()]
+    work = scratch.Workspace(spark, "ties")
+    ranking.cumulated(rows, ["k"], "v", work)
+    assert spark.read.parquet(work.at("counts")).count() == 9
+    got = ranking.percentiles(rows, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}).head()
+    assert [got.p10, got.p50, got.p90] == pytest.approx(np.percentile(values, [10, 50, 90]).tolist())
+    ranks = {(r.v, round(r.pr, 9)) for r in ranking.percentile_rank(rows, ["k"], "v").collect()}
+    assert ranks == {(v, round(sum(x < v for x in values) / (len(values) - 1), 9)) for v in set(values)}
+    assert ranking.bottom_mean(rows, ["k"], "v", 0.3).head().fallback == pytest.approx(np.mean(sorted(values)[: int(len(values) * 0.3)]))
+
+
+def test_exact_mean_of_a_tie(spark):
+    """Sums of doubles in the order of values miss the last digit of this mean."""
+    rows = spark.range(60_000).select((F.col("id") % 11 / 100.0).alias("v")).where("id < 0 or v >= 0")
+    got = rows.agg(stats.exact_mean("v").alias("m"), F.sum((F.col("v") * 100).cast("int")).alias("s")).head()
+    assert got.m == got.s / 100 / 60_000
+    odd = spark.createDataFrame([(1e30,), (3e30,)], "v double")
+    assert odd.agg(stats.exact_mean("v").alias("m")).head().m == 2e30
+    assert spark.createDataFrame([], "v double").agg(stats.exact_mean("v").alias("m")).head().m is None
 
 
 def test_files_by_extension(spark):

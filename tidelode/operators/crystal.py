@@ -1,4 +1,4 @@
-"""Structure texts: parsing, validation, geometry. The only part with numpy on the executors.
+"""Structure texts: parsing and validation; geometry is in `neighbours`.
 
 Symmetry finding, cell reduction and energies need libraries or models that are not part of this package;
 `scored` takes them as functions of a batch.
@@ -6,25 +6,21 @@ Symmetry finding, cell reduction and energies need libraries or models that are
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelode.functions.expressions import char_ratio
+from tidelode.operators.neighbours import CELL
 
 _SITE = T.StructType([T.StructField("el", T.StringType()), *(T.StructField(k, T.DoubleType()) for k in "xyz")])
 STRUCTURE = T.StructType([*(T.StructField(k, T.DoubleType()) for k in ("a", "b", "c", "alpha", "beta", "gamma")), T.StructField("spacegroup", T.StringType()), T.StructField("sites", T.ArrayType(_SITE))])
-_GEOMETRY = T.StructType([T.StructField(k, T.DoubleType()) for k in ("min_distance", "mean_cn", "max_cn")])
 #: Sites that a valid structure has at least and at most, and the share of one character that is garbage.
 LEAST_SITES, MOST_SITES, MOST_REPEATED = 2, 300, 0.5
-#: Images of sites that a search for neighbours lists at most; cells that need more have no geometry.
-MOST_IMAGES = 2_000_000
 
 #: Atomic masses of the elements up to lead, in order of atomic number: fixed values.
 _ELEMENTS = (
@@ -129,50 +125,12 @@ def n_elements(s: Column) -> Column:
     return F.size(F.array_distinct(F.transform(s.sites, lambda p: p.el)))
 
 
-def cell_matrix(a: float, b: float, c: float, alpha: float, beta: float, gamma: float) -> np.ndarray:
-    """Rows are the cell's vectors."""
-    ca, cb, cg, sg = math.cos(math.radians(alpha)), math.cos(math.radians(beta)), math.cos(math.radians(gamma)), math.sin(math.radians(gamma))
-    cy = (ca - cb * cg) / sg
-    return np.array([[a, 0, 0], [b * cg, b * sg, 0], [c * cb, c * cy, c * math.sqrt(max(0.0, 1 - cb * cb - cy * cy))]])
-
-
-def neighbours(cell: np.ndarray, coords: np.ndarray, radius: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each site the sites within a radius, periodic images included, and their distances."""
-    if not abs(np.linalg.det(cell)) > 1e-9 or not np.isfinite(cell).all():
-        raise ValueError("the cell has no volume")
-    heights = abs(np.linalg.det(cell)) / np.array([np.linalg.norm(np.cross(cell[(k + 1) % 3], cell[(k + 2) % 3])) for k in range(3)])
-    reach = np.ceil(radius / heights).astype(int) + 1
-    if np.prod(2.0 * reach + 1) * len(coords) > MOST_IMAGES:
-        raise ValueError("the cell is too flat to list its images")
-    images = np.stack(np.meshgrid(*[np.arange(-r, r + 1) for r in reach], indexing="ij"), -1).reshape(-1, 3)
-    inside = coords % 1.0
-    site = np.tile(np.arange(len(inside)), len(images))
-    out = []
-    for k in range(len(inside)):
-        d = np.linalg.norm((inside[None, :, :] + images[:, None, :] - inside[k]).reshape(-1, 3) @ cell, axis=1)
-        near = (d <= radius) & (d > 1e-8)
-        out.append((site[near], d[near]))
-    return out
-
-
-@F.pandas_udf(_GEOMETRY)
-def geometry(structures: pd.DataFrame) -> pd.DataFrame:
-    """The shortest distance between different sites within 4 Angstrom, and mean and most neighbours within
-    3 Angstrom (images of a site count there). Null where there are none."""
-    out = []
-    for s in structures.itertuples(index=False):
-        try:
-            if not LEAST_SITES <= len(s.sites) <= MOST_SITES:
-                raise ValueError("no valid structure has so many sites")
-            cell = cell_matrix(s.a, s.b, s.c, s.alpha, s.beta, s.gamma)
-            coords = np.array([[p["x"], p["y"], p["z"]] for p in s.sites], float)
-            around = neighbours(cell, coords, 4.0)
-            near = [d[site != k].min() for k, (site, d) in enumerate(around) if (site != k).any()]
-            counts = [int((d <= 3.0).sum()) for _, d in around]
-            out.append((min(near, default=np.nan), float(np.mean(counts)), float(np.max(counts))))
-        except (TypeError, ValueError, np.linalg.LinAlgError, ZeroDivisionError):
-            out.append((np.nan, np.nan, np.nan))
-    return pd.DataFrame(out, columns=["min_distance", "mean_cn", "max_cn"])
+def exploded_sites(rows: DataFrame, keys: list[str], structure: str) -> DataFrame:
+    """A row for each site of structures with as many sites as valid ones have: keys, the cell, site, x, y, z."""
+    s = F.col(structure)
+    valid = rows.where(F.size(s.sites).between(LEAST_SITES, MOST_SITES))
+    sites = valid.select(*keys, *[s[c].alias(c) for c in CELL], F.posexplode(s.sites).alias("site", "p"))
+    return sites.select(*keys, *CELL, "site", "p.x", "p.y", "p.z")
 
 
 def scored(df: DataFrame, score: Callable[[pd.DataFrame], pd.Series], name: str = "score_e_per_atom") -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelode.scratch import Workspace
+from tidelode.scratch import Workspace, sized
 
 
 def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], place: str = "place", size: str = "group_size") -> DataFrame:
@@ -46,18 +46,34 @@ def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(named, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def cumulated(df: DataFrame, keys: Sequence[str], value: str, work: Workspace) -> DataFrame:
+    """One row for each distinct value within keys: upto, the rows of values up to it; n, its own; total.
+
+    Equal values are counted before the shuffle and are one row after it, so a value that a third of the rows have
+    is no larger than others. Distinct values are sorted by range, summed by part, and numbered inside of parts.
+    Null values are left out; null keys are a group; NaN is above all numbers.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    rows = work.write(counts.repartitionByRange(*[F.col(c) for c in (*keys, value)]).withColumn("__part", F.spark_partition_id()), "counts")
+    parts = rows.groupBy(*keys, "__part").agg(F.sum("n").alias("__n"))
+    w = Window.partitionBy(*keys)
+    # one row a part and key
+    parts = parts.select(*keys, "__part", (F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("total"))
+    own = F.sum("n").over(Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    out = matched(rows.withColumn("__own", own), parts, [*keys, "__part"])
+    return out.select(*keys, value, "n", (F.col("__own") + F.col("__before")).alias("upto"), "total")
+
+
 def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "pr") -> DataFrame:
     """(values below) / (n - 1) within keys, 0.5 for a group of one.
 
     A null value has a null rank and does not count for others; NaN is above all numbers; null keys are a group.
     """
-    ks = [*keys, "__none"]
-    rows = placed(df.withColumn("__none", F.col(value).isNull()), ks, [value])
-    # rows of equal value share the place of the first of them
-    first = rows.groupBy(*ks, value).agg(F.min("place").alias("__least"))
-    out = matched(rows, first, [*ks, value])
-    rank = F.when(F.col("group_size") > 1, (F.col("__least") - 1) / (F.col("group_size") - 1)).otherwise(0.5)
-    return out.withColumn(name, F.when(~F.col("__none"), rank)).select(*df.columns, name)
+    work = Workspace(df.sparkSession, "percentile-rank")
+    below = cumulated(df, keys, value, work).select(*keys, value, F.when(F.col("total") > 1, (F.col("upto") - F.col("n")) / (F.col("total") - 1)).otherwise(0.5).alias("__rank"))
+    ranks = work.write(below, "ranks")
+    # few distinct values are broadcast; of many, a frequent one's rows are split by adaptive execution
+    return matched(df, sized(ranks, 16 + 24 * len(keys)), [*keys, value], "left").withColumn(name, F.col("__rank")).select(*df.columns, name)
 
 
 def percentile_rank_in(df: DataFrame, buffer: DataFrame, keys: Sequence[str], value: str, name: str = "pr") -> DataFrame:
@@ -108,9 +124,11 @@ def duplicate_in_window(df: DataFrame, keys: Sequence[str], item: str, order: Se
 
 
 def bottom_mean(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str = "fallback") -> DataFrame:
-    """The mean of each group's max(1, int(n * share)) least values."""
-    rows = placed(df, keys, [value])
-    return rows.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("group_size") * share))).groupBy(*keys).agg(F.avg(value).alias(name))
+    """The mean of each group's max(1, int(n * share)) least values, null values left out."""
+    rows = cumulated(df, keys, value, Workspace(df.sparkSession, "bottom-mean"))
+    k = F.greatest(F.lit(1), F.floor(F.col("total") * share))
+    taken = F.greatest(F.lit(0), F.least("n", k - F.col("upto") + F.col("n")))
+    return rows.withColumn("__taken", taken).where("__taken > 0").groupBy(*keys).agg((F.sum(F.col(value) * F.col("__taken")) / F.sum("__taken")).alias(name))
 
 
 def pools(df: DataFrame, keys: Sequence[str], reward: str, tie: Sequence[str], top: float, bottom: float, strategy: str = "trajectory") -> DataFrame:
@@ -123,30 +141,37 @@ def pools(df: DataFrame, keys: Sequence[str], reward: str, tie: Sequence[str], t
     return rows.withColumns({"in_top": F.col("place") <= k(top), "in_bottom": F.col("place") > F.col("group_size") - k(bottom)}).drop("place", "group_size")
 
 
+def _at(index: Column, value: str) -> Column:
+    """Of cumulated rows the value at an index from 0 of the sorted group."""
+    return F.max(F.when((F.col("upto") > index) & (F.col("upto") - F.col("n") <= index), F.col(value)))
+
+
 def nearest_index(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """P10 and P90 as sorted[int(n * p)] for more than 10 rows, else least and most; best and worst."""
-    rows = placed(df, keys, [value])
-    at = lambda p: F.max(F.when(F.col("place") == F.floor(F.col("group_size") * p) + 1, F.col(value)))
-    many = F.max("group_size") > 10
-    return rows.groupBy(*keys).agg(F.when(many, at(0.1)).otherwise(F.min(value)).alias("p10"), F.when(many, at(0.9)).otherwise(F.max(value)).alias("p90"), F.min(value).alias("best"), F.max(value).alias("worst"))
+    """P10 and P90 as sorted[int(n * p)] for more than 10 rows, else least and most; best and worst. Nulls are left out."""
+    rows = cumulated(df, keys, value, Workspace(df.sparkSession, "nearest-index"))
+    many = F.max("total") > 10
+    spot = lambda p: _at(F.floor(F.col("total") * p), value)
+    return rows.groupBy(*keys).agg(F.when(many, spot(0.1)).otherwise(F.min(value)).alias("p10"), F.when(many, spot(0.9)).otherwise(F.max(value)).alias("p90"), F.min(value).alias("best"), F.max(value).alias("worst"))
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], moments: Sequence[Column] = ()) -> DataFrame:
     """Exact percentiles by linear interpolation within keys, one column each, behind other aggregates.
 
-    Built-in exact percentiles hold a group's distinct values in one task; here rows are placed by a range
-    sort, and only those at the places asked for meet. df is evaluated once; moments see its null values.
+    Built-in exact percentiles hold a group's distinct values in one task; here they come from running counts of
+    distinct values. df is evaluated once, for its keys and value alone; moments see its null values.
     """
-    rows = placed(df.select(*keys, value, F.col(value).isNull().alias("__none")), [*keys, "__none"], [value])
-    known = ~F.col("__none")
-    spot = lambda p: (F.col("group_size") - 1) * p + 1
-    at = lambda place: F.max(F.when(known & (F.col("place") == place), F.col(value)).cast("double"))
+    work = Workspace(df.sparkSession, "percentiles")
+    rows = work.write(df.select(*keys, value), "values") if moments else df
+    spot = lambda p: (F.col("total") - 1) * p
     aggs = []
     for name, p in shares.items():
-        low, high = at(F.floor(spot(p))), at(F.ceil(spot(p)))
-        part = F.max(F.when(known, spot(p) - F.floor(spot(p))))
-        aggs.append((low + (high - low) * part).alias(name))
-    return rows.groupBy(*keys).agg(*moments, *aggs)
+        low, high = (_at(i, value).cast("double") for i in (F.floor(spot(p)), F.ceil(spot(p))))
+        aggs.append((low + (high - low) * F.max(spot(p) - F.floor(spot(p)))).alias(name))
+    found = cumulated(rows, keys, value, work).groupBy(*keys).agg(*aggs)
+    if not moments:
+        return found
+    summed = rows.groupBy(*keys).agg(*moments)
+    return matched(summed, found, keys, "left") if keys else summed.join(F.broadcast(found))
 
 
 def ecdf(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str]) -> DataFrame:

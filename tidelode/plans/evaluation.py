@@ -308,8 +308,9 @@ ORACLE_SQL = {
         select event_type, case when max(n) > 10 then max(value) filter (rn = floor(n * 0.1) + 1) else min(value) end as p10,
                case when max(n) > 10 then max(value) filter (rn = floor(n * 0.9) + 1) else max(value) end as p90, min(value) as best, max(value) as worst
         from ranked group by event_type""",
+    # the mean by whole hundredths, half up: means of these columns can end in a 5 at the seventh place
     "numeric_profile": " union all ".join(
-        f"select '{c}' as name, round(avg({c}), 6) as mean, round(median({c}), 6) as median, round(stddev_pop({c}), 6) as std, round(min({c}), 6) as min, round(max({c}), 6) as max from lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+        f"select '{c}' as name, ((2 * sum(round({c} * 100)::hugeint) * 10000 + count({c})) // (2 * count({c}))) / 1000000.0 as mean, round(median({c}), 6) as median, round(stddev_pop({c}), 6) as std, round(min({c}), 6) as min, round(max({c}), 6) as max from lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     ),
     "sft_source_stats": """
         select source, count(*) as n, round(count(*) / (select count(*) from documents), 6) as fraction, round(avg(n_chars), 6) as mean,

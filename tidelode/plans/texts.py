@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelode.functions import expressions as E
 from tidelode.functions.low_rank import merged_weights
-from tidelode.operators import crystal
+from tidelode.operators import crystal, neighbours
 from tidelode.plans.common import r6, table
 from tidelode.scratch import Workspace
 from tidelode.streaming.state import novelty_stream
@@ -152,8 +152,25 @@ def structure_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.lit(_CELL), F.lit("{a}"), F.format_string("%.1f", (F.col("p_size") - 1) / 5.0))
     rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).withColumn("s", crystal.wrapped(crystal.parsed("text")))
     valid = crystal.invalid_reason(F.col("text"), F.col("s"))
-    rows = rows.select("p_partkey", valid.alias("reason"), r6(crystal.volume(F.col("s")), "volume"), crystal.n_elements(F.col("s")).alias("n_elements"), r6(F.round(F.col("s.sites")[1].z, 6), "z"), crystal.geometry("s").alias("g"))
-    return rows.select("p_partkey", "reason", "volume", "n_elements", "z", *[r6(F.when(F.col("reason").isNull() & E.finite(f"g.{c}"), F.col(f"g.{c}")), c) for c in ("min_distance", "mean_cn", "max_cn")])
+    rows = rows.select("p_partkey", valid.alias("reason"), r6(crystal.volume(F.col("s")), "volume"), crystal.n_elements(F.col("s")).alias("n_elements"), r6(F.round(F.col("s.sites")[1].z, 6), "z"), "s")
+    rows = Workspace(spark, "structures").write(rows, "parsed")  # parsed once, measured by a join
+    measured = neighbours.geometry(crystal.exploded_sites(rows.where("reason is null"), ["p_partkey"], "s"), ["p_partkey"])
+    return rows.drop("s").join(measured.drop("n_sites"), "p_partkey", "left").select("p_partkey", "reason", "volume", "n_elements", "z", *[r6(c) for c in ("min_distance", "mean_cn", "max_cn")])
+
+
+def periodic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as sites of the structure of their part, in cells from cubes to flat and skewed ones."""
+    k = F.col("l_partkey")
+    part = lambda c, n: (F.col(c) * 7919 % int(n)) / n
+    of = lambda each, angles: F.element_at(F.array(*[F.lit(x) for x in angles]), (F.floor(k / each) % len(angles) + 1).cast("int"))
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")).alias("site"),
+        part("l_orderkey", 1009.0).alias("x"), (part("l_linenumber", 101.0) + part("l_suppkey", 97.0)).alias("y"), (F.col("l_extendedprice") / 1777.0).alias("z"),
+        (7.31 + k % 5).alias("a"), (6.17 + k % 7).alias("b"), (8.23 + k % 3).alias("c"),
+        of(5, (90.0, 75.0, 100.0)).alias("alpha"), of(4, (90.0, 80.0)).alias("beta"), of(6, (90.0, 120.0, 25.0, 150.0)).alias("gamma"),
+    )
+    got = neighbours.geometry(items, ["l_partkey"])
+    return got.select("l_partkey", "n_sites", *[r6(c) for c in ("min_distance", "mean_cn", "max_cn")])
 
 
 def space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +182,7 @@ def space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cosine_similarity, element_penalty, neighbour_range_join, prompt_formula, data_block_extract, garbage_ratio, text_scalar_pack, sequence_ops, backoff_schedule, lora_merge, stream_state_novelty,
+    cosine_similarity, element_penalty, neighbour_range_join, periodic_neighbours, prompt_formula, data_block_extract, garbage_ratio, text_scalar_pack, sequence_ops, backoff_schedule, lora_merge, stream_state_novelty,
     mapinpandas_scorer, udtf_blocks, structure_validation, space_groups,
 )}
 
@@ -185,6 +202,27 @@ ORACLE_SQL = {
           select a.vec_id, list_distance(a.embedding::double[], b.embedding::double[]) as d
           from embeddings a join embeddings b on a.vec_id // 100 = b.vec_id // 100 and a.vec_id <> b.vec_id)
         select vec_id, count(*) as neighbours, round(min(d), 6) as nearest from n where d <= 1.35 group by vec_id""",
+    # all pairs of sites with all images that can be near
+    "periodic_neighbours": """
+        with s as (
+          select l_partkey, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as site, (l_orderkey * 7919 % 1009) / 1009.0::double as x,
+                 (l_linenumber * 7919 % 101) / 101.0::double + (l_suppkey * 7919 % 97) / 97.0::double as y, l_extendedprice / 1777.0::double as z from lineitem),
+        cells as (
+          select distinct l_partkey, 7.31::double + l_partkey % 5 as a, 6.17::double + l_partkey % 7 as b, 8.23::double + l_partkey % 3 as c,
+                 cos(radians(([90, 75, 100])[l_partkey // 5 % 3 + 1])) as ca, cos(radians(([90, 80])[l_partkey // 4 % 2 + 1])) as cb, radians(([90, 120, 25, 150])[l_partkey // 6 % 4 + 1]) as g from s),
+        edged as (
+          select l_partkey, a, b * cos(g) as bx, b * sin(g) as by_, c * cb as cx, c * (ca - cb * cos(g)) / sin(g) as cy, c * sqrt(1 - cb * cb - pow((ca - cb * cos(g)) / sin(g), 2)) as cz from cells),
+        steps as (select i, j, k from unnest(range(-3, 4)) as t(i), unnest(range(-3, 4)) as u(j), unnest(range(-2, 3)) as v(k)),
+        p as (select l_partkey, site, x - floor(x) as x, y - floor(y) as y, z - floor(z) as z from s),
+        n as (
+          select l_partkey, p.site, q.site as other, q.x - p.x + i as x, q.y - p.y + j as y, q.z - p.z + k as z
+          from p join p q using (l_partkey), steps),
+        near as (
+          select l_partkey, site, other, sqrt(pow(x * a + y * bx + z * cx, 2) + pow(y * by_ + z * cy, 2) + pow(z * cz, 2)) as d from n join edged using (l_partkey)),
+        each as (
+          select l_partkey, site, min(d) filter (site <> other and d <= 4) as least, count(*) filter (d <= 3) as cn
+          from near where site <> other or d > 1e-8 group by l_partkey, site)
+        select l_partkey, count(*) as n_sites, round(min(least), 6) as min_distance, round(sum(cn) / count(*), 6) as mean_cn, max(cn)::double as max_cn from each group by l_partkey""",
     "prompt_formula": """
         select * from (values ('LiFePO4', 4::int, 'data_Li4Fe4P4O16'), ('NaCl', 4, 'data_Na4Cl4'), ('TiO2', 1, 'data_TiO2'), ('BaTiO3', 2, 'data_Ba2Ti2O6'), ('Ca3N2O12H2', 3, 'data_Ca9N6O36H6')) as t(formula, z, prompt)""",
     "data_block_extract": """
