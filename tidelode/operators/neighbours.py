@@ -10,7 +10,8 @@ own, which is an equi-join by structure and cell, and distances are checked last
 Work grows with the number of neighbours that there are: a cell whose volume is nearly nothing has as many as it
 has images in a sphere. Cells of no volume, or with lengths, angles or coordinates that are null or not finite, have
 no neighbours. Two different sites at one place are neighbours at distance 0; a site is no neighbour of itself, but
-of its images. Null keys are dropped: a site without a structure has no neighbours.
+of its images. Null keys are dropped: a site without a structure has no neighbours. Names that begin with two underscores are used
+inside.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 CELL = ("a", "b", "c", "alpha", "beta", "gamma")
 #: Volume below which a cell is flat, distance below which a site is itself, slack of the widened box.
 NO_VOLUME, SELF, SLACK = 1e-9, 1e-8, 1e-9
-_EDGES = ("ax", "bx", "by", "cx", "cy", "cz")
+_EDGES = ("__ax", "__bx", "__by", "__cx", "__cy", "__cz")
 
 
 def edges() -> dict[str, Column]:
@@ -31,8 +32,8 @@ def edges() -> dict[str, Column]:
     ca, cb, cg, sg = F.cos(F.radians("alpha")), F.cos(F.radians("beta")), F.cos(F.radians("gamma")), F.sin(F.radians("gamma"))
     cy = F.try_divide(ca - cb * cg, sg)
     return {
-        "ax": F.col("a"), "bx": F.col("b") * cg, "by": F.col("b") * sg,
-        "cx": F.col("c") * cb, "cy": F.col("c") * cy, "cz": F.col("c") * F.sqrt(F.greatest(F.lit(0.0), 1 - cb * cb - cy * cy)),
+        "__ax": F.col("a"), "__bx": F.col("b") * cg, "__by": F.col("b") * sg,
+        "__cx": F.col("c") * cb, "__cy": F.col("c") * cy, "__cz": F.col("c") * F.sqrt(F.greatest(F.lit(0.0), 1 - cb * cb - cy * cy)),
     }
 
 
@@ -42,18 +43,18 @@ def placed_sites(sites: DataFrame, keys: Sequence[str]) -> DataFrame:
     sites has keys, site, fractional x, y, z and a cell's a, b, c, alpha, beta, gamma.
     """
     known = sites.select(*keys, "site", "x", "y", "z", *CELL).dropna()
-    sound = (F.abs(F.col("ax") * F.col("by") * F.col("cz")) > NO_VOLUME) & (F.col("ax") > 0) & (F.col("by") > 0)
+    sound = (F.abs(F.col("__ax") * F.col("__by") * F.col("__cz")) > NO_VOLUME) & (F.col("__ax") > 0) & (F.col("__by") > 0)
     finite = [F.abs(c) < float("inf") for c in ("x", "y", "z", *_EDGES)]
     rows = known.withColumns(edges()).where(sound)
     for f in finite:
         rows = rows.where(f)
     x, y, z = F.col("x"), F.col("y"), F.col("z")
-    rows = rows.withColumns({"px": x * F.col("ax") + y * F.col("bx") + z * F.col("cx"), "py": y * F.col("by") + z * F.col("cy"), "pz": z * F.col("cz")})
-    for turns, shift in (("pz", ("cx", "cy", "cz")), ("py", ("bx", "by", None)), ("px", ("ax", None, None))):
-        own = shift["xyz".index(turns[1])]
+    rows = rows.withColumns({"__px": x * F.col("__ax") + y * F.col("__bx") + z * F.col("__cx"), "__py": y * F.col("__by") + z * F.col("__cy"), "__pz": z * F.col("__cz")})
+    for turns, shift in (("__pz", ("__cx", "__cy", "__cz")), ("__py", ("__bx", "__by", None)), ("__px", ("__ax", None, None))):
+        own = shift["xyz".index(turns[-1])]
         n = F.floor(F.col(turns) / F.col(own)).cast("double")
-        rows = rows.withColumn("__n", n).withColumns({p: F.col(p) - F.col("__n") * F.col(s) for p, s in zip(("px", "py", "pz"), shift, strict=True) if s}).drop("__n")
-    return rows.select(*keys, "site", "px", "py", "pz", *_EDGES)
+        rows = rows.withColumn("__n", n).withColumns({p: F.col(p) - F.col("__n") * F.col(s) for p, s in zip(("__px", "__py", "__pz"), shift, strict=True) if s}).drop("__n")
+    return rows.select(*keys, "site", "__px", "__py", "__pz", *_EDGES)
 
 
 def _steps(place: str, edge: str, radius: float) -> Column:
@@ -64,23 +65,23 @@ def _steps(place: str, edge: str, radius: float) -> Column:
 
 def images(placed: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
     """(keys, other, qx, qy, qz): all images of sites within the radius of the box of their cell."""
-    rows = placed.withColumn("k", F.explode(_steps("pz", "cz", radius)))
-    rows = rows.withColumns({"px": F.col("px") + F.col("k") * F.col("cx"), "py": F.col("py") + F.col("k") * F.col("cy"), "pz": F.col("pz") + F.col("k") * F.col("cz")})
-    rows = rows.withColumn("j", F.explode(_steps("py", "by", radius)))
-    rows = rows.withColumns({"px": F.col("px") + F.col("j") * F.col("bx"), "py": F.col("py") + F.col("j") * F.col("by")})
-    rows = rows.withColumn("i", F.explode(_steps("px", "ax", radius)))
-    return rows.select(*keys, F.col("site").alias("other"), (F.col("px") + F.col("i") * F.col("ax")).alias("qx"), F.col("py").alias("qy"), F.col("pz").alias("qz"))
+    rows = placed.withColumn("__k", F.explode(_steps("__pz", "__cz", radius)))
+    rows = rows.withColumns({"__px": F.col("__px") + F.col("__k") * F.col("__cx"), "__py": F.col("__py") + F.col("__k") * F.col("__cy"), "__pz": F.col("__pz") + F.col("__k") * F.col("__cz")})
+    rows = rows.withColumn("__j", F.explode(_steps("__py", "__by", radius)))
+    rows = rows.withColumns({"__px": F.col("__px") + F.col("__j") * F.col("__bx"), "__py": F.col("__py") + F.col("__j") * F.col("__by")})
+    rows = rows.withColumn("__i", F.explode(_steps("__px", "__ax", radius)))
+    return rows.select(*keys, F.col("site").alias("other"), (F.col("__px") + F.col("__i") * F.col("__ax")).alias("__qx"), F.col("__py").alias("__qy"), F.col("__pz").alias("__qz"))
 
 
 def periodic_pairs(sites: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
     """(keys, site, other, distance) for each site and each image of a site within the radius of it."""
     placed = placed_sites(sites, keys)
-    grid = [F.floor(F.col(c) / radius) for c in ("qx", "qy", "qz")]
-    binned = images(placed, keys, radius).withColumns(dict(zip(("gx", "gy", "gz"), grid, strict=True)))
-    around = F.explode(F.array(*[F.struct(*[(F.floor(F.col(p) / radius) + d).alias(g) for p, d, g in zip(("px", "py", "pz"), (i, j, k), ("gx", "gy", "gz"), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    homes = placed.select(*keys, "site", "px", "py", "pz", around.alias("g")).select(*keys, "site", "px", "py", "pz", "g.*")
-    near = homes.join(binned, [*keys, "gx", "gy", "gz"])
-    square = sum(((F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in (("px", "qx"), ("py", "qy"), ("pz", "qz"))), F.lit(0.0))
+    grid = [F.floor(F.col(c) / radius) for c in ("__qx", "__qy", "__qz")]
+    binned = images(placed, keys, radius).withColumns(dict(zip(("__gx", "__gy", "__gz"), grid, strict=True)))
+    around = F.explode(F.array(*[F.struct(*[(F.floor(F.col(p) / radius) + d).alias(g) for p, d, g in zip(("__px", "__py", "__pz"), (i, j, k), ("__gx", "__gy", "__gz"), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
+    homes = placed.select(*keys, "site", "__px", "__py", "__pz", around.alias("__g")).select(*keys, "site", "__px", "__py", "__pz", "__g.*")
+    near = homes.join(binned, [*keys, "__gx", "__gy", "__gz"])
+    square = sum(((F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in (("__px", "__qx"), ("__py", "__qy"), ("__pz", "__qz"))), F.lit(0.0))
     return near.withColumn("distance", F.sqrt(square)).where((F.col("distance") <= radius) & ((F.col("site") != F.col("other")) | (F.col("distance") > SELF))).select(*keys, "site", "other", "distance")
 
 
