@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelode.plans import evaluation, rewards, texts
+from tidelode.plans import evaluation, rewards, streams, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**evaluation.QUERIES, **rewards.QUERIES, **texts.QUERIES}
-ORACLE_SQL: dict[str, str] = {**evaluation.ORACLE_SQL, **rewards.ORACLE_SQL, **texts.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**evaluation.QUERIES, **rewards.QUERIES, **texts.QUERIES, **streams.QUERIES}
+ORACLE_SQL: dict[str, str] = {**evaluation.ORACLE_SQL, **rewards.ORACLE_SQL, **texts.ORACLE_SQL, **streams.ORACLE_SQL}

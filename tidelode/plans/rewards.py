@@ -37,7 +37,7 @@ def novelty_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.duplicate_in_window(rows, ["target"], "key", ["event_id"], 200).select("event_id", "duplicate_flag")
 
 
-def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as structures: features by their size, price and keys."""
     k = F.col("p_partkey")
     letters = lambda name: F.array_distinct(F.split(F.col(name), ""))
@@ -60,13 +60,13 @@ def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def composite_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with their reward components, gated by a shortest distance."""
-    rows = reward.composite(_structures(spark, sf_dir), reward.Weights(), least_distance=0.5, window=50)
+    rows = reward.composite(structures(spark, sf_dir), reward.Weights(), least_distance=0.5, window=50)
     return rows.select("seq", "target", "gate_failed", "gate_reason", "duplicate_flag", *[r6(c) for c in ("r_proxy", "r_geom", "r_comp", "r_novel", "r_total")])
 
 
 def reward_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of counts, rates and statistics of these rewards."""
-    rows = reward.summary(reward.composite(_structures(spark, sf_dir), reward.Weights(), least_distance=0.5, window=50))
+    rows = reward.summary(reward.composite(structures(spark, sf_dir), reward.Weights(), least_distance=0.5, window=50))
     return rows.select("n_structures", "n_gate_passed", r6("gate_failure_rate"), r6("duplicate_rate"), *[r6(f"r_total.{k}", f"total_{k}") for k in ("mean", "std", "p05", "p50", "p95")])
 
 
