@@ -1,13 +1,19 @@
 """Sources and sinks on edge rows, and state across batches."""
 
+import hashlib
+import http.server
 import json
+import threading
+import urllib.parse
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidelode.operators import reward
+from tidelode.operators import joins, ranking, reward
 from tidelode.plans import reports
-from tidelode.sources import sinks, tables
+from tidelode.sources import hull, sinks, tables
+from tidelode.sources import named_files as nf
 from tidelode.streaming import state as st
 
 
@@ -83,7 +89,7 @@ def test_hull_table(spark):
 def test_other_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("t", "p", 1, "a.cif", "text"), ("t", "p", 2, "b.cif", None)], "target string, phase string, rank int, file string, text string")
     manifest = sinks.export_ranked(rows, uri(tmp_path / "top"))
-    assert [m["rank"] for m in manifest] == [1, 2] and (tmp_path / "top" / "t_p_01_a.cif").read_text() == "text"
+    assert [(m.rank, m["name"]) for m in manifest.orderBy("rank").collect()] == [(1, "t_p_01_a.cif"), (2, "t_p_02_b.cif")] and (tmp_path / "top" / "t_p_01_a.cif").read_text() == "text"
     sinks.write_routed(rows, uri(tmp_path / "routed"), F.when(F.col("rank") == 1, "valid").otherwise("invalid"))
     assert (tmp_path / "routed" / "route=valid").is_dir()
     assert not sinks.write_if_any(rows.limit(0), uri(tmp_path / "none"), ["file"]) and sinks.write_if_any(rows, uri(tmp_path / "some"), ["file"])
@@ -168,3 +174,128 @@ def test_daily_counts(spark, tmp_path):
     source = spark.readStream.schema(days.schema).parquet(uri(tmp_path / "in"))
     st.daily_counts(source, uri(tmp_path / "check"), lambda df, _: found.extend(r.n for r in df.collect()))
     assert sorted(found) == [1, 2]
+
+
+# --- a remote source
+
+
+@pytest.fixture
+def service():
+    """A server in this process: pages of entries; some pages fail a few times first, one formula always."""
+    entries = {"NaCl": [(-3.0 - k / 100, 0.0) for k in range(7)] + [(-9.0, 0.5)], "TiO2": [(-8.5, 0.0005)], "None": [], "Odd": [("x", 0.0), (-1.0, 0.0)], "Bad": [(-1.0, 0.0)] * 5}
+    asked, failing = [], {("NaCl", 3): 2}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
+            formula, skip, limit = q["formula"], int(q["_skip"]), int(q["_limit"])
+            asked.append((formula, skip, float(q["energy_above_hull_max"]), self.headers.get("X-API-KEY")))
+            if failing.get((formula, skip), 0) or (formula == "Bad" and skip):
+                failing[(formula, skip)] = failing.get((formula, skip), 1) - 1
+                self.send_error(503)
+                return
+            near = [x for x in entries.get(formula, []) if float(q["energy_above_hull_min"]) <= x[1] <= float(q["energy_above_hull_max"])]
+            body = json.dumps({"data": [{"energy_per_atom": e, "energy_above_hull": h} for e, h in near[skip : skip + limit]], "meta": {"total_doc": len(near)}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/thermo", asked
+    server.shutdown()
+
+
+def test_remote_hull_pages_retries_and_fallback(spark, service):
+    url, asked = service
+    scores = spark.createDataFrame([("a", "NaCl", -2.0), ("b", "TiO2", -8.0), ("c", "Bad", -1.0), ("d", "Bad", -3.0), ("e", "None", 1.0), ("f", None, 2.0), ("g", "NaCl", -3.0)], "file string, formula string, e_per_atom double")
+    known = hull.remote_hull(spark, scores, url, page_size="3", attempts="3", wait_ms="1", key="secret")
+    assert {r.formula: r.hull_energy for r in known.collect()} == {"NaCl": -3.06, "TiO2": -8.5}
+    # the page that failed twice was asked for three times; what lies behind a page that always fails gives nothing
+    assert [x[:2] for x in asked if x[0] == "NaCl"] == [("NaCl", 0), ("NaCl", 3), ("NaCl", 3), ("NaCl", 3), ("NaCl", 6)]
+    assert {x[3] for x in asked} == {"secret"} and {x[2] for x in asked} == {0.001}
+    bottom = ranking.bottom_mean(scores.where("formula <> 'None'"), ["formula"], "e_per_atom", 0.5)
+    rows = {r.file: (r.hull_ref_e_per_atom, r.ehull_method) for r in joins.hull_reference(scores, known, bottom).collect()}
+    assert rows["a"] == (-3.06, "mp_api") and rows["c"] == (-3.0, "fallback_percentile") and rows["e"] == (1.0, "self") and rows["f"] == (2.0, "self")
+
+
+def test_remote_hull_filters_and_failures(spark, service):
+    url, asked = service
+    spark.dataSource.register(hull.HullSource)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled", None)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        load = lambda **o: spark.read.format("hull").options(**{"url": url, "formulas": '["NaCl", "TiO2", "Odd", null, "NaCl"]', "wait_ms": "1", "push": "true", **o}).load()
+        assert load().where("formula = 'TiO2'").count() == 1 and {x[0] for x in asked} == {"TiO2"}
+        asked.clear()
+        assert load().where("formula in ('Odd', 'TiO2') and energy_above_hull <= 0.0001").collect() == [("Odd", -1.0, 0.0)]
+        assert {x[2] for x in asked} == {0.0001} and {x[0] for x in asked} == {"Odd", "TiO2"}
+        assert load().where("energy_per_atom < -8").count() == 1
+        # no service, no address, no formulas: no rows
+        assert load(url="http://127.0.0.1:9/x", attempts="1").count() == 0
+        assert load(url="").count() == 0 and load(formulas="[]").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled") if before is None else spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
+# --- named files
+
+
+def files_below(path):
+    return {str(p.relative_to(path)): p.read_bytes() for p in path.rglob("*") if p.is_file() and not p.name.endswith(".crc") and "_manifest" not in p.parts and p.name != "manifest.json"}
+
+
+def test_named_files(spark, tmp_path):
+    rows = [("a.cif", "data_a é\r\n", True, 1), ("b.cif", "", False, 2), ("c d.cif", None, True, 3), ("e.cif", "x" * 200_000, False, None)]
+    df = spark.createDataFrame(rows, "file string, text string, valid boolean, rank int").repartition(3)
+    route = F.when(F.col("valid"), "valid_cifs").otherwise("invalid_cifs")
+    nf.write_named_files(df, uri(tmp_path / "out"), "file", "text", route)
+    want = {f"{'valid' if v else 'invalid'}_cifs/{n}": (t or "").encode() for n, t, v, _ in rows}
+    assert files_below(tmp_path / "out") == want
+    listed = {f"{r.folder}/{r.name}": (r.bytes, r.sha256, r.rank) for r in nf.read_manifest(spark, uri(tmp_path / "out")).collect()}
+    assert listed == {f"{'valid' if v else 'invalid'}_cifs/{n}": (len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest(), k) for n, t, v, k in rows}
+    # bytes as they are, without folders, over an earlier export
+    raw = spark.createDataFrame([("a.bin", bytearray(b"\xff\x00\n"))], "name string, body binary")
+    nf.write_named_files(raw, uri(tmp_path / "raw"), "name", "body")
+    nf.write_named_files(raw.withColumn("body", F.lit(bytearray(b"2"))), uri(tmp_path / "raw"), "name", "body")
+    assert files_below(tmp_path / "raw") == {"a.bin": b"2"}
+    nf.write_named_files(raw.limit(0), uri(tmp_path / "none"), "name", "body")
+    assert nf.read_manifest(spark, uri(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("bad", ["", None, "../x", "a/b", ".hidden", "_manifest"])
+def test_names_that_are_not_plain(spark, tmp_path, bad):
+    with pytest.raises(ValueError, match="plain"):
+        nf.write_named_files(spark.createDataFrame([(bad, "x"), ("ok", "y")], "n string, t string"), uri(tmp_path), "n", "t")
+    with pytest.raises(ValueError, match="once"):
+        nf.write_named_files(spark.createDataFrame([("ok", "x"), ("ok", "y")], "n string, t string"), uri(tmp_path), "n", "t")
+    assert files_below(tmp_path) == {}
+
+
+def test_attempts_that_fail_leave_nothing(tmp_path):
+    batch = lambda *names: pa.RecordBatch.from_pylist([{"__folder": "f", "__name": n, "__content": b"1"} for n in names])
+
+    def broken():
+        yield batch("a", "b")
+        raise RuntimeError("lost")
+
+    writer = nf.NamedFilesWriter(uri(tmp_path), "job")
+    with pytest.raises(RuntimeError):
+        writer.write(broken())
+    assert files_below(tmp_path) == {} and not list((tmp_path / "_manifest").rglob("*.jsonl"))
+    first = writer.write(iter([batch("a", "b")]))  # the next attempt
+    second = writer.write(iter([batch("c")]))
+    assert set(files_below(tmp_path)) == {"f/a", "f/b", "f/c"} and not (tmp_path / "manifest.json").exists()
+    writer.abort([first, None, second])
+    assert files_below(tmp_path) == {}
+
+
+def test_a_task_that_fails_fails_the_export(spark, tmp_path):
+    boom = F.udf(lambda n: 1 // (n != "f7"), "int")
+    df = spark.range(20).repartition(4).select(F.concat(F.lit("f"), F.col("id")).alias("n"), F.lit("x").alias("t")).withColumn("k", boom("n"))
+    with pytest.raises(Exception, match="ZeroDivision"):
+        nf.write_named_files(df, uri(tmp_path), "n", "t")
+    assert files_below(tmp_path) == {} and not (tmp_path / "manifest.json").exists()

@@ -11,6 +11,8 @@ from tidelode.functions.low_rank import merged_weights
 from tidelode.operators import crystal, neighbours
 from tidelode.plans.common import r6, table
 from tidelode.scratch import Workspace
+from tidelode.sources import sinks
+from tidelode.sources.named_files import read_manifest
 from tidelode.streaming.state import novelty_stream
 
 
@@ -173,6 +175,18 @@ def periodic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("l_partkey", "n_sites", *[r6(c) for c in ("min_distance", "mean_cn", "max_cn")])
 
 
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their own in folders of their languages, and what the files hold when read again."""
+    work = Workspace(spark, "named-files")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("lang"), F.format_string("%08d.cif", "doc_id").alias("file"))
+    sinks.copy_routed(docs.repartition(spark.sparkContext.defaultParallelism), work.at("files"), F.col("lang"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.cif").load(work.at("files"))
+    parts = F.split("path", "/")
+    read = found.select(F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("folder"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("content_sha256"))
+    listed = read_manifest(spark, work.at("files")).select("doc_id", "folder", "name", F.col("sha256").alias("said"))
+    return read.join(listed, ["folder", "name"], "full").select("doc_id", "folder", "name", "n_bytes", "content_sha256", (F.col("said") == F.col("content_sha256")).alias("as_listed"))
+
+
 def space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure texts made from parts by the space group that they declare, the empty one for those without."""
     head = F.when(F.col("p_size") % 4 == 0, F.lit("data_t\n")).otherwise(F.concat(F.lit("data_t\n_symmetry_space_group_name_H-M  '"), "p_brand", F.lit("' \n")))
@@ -183,7 +197,7 @@ def space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     cosine_similarity, element_penalty, neighbour_range_join, periodic_neighbours, prompt_formula, data_block_extract, garbage_ratio, text_scalar_pack, sequence_ops, backoff_schedule, lora_merge, stream_state_novelty,
-    mapinpandas_scorer, udtf_blocks, structure_validation, space_groups,
+    mapinpandas_scorer, udtf_blocks, structure_validation, space_groups, named_files,
 )}
 
 ORACLE_SQL = {
@@ -256,6 +270,8 @@ ORACLE_SQL = {
         select p_partkey, reason, round(a * 16, 6) as volume, 2 as n_elements, 0.5::double as z, case when reason is null and d <= 4 then round(d, 6) end as min_distance,
                case when reason is null then cn::double end as mean_cn, case when reason is null then cn::double end as max_cn
         from m""",
+    "named_files": """
+        select doc_id, coalesce(lang, 'none') as folder, printf('%08d.cif', doc_id) as name, strlen(coalesce(text, '')) as n_bytes, sha256(coalesce(text, '')) as content_sha256, true as as_listed from documents""",
     "space_groups": """
         select chr(39) || case when p_size % 4 = 0 then 'second' else p_brand end || chr(39) || case when p_size % 4 = 0 then '' else ' ' end as space_group, count(*) as n, min(p_partkey) as first_seen from part group by all""",
     "backoff_schedule": """

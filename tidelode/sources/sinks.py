@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelode.sources.named_files import read_manifest, write_named_files
+
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """CSV with a header and a fixed order of columns; null and empty are both written as nothing."""
@@ -40,6 +42,11 @@ def write_routed(df: DataFrame, path: str, route: Column) -> None:
     df.withColumn("route", route).write.mode("overwrite").partitionBy("route").parquet(path)
 
 
+def copy_routed(files: DataFrame, path: str, route: Column, content: str = "text") -> None:
+    """Each row's file, by its name and with its bytes, into the folder of its route: valid_cifs and invalid_cifs."""
+    write_named_files(files, path, "file", content, route)
+
+
 def write_if_any(df: DataFrame, path: str, columns: Sequence[str]) -> bool:
     """Writes CSV only if there are rows; tells whether it did."""
     if df.isEmpty():
@@ -48,17 +55,12 @@ def write_if_any(df: DataFrame, path: str, columns: Sequence[str]) -> bool:
     return True
 
 
-def export_ranked(top: DataFrame, path: str, text: str = "text") -> list[dict]:
-    """The texts of a top-k, one file a rank, and manifest.json; top has target, phase, rank, file and text,
-    and is small by being a top-k. Returns the manifest."""
-    rows = [r.asDict() for r in top.orderBy("target", "phase", "rank").collect()]
-    manifest = []
-    for r in rows:
-        name = f"{r['target']}_{r['phase']}_{r['rank']:02d}_{r['file']}"
-        write_text(top.sparkSession, f"{path}/{name}", r.pop(text) or "")
-        manifest.append({**r, "cif_path": f"{path}/{name}"})
-    write_text(top.sparkSession, f"{path}/manifest.json", json.dumps(manifest, indent=2))
-    return manifest
+def export_ranked(top: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """The texts of a top-k, one file a rank, written by tasks; top has target, phase, rank, file and text. Returns
+    the manifest: the columns of top without the text, and where each file is."""
+    name = F.format_string("%s_%s_%02d_%s", "target", "phase", "rank", "file")
+    write_named_files(top.withColumn("__file", name), path, "__file", text)
+    return read_manifest(top.sparkSession, path).withColumn("cif_path", F.concat(F.lit(f"{path}/"), "name"))
 
 
 def write_config(spark: SparkSession, path: str, config: dict) -> None:
