@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidelode.functions.expressions import non_empty
@@ -44,6 +44,28 @@ def reason_counts(rows: DataFrame, reason: str = "drop_reason") -> DataFrame:
     return rows.groupBy(F.coalesce(F.col(reason), F.lit("kept")).alias(reason)).agg(F.count("*").alias("n"))
 
 
+#: What a label can be dropped for, in the order of the cascade.
+REASONS = ("invalid_or_mismatch", "missing_score", "missing_reward", "gate_failed", "negative_reward")
+
+
+def write_candidates(rows: DataFrame, path: str, reason: str = "drop_reason") -> dict[str, int]:
+    """Writes the rows that no reason drops as Parquet and returns the counts of all, of kept ones and of each reason.
+
+    The counts are taken while the rows pass on their way to the writer, so the plan is evaluated once.
+    """
+    seen = Observation()
+    counts = [F.count("*").alias("total"), F.count_if(F.col(reason).isNull()).alias("kept"), *[F.count_if(F.col(reason) == r).alias(r) for r in REASONS]]
+    rows.observe(seen, *counts).where(F.col(reason).isNull()).drop(reason).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+def write_by_key(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """A table laid out by its key: as many buckets, each sorted. Tables of one key and number of buckets then join
+    without an exchange. Each task writes one bucket, so a bucket is one file."""
+    df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: Column | float) -> DataFrame:
     """df with a value looked up in a table that is unique by key, or the default."""
     default = default if isinstance(default, Column) else F.lit(default)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelode.scratch import Workspace, sized
+from tidelode.scratch import BROADCAST_BYTES, Workspace, sized
 
 
 def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], place: str = "place", size: str = "group_size") -> DataFrame:
@@ -76,13 +76,43 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, name: str =
     return matched(df, sized(ranks, 16 + 24 * len(keys)), [*keys, value], "left").withColumn(name, F.col("__rank")).select(*df.columns, name)
 
 
+#: Values of one key that a sorted array holds; larger buffers are ranked by a sort of buffer and batch.
+MOST_BUFFER = 100_000
+
+
+def _below(values: Column, x: Column, most: int) -> Column:
+    """How many values of a sorted array are below x, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s.lo + s.hi) / 2).cast("int")
+        less = (s.lo < s.hi) & (F.get(values, mid) < x)
+        return F.struct(F.when(less, mid + 1).otherwise(s.lo).alias("lo"), F.when(less | (s.lo >= s.hi), s.hi).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(max(1, most).bit_length())), start, halve, lambda s: s.lo)
+
+
 def percentile_rank_in(df: DataFrame, buffer: DataFrame, keys: Sequence[str], value: str, name: str = "pr") -> DataFrame:
     """(buffer values below) / (buffer size - 1) within keys, 0.5 for a buffer of one, null without a buffer.
 
     The batch itself does not count; the rank may exceed 1 and is clipped by its user. Null values have a null
-    rank and do not count in a buffer; null keys are a group.
+    rank and do not count in a buffer; null keys are a group. A buffer of a key is bounded by what its state keeps, so
+    it is one sorted array, broadcast if all arrays together are small: the batch is then neither shuffled nor sorted.
     """
-    buffer = buffer.where(F.col(value).isNotNull())
+    work = Workspace(df.sparkSession, "rank-in")
+    buffer = work.write(buffer.where(F.col(value).isNotNull()).select(*keys, value), "buffer")
+    most, total = buffer.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).head()
+    if most > MOST_BUFFER:
+        return _rank_in_any(df, buffer, keys, value, name)
+    arrays = buffer.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("__values"))
+    out = matched(df, F.broadcast(arrays) if total * 16 <= BROADCAST_BYTES else arrays, keys, "left")
+    n = F.size("__values")
+    rank = F.when(F.col(value).isNull() | F.col("__values").isNull(), None).when(n == 1, 0.5).otherwise(_below(F.col("__values"), F.col(value), most) / (n - 1))
+    return out.withColumn(name, rank).select(*df.columns, name)
+
+
+def _rank_in_any(df: DataFrame, buffer: DataFrame, keys: Sequence[str], value: str, name: str = "pr") -> DataFrame:
+    """Ranks against buffers of any size: batch and buffer are sorted together."""
     both = buffer.select(*keys, value).withColumn("__own", F.lit(0)).unionByName(df.withColumn("__own", F.lit(1)), allowMissingColumns=True)
     # equal values: the batch's rows in front of the buffer's, so that places count smaller ones only
     rows = placed(both, keys, [value, F.lit(1) - F.col("__own")])

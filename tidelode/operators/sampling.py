@@ -121,3 +121,45 @@ def preference_pairs(df: DataFrame, prompt: str, key: str, reward: str, gap: flo
 def epochs(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """df once for each epoch, with a number that orders each epoch anew."""
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("shuffle_key", hash_order(seed, "epoch", key))
+
+
+#: Rounds of the permutation; steps after which a number has left the part of its range that is no row, all but never.
+ROUNDS, WALKS = 4, 256
+
+
+def _mixed(value: Column, keys: Column, half: Column) -> Column:
+    """One pass of a Feistel network over numbers of 2 * half bits: a permutation of them for each list of keys."""
+    side = F.call_function("shiftleft", F.lit(1).cast("bigint"), half) - 1
+
+    def round_(v: Column, key: Column) -> Column:
+        right = v.bitwiseAND(side)
+        noise = F.shiftright((right * right + key) % (1 << 31) * 1103515245, 15).bitwiseAND(side)
+        return F.call_function("shiftleft", right, half) + F.call_function("shiftright", v, half).bitwiseXOR(noise)
+
+    return F.aggregate(keys, value, round_)
+
+
+def row_at(epoch: Column, position: Column, n: Column, seed: int) -> Column:
+    """The number, from 0, of the row that an epoch reads at a position from 0: a keyed permutation of n numbers.
+
+    A Feistel network permutes the numbers below the next power of 4; one that falls outside of n is permuted again
+    until it does not (about 4 times at most on average), which permutes those below n. Nothing is stored: an epoch's
+    order follows from the seed, so a run goes on from any step without having read what lies before it. n may be up
+    to 2**60.
+    """
+    half = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double")) / 2)).cast("int")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), lambda r: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), epoch, r)), 1, 7), 16, 10).cast("bigint"))
+    first = _mixed(position.cast("bigint"), keys, half)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda v, _: F.when(v < n, v).otherwise(_mixed(v, keys, half)))
+    return F.when(position < n, F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the permutation has not come back"))))
+
+
+def epoch_rows(numbered: DataFrame, number: str, n: int, seed: int, first: int, count: int) -> DataFrame:
+    """The rows that steps first to first + count - 1 of training read, with step, epoch and position.
+
+    numbered has n rows with a number from 0 each. Only the steps asked for are made, and they meet their rows by
+    number; the table is neither copied nor sorted for an epoch.
+    """
+    steps = numbered.sparkSession.range(first, first + count if n else first).withColumnRenamed("id", "step")
+    steps = steps.withColumns({"epoch": F.floor(F.col("step") / max(n, 1)), "position": F.col("step") % max(n, 1)})
+    return steps.withColumn(number, row_at(F.col("epoch"), F.col("position"), F.lit(n), seed)).join(numbered, number)

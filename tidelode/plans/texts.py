@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelode.functions import expressions as E
 from tidelode.functions.low_rank import merged_weights
-from tidelode.operators import crystal, neighbours
+from tidelode.operators import crystal, neighbours, reduction
 from tidelode.plans.common import r6, table
 from tidelode.scratch import Workspace
 from tidelode.sources import sinks
@@ -175,6 +177,27 @@ def periodic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("l_partkey", "n_sites", *[r6(c) for c in ("min_distance", "mean_cn", "max_cn")])
 
 
+def reduced_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's cell, which every line item holds changed by shears of its own: whether all reduce to one cell, and its volume."""
+    k, p, q = F.col("l_partkey"), F.col("p"), F.col("q")
+    of = lambda c, n, m: (c * 7919 % n) / float(m)
+    cells = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", (F.col("l_linenumber") % 5 - 2).alias("p"), (F.col("l_orderkey") % 7 - 3).alias("q"), (4.1 + of(k, 101, 97)).alias("a"), (5.3 + of(k, 211, 199)).alias("b"), (6.7 + of(k, 307, 293)).alias("c"),
+        F.cos(F.radians(72.0 + of(k, 31, 3))).alias("ca"), F.cos(F.radians(76.0 + of(k, 29, 3))).alias("cb"), F.cos(F.radians(81.0 + of(k, 23, 3))).alias("cg"),
+    )
+    bc, ac, ab = F.col("b") * F.col("c") * F.col("ca"), F.col("a") * F.col("c") * F.col("cb"), F.col("a") * F.col("b") * F.col("cg")
+    sq = lambda c: F.col(c) * F.col(c)
+    # b goes to b + p a, then c to c + q b
+    b2, ab2, bc2 = sq("b") + 2 * p * ab + p * p * sq("a"), ab + p * sq("a"), bc + p * ac
+    c2, ac2, bc3 = sq("c") + 2 * q * bc2 + q * q * b2, ac + q * ab2, bc2 + q * b2
+    angle = lambda dot, u, v: F.degrees(F.acos(dot / F.sqrt(u * v)))
+    sheared = cells.select("l_partkey", "a", F.sqrt(b2).alias("b"), F.sqrt(c2).alias("c"), angle(bc3, b2, c2).alias("alpha"), angle(ac2, sq("a"), c2).alias("beta"), angle(ab2, sq("a"), b2).alias("gamma"))
+    cell = sheared.select("l_partkey", reduction.niggli(*neighbours.CELL).alias("n")).select("l_partkey", "n.*")
+    same = [F.max(c) - F.min(c) < 1e-6 for c in neighbours.CELL]
+    ordered = F.bool_and((F.col("a") <= F.col("b") + 1e-6) & (F.col("b") <= F.col("c") + 1e-6))
+    return cell.groupBy("l_partkey").agg(F.count("a").alias("n"), reduce(lambda x, y: x & y, same).alias("one_cell"), ordered.alias("ordered"), r6(F.round(F.avg(crystal.volume(F.struct(*neighbours.CELL))), 5), "volume"))
+
+
 def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of their own in folders of their languages, and what the files hold when read again."""
     work = Workspace(spark, "named-files")
@@ -197,7 +220,7 @@ def space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     cosine_similarity, element_penalty, neighbour_range_join, periodic_neighbours, prompt_formula, data_block_extract, garbage_ratio, text_scalar_pack, sequence_ops, backoff_schedule, lora_merge, stream_state_novelty,
-    mapinpandas_scorer, udtf_blocks, structure_validation, space_groups, named_files,
+    mapinpandas_scorer, udtf_blocks, structure_validation, space_groups, reduced_cells, named_files,
 )}
 
 ORACLE_SQL = {
@@ -270,6 +293,14 @@ ORACLE_SQL = {
         select p_partkey, reason, round(a * 16, 6) as volume, 2 as n_elements, 0.5::double as z, case when reason is null and d <= 4 then round(d, 6) end as min_distance,
                case when reason is null then cn::double end as mean_cn, case when reason is null then cn::double end as max_cn
         from m""",
+    # shears keep the volume, so it is the one of the part's own cell
+    "reduced_cells": """
+        with c as (
+          select l_partkey, 4.1::double + (l_partkey * 7919 % 101) / 97.0::double as a, 5.3::double + (l_partkey * 7919 % 211) / 199.0::double as b, 6.7::double + (l_partkey * 7919 % 307) / 293.0::double as c,
+                 cos(radians(72.0::double + (l_partkey * 7919 % 31) / 3.0::double)) as ca, cos(radians(76.0::double + (l_partkey * 7919 % 29) / 3.0::double)) as cb,
+                 cos(radians(81.0::double + (l_partkey * 7919 % 23) / 3.0::double)) as cg from lineitem)
+        select l_partkey, count(*) as n, true as one_cell, true as ordered, round(a * b * c * sqrt(1 - ca * ca - cb * cb - cg * cg + 2 * ca * cb * cg), 5) as volume
+        from c group by l_partkey, a, b, c, ca, cb, cg""",
     "named_files": """
         select doc_id, coalesce(lang, 'none') as folder, printf('%08d.cif', doc_id) as name, strlen(coalesce(text, '')) as n_bytes, sha256(coalesce(text, '')) as content_sha256, true as as_listed from documents""",
     "space_groups": """
