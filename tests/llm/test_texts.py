@@ -395,3 +395,24 @@ def test_chat_keeps_a_legal_conversation(spark):
 
 def test_items_digest():
     assert dc.items_digest(["1", "10"]) == hashlib.sha256(b"1,10").hexdigest()
+
+
+def test_chat_sorts_no_texts(spark, monkeypatch):
+    """Very long texts are written once and take no part in sorts by range, which sample their columns on the driver."""
+    seen, kept = {}, chat.Workspace.write
+
+    def write(self, df, name):
+        seen[name] = (df.columns, df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(self, df, name)
+
+    monkeypatch.setattr(chat.Workspace, "write", write)
+    rows = [(c, 0, "user" if c % 2 else "user" * 100, "x" * 300_000 + str(c)) for c in range(20)] + [(7, 0, "user", "tie"), (7, 0, "user", "tie")]
+    got = chat.repaired(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert [n for n, (columns, _) in seen.items() if "text" in columns] == ["turns"]
+    assert not {"text", "role"} & set(seen["sorted"][0]) and "RepartitionByExpression [conv" in seen["sorted"][1]
+    assert sorted(r.conv_id for r in got) == sorted(r[0] for r in rows) and sum(r.conv_id == 7 for r in got) == 3
+    # a role that is too long to be one is unknown, and returned as it is
+    assert all(r.cost >= chat.UNKNOWN_COST and r.role == "user" * 100 for r in got if r.conv_id % 2 == 0)
+    again = chat.repaired(spark, spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string"), 2).collect()
+    key = lambda r: (r.conv_id, r.place, r.piece, r.cost)
+    assert sorted(map(key, got)) == sorted(map(key, again))

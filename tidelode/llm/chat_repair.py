@@ -16,9 +16,10 @@ each turn, which in order of turns make up the text. Conversations of one block
 Of paths with equal costs the one is taken whose last turn has the first choice in the order keep, merge,
 relabel, with fewer empty turns first; then the turn before it, and so on. Blocks do not change that choice.
 
-Defined cases: a null or unknown role can be given any role at UNKNOWN_COST; a null text is empty; equal
-turn numbers are ordered by role and text; a null conv_id is a conversation; rows that repeat are turns of
-their own; an empty table gives no rows; a very long text is held by one task, as its piece.
+Defined cases: a null or unknown role, or one of more than LONGEST_ROLE characters, can be given any role at
+UNKNOWN_COST; a null text is empty; equal turn numbers are ordered by the digest of role and text; a null conv_id is
+a conversation; rows that repeat are turns of their own; an empty table gives no rows; a very long text is written
+once, held by one task at a time as its piece, and never sorted by nor sampled for a sort.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ ROLES = ("system", "user", "assistant")
 MERGE_COST, RELABEL_COST, UNKNOWN_COST, EMPTY_COST = 1.0, 2.0, 1.0, 3.0
 #: Turns of a block, turns that one task is meant for, and traces that a task remembers.
 BLOCK, TASK_TURNS, REMEMBER = 256, 100_000, 20_000
+#: Characters of a role that can be a known one.
+LONGEST_ROLE = 256
 
 _INF = float("inf")
 #: States that may follow each state.
@@ -217,7 +220,7 @@ def _roles(names: list[str | None]) -> tuple[int, ...]:
 
 
 def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _batched(((x["conv"][0], x["block"][0], block_costs(list(_roles(x["role"]))).ravel().tolist()) for x in _blocks(batches, ("conv", "block"))), _COSTS)
+    yield from _batched(((x["conv"][0], x["block"][0], block_costs(list(_roles(x["known"]))).ravel().tolist()) for x in _blocks(batches, ("conv", "block"))), _COSTS)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +235,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for x in _blocks(batches, ("conv", "block")):
-            roles, entry = _roles(x["role"]), tuple(x["entry"][0])
+            roles, entry = _roles(x["known"]), tuple(x["entry"][0])
             yield x["conv"][0], x["block"][0], list(entry), sources(roles, entry), list(forward(roles, entry)[-1])
 
     yield from _batched(rows(), _SOURCE)
@@ -272,7 +275,7 @@ def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> Iterator[tuple]:
         for x in _blocks(batches, ("conv", "block")):
-            roles, n = _roles(x["role"]), len(x["role"])
+            roles, n = _roles(x["known"]), len(x["role"])
             if x["entry"][0] is None:  # the conversation has one block
                 entry, final = ENTRY, True
                 cost, last = ending(roles, entry)
@@ -297,26 +300,29 @@ def repaired(spark: SparkSession, turns: DataFrame, block: int = BLOCK) -> DataF
     out_role, action, n_empty (empty turns put in front), opened (turns that the piece opens), cost (of the
     conversation's repair) and piece (its part of the rendering)."""
     work = Workspace(spark, "chat-repair")
-    rows = turns.select(F.col("conv_id").cast("bigint").alias("conv"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    # places by counting, block by block of turn numbers: a range sort, not one task for a conversation
-    sorted_ = work.write(rows.withColumn("key", F.monotonically_increasing_id()), "turns")
-    order = ["conv", "turn", "role", "text", "key"]
-    ranged = work.write(sorted_.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id()), "sorted")
+    rows = turns.select(F.col("conv_id").cast("bigint").alias("conv"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    texts = work.write(rows.withColumn("key", F.monotonically_increasing_id()), "turns")
+    # places by counting, block by block of turn numbers: a range sort of keys, not one task for a conversation
+    digest = F.substring(F.unhex(F.sha2(F.concat(F.coalesce("role", F.lit("")), F.lit("\0"), F.coalesce("text", F.lit(""))).cast("binary"), 256)), 1, 16)
+    keys = texts.select("conv", "turn", digest.alias("digest"), "key", F.when(F.length("role") <= LONGEST_ROLE, F.col("role")).alias("known"))
+    order = ["conv", "turn", "digest", "key"]
+    ranged = work.write(keys.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id()), "sorted")
     # of each part and conversation: its first row there, and how many rows of it stand in parts before
     parts = ranged.groupBy("conv", "part").agg(F.count("*").alias("n"), F.min("within").alias("begin"))
     before = F.sum("n").over(_window()) - F.col("n")
     parts = work.write(parts.select("conv", "part", "begin", before.alias("before")), "parts")
     named = parts.withColumnsRenamed({"conv": "p_conv", "part": "p_part"})
-    placed = ranged.join(named, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("part") == F.col("p_part"))).select("conv", "turn", "role", "text", (F.col("within") - F.col("begin") + F.col("before")).alias("place"))
+    placed = ranged.join(named, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("part") == F.col("p_part"))).select("conv", "key", "known", (F.col("within") - F.col("begin") + F.col("before")).alias("place"))
     placed = work.write(placed.withColumn("block", F.floor(F.col("place") / block)), "placed")
     tasks = max(spark.sparkContext.defaultParallelism, -(-placed.count() // TASK_TURNS))
     convs = lambda df: df.repartition(tasks, "conv").sortWithinPartitions("conv", "block")
     blocks = lambda df: df.repartition(tasks, "conv", "block").sortWithinPartitions("conv", "block", "place")
     # conversations of several blocks: costs, then states, at each border
     long = placed.groupBy("conv").agg(F.max("block").alias("b")).where("b > 0").select(F.col("conv").alias("l_conv"))
-    turns_ = placed.join(long, F.col("conv").eqNullSafe(F.col("l_conv")), "left_semi").select("conv", "block", "place", "role")
+    turns_ = placed.join(long, F.col("conv").eqNullSafe(F.col("l_conv")), "left_semi").select("conv", "block", "place", "known")
     turns_ = work.write(turns_, "long")
-    columns = placed.select("conv", "block", "place", "turn", "role", "text")
+    # texts meet their places once, by key
+    columns = placed.join(texts.drop("conv"), "key").select("conv", "block", "place", "turn", "role", "known", "text")
     if turns_.isEmpty():
         full = columns.withColumns({"entry": F.lit(None).cast("array<double>"), "last": F.lit(None).cast("int"), "cost": F.lit(None).cast("double"), "final": F.lit(None).cast("boolean")})
     else:
