@@ -18,8 +18,9 @@ make one class; only its smallest identifier goes on. The rest runs in three ste
 
 Pairs inside a component are skipped meanwhile since they cannot change it. Both ends of a link lie in one
 component, so the links are counted at the end: in each component every class is compared with every other,
-by exact overlaps of blocks of sets. Counts, not pairs, leave a block, so no table grows as the square of a
-family; the comparisons do.
+by exact overlaps of blocks of sets. Counts, not pairs, leave a block. Each set is sent to as many cells as its
+component has blocks, of LINK_BLOCK members: what is shuffled for the counts grows as the square of a component
+over that, and the comparisons as the square; components themselves need neither.
 
 Defined cases: null, empty and blank texts have an empty set, size 0, and are linked with nothing; a text
 with fewer words than n has one element, its whole sequence; rows that repeat an identifier count as one
