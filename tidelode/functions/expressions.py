@@ -241,7 +241,7 @@ def cosine_lr(step: Column, total: int, rate: float, warmup: int) -> Column:
     return F.when(step < warmup, rate * step / max(1, warmup)).otherwise(rate * 0.5 * (1.0 + F.cos(F.pi() * done)))
 
 
-def backoff(attempt: Column, temperature: float, top_k: int) -> Column:
+def backoff(attempt: Column, temperature: Column | float, top_k: Column | int) -> Column:
     """Sampling settings of a retry: each attempt cools and narrows the one before, down to floors."""
     start = F.struct(F.lit(temperature).alias("temperature"), F.lit(top_k).alias("top_k"))
     step = lambda s, _: F.struct(F.greatest(F.lit(0.6), s.temperature * 0.8).alias("temperature"), F.greatest(F.lit(5), F.floor(s.top_k / 2).cast("int")).alias("top_k"))

@@ -48,13 +48,13 @@ def neighbour_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("vec_id").agg(F.count("*").alias("neighbours"), r6(F.min("d"), "nearest"))
 
 
-_FORMULAS = [("LiFePO4", 4), ("NaCl", 4), ("TiO2", 1), ("BaTiO3", 2), ("Ca3N2O12H2", 3)]
-
-
 def prompt_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of a few formulas."""
-    rows = spark.createDataFrame(_FORMULAS, "formula string, z int")
-    return rows.select("formula", "z", E.build_prompt("formula", F.col("z")).alias("prompt"))
+    """Prompts of formulas made from parts, multiplied by their formula units."""
+    count = lambda n: F.when(n == 1, "").otherwise(n.cast("string"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    formula = F.concat(F.lit("Li"), count(size % 3 + 1), F.lit("Fe"), count(k % 2 + 1), F.lit("P"), F.lit("O"), count(size % 12 + 1))
+    rows = table(spark, sf_dir, "part").select("p_partkey", formula.alias("formula"), (k % 5 + 1).cast("int").alias("z"))
+    return rows.select("p_partkey", "formula", "z", E.build_prompt("formula", F.col("z")).alias("prompt"))
 
 
 def data_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +102,10 @@ def sequence_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampling settings of the first six attempts."""
-    rows = spark.range(1, 7).select(F.col("id").cast("int").alias("attempt"))
-    s = E.backoff(F.col("attempt"), 1.0, 40)
-    return rows.select("attempt", r6(s.temperature, "temperature"), s.top_k.alias("top_k"))
+    """Sampling settings of the first six attempts at each part, from settings of its own."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", (0.6 + F.col("p_size") / 50.0).alias("t"), F.col("p_size").cast("int").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("attempt"))
+    s = E.backoff(F.col("attempt"), F.col("t"), F.col("k"))
+    return rows.select("p_partkey", "attempt", r6(s.temperature, "temperature"), s.top_k.alias("top_k"))
 
 
 def lora_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +261,10 @@ ORACLE_SQL = {
           from near where site <> other or d > 1e-8 group by l_partkey, site)
         select l_partkey, count(*) as n_sites, round(min(least), 6) as min_distance, round(sum(cn) / count(*), 6) as mean_cn, max(cn)::double as max_cn from each group by l_partkey""",
     "prompt_formula": """
-        select * from (values ('LiFePO4', 4::int, 'data_Li4Fe4P4O16'), ('NaCl', 4, 'data_Na4Cl4'), ('TiO2', 1, 'data_TiO2'), ('BaTiO3', 2, 'data_Ba2Ti2O6'), ('Ca3N2O12H2', 3, 'data_Ca9N6O36H6')) as t(formula, z, prompt)""",
+        with n as (select p_partkey, p_size % 3 + 1 as li, p_partkey % 2 + 1 as fe, p_size % 12 + 1 as o, (p_partkey % 5 + 1)::int as z from part)
+        select p_partkey, 'Li' || case when li = 1 then '' else li::varchar end || 'Fe' || case when fe = 1 then '' else fe::varchar end || 'PO' || case when o = 1 then '' else o::varchar end as formula, z,
+               'data_Li' || case when li * z = 1 then '' else (li * z)::varchar end || 'Fe' || case when fe * z = 1 then '' else (fe * z)::varchar end || 'P' || case when z = 1 then '' else z::varchar end
+               || 'O' || case when o * z = 1 then '' else (o * z)::varchar end as prompt from n""",
     "data_block_extract": """
         select doc_id, md5('data_' || doc_id || chr(10) || text) as block, md5(text) as content,
                length('# made' || chr(10) || 'data_' || doc_id || chr(10) || text || chr(10) || 'DATA_next' || chr(10) || 'rest') as unchanged
@@ -306,9 +309,10 @@ ORACLE_SQL = {
     "space_groups": """
         select chr(39) || case when p_size % 4 = 0 then 'second' else p_brand end || chr(39) || case when p_size % 4 = 0 then '' else ' ' end as space_group, count(*) as n, min(p_partkey) as first_seen from part group by all""",
     "backoff_schedule": """
-        with recursive s(attempt, t, k) as (
-          select 1, 1.0::double, 40 union all select attempt + 1, greatest(0.6, t * 0.8), greatest(5, k // 2) from s where attempt < 6)
-        select attempt::int as attempt, round(t, 6) as temperature, k::int as top_k from s""",
+        with recursive s(p_partkey, attempt, t, k) as (
+          select p_partkey, 1, 0.6::double + p_size / 50.0::double, p_size::int from part
+          union all select p_partkey, attempt + 1, greatest(0.6::double, t * 0.8::double), greatest(5, k // 2)::int from s where attempt < 6)
+        select p_partkey, attempt::int as attempt, round(t, 6) as temperature, k::int as top_k from s""",
     "stream_state_novelty": """
         with s as (select event_id, event_type || '|' || user_id as k, row_number() over (order by event_id) as pos from events)
         select event_id, (case when pos - lag(pos) over (partition by k order by pos) <= 200 then 1 else 0 end)::int as duplicate_flag from s""",
