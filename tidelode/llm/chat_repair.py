@@ -19,7 +19,8 @@ relabel, with fewer empty turns first; then the turn before it, and so on. Block
 Defined cases: a null or unknown role, or one of more than LONGEST_ROLE characters, can be given any role at
 UNKNOWN_COST; a null text is empty; equal turn numbers are ordered by the digest of role and text; a null conv_id is
 a conversation; rows that repeat are turns of their own; an empty table gives no rows; a very long text is written
-once, held by one task at a time as its piece, and never sorted by nor sampled for a sort.
+once, held by one task at a time as its piece, and never sorted by nor sampled for a sort. Other columns are not
+read.
 """
 
 from __future__ import annotations

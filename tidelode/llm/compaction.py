@@ -13,7 +13,8 @@ The driver handles names and sizes of shards, whose number is the data over the
 `fanout` a tier); rows are moved by tasks only, each merge reading and writing its own shards.
 
 Defined cases: an empty arrival adds no shard but a version; nulls, repeated rows and any columns are kept
-as they are; columns that a shard lacks are null.
+as they are; columns that a shard lacks are null. Texts of any length are rows like others: a shard is closed by its
+bytes, so one very long text makes a shard of its own.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ of bytes, and a benchmark of one block needs no later step. Words are compared b
 
 Defined cases: null and empty texts have no words; an item without words has no window; items that repeat
 an item_id count as one item; an item with a null item_id marks words but is in no list of items; rows
-that repeat are each returned; empty tables give no rows or clean rows.
+that repeat are each returned; empty tables give no rows or clean rows. A very long text is searched whole by one
+task, in a slice of its own. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ digests splits the group instead of losing a text.
 
 Defined cases: a null text counts as empty; texts that differ only in runs of white space are equal; of
 equal rows the smallest identifier stays, null identifiers last, and of rows that repeat an identifier
-the first written one; an empty table gives no rows; other columns are not read.
+the first written one; an empty table gives no rows; other columns are not read. Very long texts go through the
+stream as digests; their bytes are read again only where a digest was hit.
 """
 
 from __future__ import annotations

@@ -25,7 +25,9 @@ over that, and the comparisons as the square; components themselves need neither
 Defined cases: null, empty and blank texts have an empty set, size 0, and are linked with nothing; a text
 with fewer words than n has one element, its whole sequence; rows that repeat an identifier count as one
 document with the smallest such set; each row with a null identifier is returned, with a null component.
-one_of_each goes by rows instead: other texts under a repeated or null identifier are compared as well.
+one_of_each goes by rows instead: other texts under a repeated or null identifier are compared as well, and all
+columns are returned as they are. An empty table gives no rows. A very long text is read whole by one task. Other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -23,6 +23,7 @@ written by bytes too, so that decoding returns every text exactly.
 Defined cases: null and empty texts have no tokens and one empty path; a text with fewer than N paths
 gives all it has; rows that repeat, and repeated or null identifiers, are each returned; an empty table gives
 no rows; a very long text is held whole by one task, with arrays of a bounded number of bytes for each of its own.
+Other columns are not read.
 """
 
 from __future__ import annotations

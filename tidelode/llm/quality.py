@@ -12,7 +12,8 @@ statistics cover all documents.
 
 Defined cases: a null text counts as empty; null hosts and paths form a group each; with fewer than two
 labelled classes every document has the same evidence, the share of good labels (one half without any);
-rows that repeat count as often as they occur; an empty table gives no rows.
+rows that repeat count as often as they occur; an empty table gives no rows. A very long text is read whole by one
+task, in a slice of its own. Other columns are not read; good_documents returns all of them as they are.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ input, and the driver holds nothing else.
 Repeated windows become spans of bytes, merged for each document.
 
 Defined cases: null texts are empty; a document shorter than `length` loses nothing, but rows that repeat
-are occurrences like any others; identifiers may repeat or be null; an empty table gives no rows.
+are occurrences like any others; identifiers may repeat or be null; an empty table gives no rows. A very long text is
+cut into segments by the task that reads it. Other columns are not read.
 """
 
 from __future__ import annotations

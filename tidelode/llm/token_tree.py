@@ -13,7 +13,7 @@ How far back a match depends on the text: the pattern looks at most two characte
 Defined cases: null and empty texts have no tokens; an edit outside of the text fails; edits of one
 document are applied in order, each on the text that the one before left; rows that repeat, and repeated or
 null identifiers, are each returned; an empty table gives no rows; a very long text is held whole by one task,
-where a single pre-token of any length is encoded in one go.
+where a single pre-token of any length is encoded in one go. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ their presence differs between grade 0 and above by more than chance; the rest w
 with a text's length. Every document is scored, whole, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no features and get the severity of the cuts alone; with labels of
-a single grade (or none) every document has that grade (or 0); rows that repeat are each returned.
+a single grade (or none) every document has that grade (or 0); rows that repeat are each returned; an empty table
+gives no rows. A very long text is read whole by one task, a slice of its own. Other columns are not read.
 """
 
 from __future__ import annotations
