@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases, for every stage: a null text counts as empty, and is kept where an empty one is; very long texts are read
+whole by one task at a time; of rows that tie (equal texts, components) the smallest doc_id stays, null ones last;
+rows that repeat count one by one, and copies go with exact_dedup; an empty table stays empty, without labels nothing
+is rejected for its text, without a benchmark nothing is contaminated; further columns of documents are passed on as
+they are, whatever their names, and the last stage returns its own columns only.
 """
 
 from __future__ import annotations
