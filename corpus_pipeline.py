@@ -22,6 +22,7 @@ from tidelode.llm.piece_lattice import segmented
 from tidelode.llm.quality import good_documents
 from tidelode.llm.queries import tokenizer_file
 from tidelode.llm.workspace import Workspace
+from tidelode.scratch import run_folders
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents."""
-    work = Workspace(spark, "pipeline")
+    """Applies STAGES to documents. What a stage's operators and the stage before it left is deleted when it is written."""
+    work, before = Workspace(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = work.write(stage(spark, docs, sf_dir), name)
+        with run_folders():
+            docs = work.write(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
