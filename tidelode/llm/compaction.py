@@ -155,11 +155,13 @@ class ShardedTable:
             if level >= top or len(members) < self.fanout:
                 continue
             run: list[Shard] = []
+            filled = 0
             for s in sorted(members, key=lambda s: (s.size, s.name)):
-                if run and sum(x.size for x in run) + s.size > self.target:
+                if run and filled + s.size > self.target:
                     merges.append(run)
-                    run = []
+                    run, filled = [], 0
                 run.append(s)
+                filled += s.size
             merges.append(run)
         return [m for m in merges if len(m) > 1]
 
