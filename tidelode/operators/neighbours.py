@@ -37,17 +37,23 @@ def edges() -> dict[str, Column]:
     }
 
 
+def with_edges(sites: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """sites with the edges of their cell, and whether they can be placed: nothing null or not finite, and a volume."""
+    rows = sites.select(*keys, "site", "x", "y", "z", *CELL).withColumns(edges())
+    sound = (F.abs(F.col("__ax") * F.col("__by") * F.col("__cz")) > NO_VOLUME) & (F.col("__ax") > 0) & (F.col("__by") > 0)
+    for c in ("x", "y", "z", *_EDGES):
+        sound &= F.abs(c) < float("inf")
+    for c in (*keys, "site"):
+        sound &= F.col(c).isNotNull()
+    return rows.withColumn("__sound", F.coalesce(sound, F.lit(False)))
+
+
 def placed_sites(sites: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, site, px, py, pz, edges) of sites of cells with a volume, moved into the box of their cell.
+    """(keys, site, place, edges) of sites of cells with a volume, moved into the box of their cell.
 
     sites has keys, site, fractional x, y, z and a cell's a, b, c, alpha, beta, gamma.
     """
-    known = sites.select(*keys, "site", "x", "y", "z", *CELL).dropna()
-    sound = (F.abs(F.col("__ax") * F.col("__by") * F.col("__cz")) > NO_VOLUME) & (F.col("__ax") > 0) & (F.col("__by") > 0)
-    finite = [F.abs(c) < float("inf") for c in ("x", "y", "z", *_EDGES)]
-    rows = known.withColumns(edges()).where(sound)
-    for f in finite:
-        rows = rows.where(f)
+    rows = with_edges(sites, keys).where("__sound")
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     rows = rows.withColumns({"__px": x * F.col("__ax") + y * F.col("__bx") + z * F.col("__cx"), "__py": y * F.col("__by") + z * F.col("__cy"), "__pz": z * F.col("__cz")})
     for turns, shift in (("__pz", ("__cx", "__cy", "__cz")), ("__py", ("__bx", "__by", None)), ("__px", ("__ax", None, None))):
@@ -91,10 +97,8 @@ def geometry(sites: DataFrame, keys: Sequence[str], bond: float = 4.0, shell: fl
     pairs = periodic_pairs(sites, keys, max(bond, shell))
     each = pairs.groupBy(*keys, "site").agg(F.min(F.when((F.col("site") != F.col("other")) & (F.col("distance") <= bond), F.col("distance"))).alias("least"), F.count_if(F.col("distance") <= shell).alias("cn"))
     found = each.groupBy(*keys).agg(F.min("least").alias("min_distance"), F.sum("cn").alias("__sum"), F.max("cn").alias("__most"))
-    counted = sites.groupBy(*keys).agg(F.count("*").alias("n_sites"))
-    whole = placed_sites(sites, keys).groupBy(*keys).agg(F.count("*").alias("__placed"))
-    rows = counted.join(whole, list(keys), "left").join(found, list(keys), "left")
-    sound = F.col("__placed") == F.col("n_sites")
+    counted = with_edges(sites, keys).groupBy(*keys).agg(F.count("*").alias("n_sites"), F.bool_and("__sound").alias("__whole"))
+    rows, sound = counted.join(found, list(keys), "left"), F.col("__whole")
     return rows.select(
         *keys, "n_sites", F.when(sound, F.col("min_distance")).alias("min_distance"),
         F.when(sound, F.coalesce("__sum", F.lit(0)) / F.col("n_sites")).alias("mean_cn"), F.when(sound, F.coalesce("__most", F.lit(0)).cast("double")).alias("max_cn"),
