@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelode.llm.workspace import Workspace
+from tidelode.llm.workspace import Workspace, release
 
 #: Rounds after which a graph that still changes is reported as an error; stars need O(log n) rounds.
 MOST_ROUNDS = 60
@@ -41,6 +41,7 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
             work.drop(stale)
         stale, before = f"{name}-{k}", marks
         edges, marks = after, _marks(after)
+        release(work.spark)
         if marks == before:
             break
     else:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tidelode.llm import bytetext as bt
 from tidelode.llm.components import components
-from tidelode.llm.workspace import Workspace, row_keyed, sized
+from tidelode.llm.workspace import Workspace, release, row_keyed, sized
 
 #: Smallest hashes of a set by which the sketch step compares it, members of a block there, and the
 #: nearest others that each is paired with.
@@ -558,6 +558,7 @@ class NgramJoin:
         for f in self.signatures:
             ids = ids.join(f.select("id"), "id", "left_anti")
         self.signatures.append(self.work.write(self._made(self.work.write(ids.distinct(), f"{name}-ids"), False), name))
+        release(self.spark)
 
     def _sigs(self, key: str, value: str, kind: str = "bits") -> DataFrame:
         out = self.signatures[0]
@@ -581,6 +582,7 @@ class NgramJoin:
         full = open_.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
         links = self.work.write(full.mapInArrow(bt.lean(_proved(self.percent)), "a bigint, b bigint"), f"{name}-links")
         self.work.drop(f"{name}-sets")
+        release(self.spark)
         return links
 
     def run(self) -> DataFrame:
