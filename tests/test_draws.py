@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelode.functions import logits as L
 from tidelode.operators import crystal, joins, neighbours, ranking, reduction, sampling
+from tidelode.plans import draws
 
 
 def one(spark, c):
@@ -66,6 +67,17 @@ def test_cursor_goes_on(spark):
     assert sampling.epoch_rows(table.limit(0), "number", 0, 5, 0, 9).collect() == []
 
 
+@pytest.mark.parametrize("ids", [list(range(7)), list(range(9)), [3, None, 1], [4]])
+def test_cursor_of_odd_tables_like_its_sql(spark, tmp_path, ids):
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = draws.epoch_cursor(spark, f"file://{tmp_path}")
+    want = c.execute(f"select {', '.join(df.columns)} from ({draws.ORACLE_SQL['epoch_cursor']}) order by step").fetchall()
+    assert [tuple(r) for r in df.orderBy("step").collect()] == want
+
+
 def plain_ranks(rows, buffer):
     out = {}
     for k, key, v in rows:

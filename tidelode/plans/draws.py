@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +35,18 @@ def token_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "draw", "k", "n_kept", r6(F.array_max("p"), "p_best"), r6("sigmoids"), L.drawn(F.col("p"), uniform).alias("token"))
 
 
+def _steps(n: int, epochs: float) -> int:
+    """The steps of so many epochs of n rows; a half is rounded up, as the cast of a decimal does in SQL."""
+    return int((n * Decimal(str(epochs))).to_integral_value(ROUND_HALF_UP))
+
+
 def epoch_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that training reads from the middle of its first epoch to the end of the third."""
     work = Workspace(spark, "cursor")
-    numbered = ranking.placed(table(spark, sf_dir, "documents").select("doc_id"), [], ["doc_id"]).select("doc_id", (F.col("place") - 1).alias("number"))
+    numbered = ranking.placed(table(spark, sf_dir, "documents").select("doc_id"), [], [F.col("doc_id").isNull(), "doc_id"]).select("doc_id", (F.col("place") - 1).alias("number"))
     numbered = work.write(numbered, "numbered")
     n = numbered.count()
-    rows = sampling.epoch_rows(numbered, "number", n, SEED, int(FIRST_EPOCH * n), int(EPOCHS * n))
+    rows = sampling.epoch_rows(numbered, "number", n, SEED, _steps(n, FIRST_EPOCH), _steps(n, EPOCHS))
     return rows.select("step", "epoch", "position", "doc_id")
 
 
