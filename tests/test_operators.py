@@ -346,6 +346,22 @@ def test_periodic_pairs_against_all_images(spark):
     assert {r.k for r in got} <= set(sites)
 
 
+def test_small_structures_meet_without_a_grid(spark, monkeypatch):
+    """Neither images nor home sites of small structures are shuffled; larger ones, by the grid, have the same pairs."""
+    rng = random.Random(5)
+    rows = [(k, n, *[rng.uniform(-2, 2) for _ in range(3)], *map(float, CELLS[k])) for k, most in (("cube", 7), ("flat", 3), ("skewed", 15), ("large", 40)) for n in range(most)]
+    df = spark.createDataFrame([*rows, (None, 0, *rows[0][2:]), ("odd", 0, None, *rows[0][3:])], SITES)
+    plan = neighbours.periodic_pairs(df, ["k"], 3.9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__gx" not in plan and "Join" not in plan
+    found = []
+    for most in (100, 10, 0):
+        monkeypatch.setattr(neighbours, "WHOLE", most)
+        found.append((sorted(map(tuple, neighbours.periodic_pairs(df, ["k"], 3.9).collect())), sorted(map(tuple, neighbours.geometry(df, ["k"]).collect()), key=str)))
+    for pairs, shapes in found[1:]:
+        assert [x[:3] for x in pairs] == [x[:3] for x in found[0][0]] != [] and [x[3] for x in pairs] == pytest.approx([x[3] for x in found[0][0]])
+        assert [x[:2] for x in shapes] == [x[:2] for x in found[0][1]] and str(shapes) == str(found[0][1])
+
+
 def test_geometry_of_flat_and_odd_cells(spark):
     rows = [("flat", n, 0.5 * n, 0.5 * n, 0.5 * n, 0.0101, 4.0, 4.0, 90.0, 90.0, 90.0) for n in range(2)]
     rows += [("none", 0, 0.0, 0.0, 0.0, 5.0, 5.0, 5.0, 90.0, 90.0, 0.0), ("part", 0, 0.0, 0.0, 0.0, 5.0, 5.0, 5.0, 90.0, 90.0, 90.0), ("part", 1, None, 0.0, 0.0, 5.0, 5.0, 5.0, 90.0, 90.0, 90.0), ("far", 0, 0.0, 0.0, 0.0, 50.0, 50.0, 50.0, 90.0, 90.0, 90.0)]

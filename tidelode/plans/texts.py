@@ -167,9 +167,10 @@ def periodic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_partkey")
     part = lambda c, n: (F.col(c) * 7919 % int(n)) / n
     of = lambda each, angles: F.element_at(F.array(*[F.lit(x) for x in angles]), (F.floor(k / each) % len(angles) + 1).cast("int"))
-    items = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")).alias("site"),
-        part("l_orderkey", 1009.0).alias("x"), (part("l_linenumber", 101.0) + part("l_suppkey", 97.0)).alias("y"), (F.col("l_extendedprice") / 1777.0).alias("z"),
+    numbers = ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    # numbered first, so that only the table's own columns are shuffled
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", *numbers, F.row_number().over(Window.partitionBy("l_partkey").orderBy(*numbers)).alias("site")).select(
+        "l_partkey", "site", part("l_orderkey", 1009.0).alias("x"), (part("l_linenumber", 101.0) + part("l_suppkey", 97.0)).alias("y"), (F.col("l_extendedprice") / 1777.0).alias("z"),
         (7.31 + k % 5).alias("a"), (6.17 + k % 7).alias("b"), (8.23 + k % 3).alias("c"),
         of(5, (90.0, 75.0, 100.0)).alias("alpha"), of(4, (90.0, 80.0)).alias("beta"), of(6, (90.0, 120.0, 25.0, 150.0)).alias("gamma"),
     )
