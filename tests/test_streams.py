@@ -1,5 +1,6 @@
 """Keyed state of streams: buffers, novelty, resets, initial state, restarts and retries on timers."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,37 @@ def test_retries(spark, tmp_path):
     assert [x for x in last if x[0] == 1] == [one, (1, 2, 0.8, 20, 60, False), (1, 3, 0.64, 10, 180, True)]
     assert [x[1:] for x in last if x[0] == 9] == [(1, 0.9, 12, 120, False), (2, 0.72, 6, 180, False), (3, 0.6, 5, 300, False), (4, 0.6, 5, 540, False)]
     assert [x[1:4] for x in last if x[0] == 2] == [(1, 0.7, 7), (2, 0.6, 5), (3, 0.6, 5)]
+
+
+def test_retries_share_state_by_lots(spark, tmp_path):
+    """Identifiers in a row are one entry of the state, which negative and repeated ones do not confuse."""
+    session = keyed.stream_session(spark)
+    uri = lambda name: f"file://{tmp_path}/{name}"
+    for batch, ids in enumerate(([*range(-3, 600), 5, 5], [*range(500, 1100)], [5000])):
+        rows = spark.createDataFrame([(i, 0.7, 9, 86_400 * 9 if i == 5000 else 10 * batch) for i in ids], "id long, temperature double, top_k int, s long").withColumn("at", F.timestamp_seconds("s")).drop("s")
+        rows.coalesce(1).write.mode("append").parquet(uri("in"))
+        made = keyed.retry_stream(session.readStream.schema(rows.schema).parquet(uri("in")), lambda id_, attempt, t, k: attempt > abs(id_) % 3, 3, 60_000)
+        keyed.run_available(made, uri("out"), uri("checkpoint"))
+    got = sorted((r.id, r.attempt, r.due_ms, r.ok) for r in spark.read.parquet(uri("out")).collect() if r.id < 5000)
+    at = lambda i: 0 if i < 600 else 10_000
+    assert got == [(i, a, at(i) + (0, 60_000, 180_000)[a - 1], a == abs(i) % 3 + 1) for i in range(-3, 1100) for a in range(1, abs(i) % 3 + 2)]
+
+
+def test_a_lot_is_written_once_a_batch():
+    class Fake:
+        value, writes, timers = None, 0, ()
+
+        def getValueState(self, name, schema): return self  # noqa: E704
+        def exists(self): return self.value is not None  # noqa: E704
+        def get(self): return self.value  # noqa: E704
+        def registerTimer(self, at): self.timers = (*self.timers, at)  # noqa: E704
+        def deleteTimer(self, at): self.timers = tuple(x for x in self.timers if x != at)  # noqa: E704
+        def getCurrentWatermarkInMs(self): return 0  # noqa: E704
+        def update(self, value): self.value, self.writes = value, self.writes + 1  # noqa: E704
+
+    fake = Fake()
+    queue = keyed.RetryQueue(lambda *_: False, 3, 1000)
+    queue.init(fake)
+    rows = pd.DataFrame({"id": range(600), "at_ms": range(600, 0, -1), "temperature": 0.7, "top_k": 9})
+    (made,) = queue.handleInputRows((0,), iter([rows, rows]), fake)
+    assert len(made) == 600 and fake.writes == 1 and fake.timers == (1001,)

@@ -198,50 +198,86 @@ def unit_column(seed: int, key: Column, place: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), key, F.lit(place))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+#: Identifiers in a row that share one entry of the state.
+LOT = 1024
+
+
 class RetryQueue(StatefulProcessor):
     """Attempts at a piece of work, each failure followed by a wait that doubles and by cooler settings of its own.
 
-    Input: id, at_ms (when it arrives), temperature, top_k. Of an identifier that is known already nothing is done.
-    Output: one row for each attempt: attempt (from 1), its settings, due_ms and whether it succeeded. What still
-    waits is in the state, with a timer for each identifier; timers follow the watermark of event time.
+    Input: id, at_ms (when it arrives), temperature, top_k, by lots of LOT identifiers in a row. Of an identifier that is
+    known already nothing is done. Output: one row for each attempt: attempt (from 1), its settings, due_ms and whether
+    it succeeded. The state of a lot is a list of its identifiers with what each of them waits for (nothing is due once
+    it is over), so a lot is read and written once a batch, and has one timer, for the first that is due; timers follow
+    the watermark of event time.
     """
 
     OUT = "id bigint, attempt int, temperature double, top_k int, due_ms bigint, ok boolean"
+    STATE = "ids array<bigint>, attempts array<int>, temperatures array<double>, top_ks array<int>, dues array<bigint>, over array<boolean>"
 
     def __init__(self, attempt: Callable[[int, int, float, int], bool], most: int, wait_ms: int):
         self.attempt, self.most, self.wait_ms = attempt, most, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "attempt int, temperature double, top_k int, due_ms bigint, over boolean")
+        self.waiting = handle.getValueState("waiting", self.STATE)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = pd.concat(list(rows)).sort_values("at_ms", kind="stable").iloc[0]
+    def _known(self) -> dict[int, tuple]:
+        """Of each known identifier: attempt, temperature, top_k, due, over."""
         if not self.waiting.exists():
-            yield from self._go(int(key[0]), 1, float(first["temperature"]), int(first["top_k"]), int(first["at_ms"]), timerValues.getCurrentWatermarkInMs())
+            return {}
+        ids, *fields = self.waiting.get()
+        return dict(zip(ids, zip(*fields, strict=True), strict=True))
+
+    def _keep(self, known: dict[int, tuple], before: int | None) -> None:
+        """Writes the state; before is the time that the lot's timer was set to."""
+        self.waiting.update((list(known), *[list(x) for x in zip(*known.values(), strict=True)]))
+        first = self._first(known)
+        if first != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if first is not None:
+                self.handle.registerTimer(first)
+
+    @staticmethod
+    def _first(known: dict[int, tuple]) -> int | None:
+        return min((due for *_, due, over in known.values() if not over), default=None)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        attempt, temperature, top_k, due, over = self.waiting.get()
-        if not over:
-            yield from self._go(int(key[0]), attempt, temperature, top_k, due, timerValues.getCurrentWatermarkInMs())
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("at_ms", kind="stable").drop_duplicates("id")
+        known, made, now = self._known(), [], timerValues.getCurrentWatermarkInMs()
+        before, n = self._first(known), len(known)
+        for id_, at, temperature, top_k in zip(*[frame[c].tolist() for c in ("id", "at_ms", "temperature", "top_k")], strict=True):
+            if id_ not in known:
+                known[id_] = self._go(made, id_, 1, float(temperature), int(top_k), int(at), now)
+        if len(known) > n:
+            self._keep(known, before)
+            yield self._frame(made)
 
-    def _go(self, id_: int, attempt: int, temperature: float, top_k: int, due: int, now: int) -> Iterator[pd.DataFrame]:
-        """Makes the attempt that is due, and those that have become due since."""
-        made, first = [], True
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        known, made, now = self._known(), [], timerValues.getCurrentWatermarkInMs()
+        for id_, (attempt, temperature, top_k, due, over) in known.items():
+            if not over and due <= now:
+                known[id_] = self._go(made, id_, attempt, temperature, top_k, due, now)
+        if made:
+            self._keep(known, None)  # the timer that expired is gone
+            yield self._frame(made)
+
+    def _go(self, made: list[tuple], id_: int, attempt: int, temperature: float, top_k: int, due: int, now: int) -> tuple:
+        """Makes the attempt that is due, and those that have become due since; returns what the identifier waits for."""
         while True:
-            if not first and due > now:
-                self.waiting.update((attempt, temperature, top_k, due, False))
-                self.handle.registerTimer(due)
-                break
-            first = False
             ok = self.attempt(id_, attempt, temperature, top_k)
             made.append((id_, attempt, temperature, top_k, due, ok))
             if ok or attempt >= self.most:
-                self.waiting.update((attempt, temperature, top_k, due, True))
-                break
+                return attempt, temperature, top_k, due, True
             due += self.wait_ms << (attempt - 1)
             attempt, temperature, top_k = attempt + 1, *cooled(temperature, top_k)
-        yield pd.DataFrame(made, columns=["id", "attempt", "temperature", "top_k", "due_ms", "ok"])
+            if due > now:
+                return attempt, temperature, top_k, due, False
+
+    @staticmethod
+    def _frame(made: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(made, columns=["id", "attempt", "temperature", "top_k", "due_ms", "ok"])
 
     def close(self) -> None:
         pass
@@ -254,5 +290,5 @@ def cooled(temperature: float, top_k: int) -> tuple[float, int]:
 
 def retry_stream(source: DataFrame, attempt: Callable[[int, int, float, int], bool], most: int, wait_ms: int, late: str = "0 seconds") -> DataFrame:
     """One row for each attempt at each id of a stream of (id, at, temperature, top_k)."""
-    rows = source.where("id is not null").withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
-    return rows.groupBy("id").transformWithStateInPandas(RetryQueue(attempt, most, wait_ms), RetryQueue.OUT, "append", "eventTime")
+    rows = source.where("id is not null").withWatermark("at", late).withColumns({"at_ms": F.unix_millis("at"), "lot": F.floor(F.col("id") / LOT)})
+    return rows.groupBy("lot").transformWithStateInPandas(RetryQueue(attempt, most, wait_ms), RetryQueue.OUT, "append", "eventTime")
