@@ -110,12 +110,12 @@ def test_retries_share_state_by_lots(spark, tmp_path):
     session = keyed.stream_session(spark)
     uri = lambda name: f"file://{tmp_path}/{name}"
     for batch, ids in enumerate(([*range(-3, 600), 5, 5], [*range(500, 1100)], [5000])):
-        rows = spark.createDataFrame([(i, 0.7, 9, 86_400 * 9 if i == 5000 else 10 * batch) for i in ids], "id long, temperature double, top_k int, s long").withColumn("at", F.timestamp_seconds("s")).drop("s")
+        rows = spark.createDataFrame([(i, 0.7, 9, 86_400 * 9 if i == 5000 else 10 * (batch + 1)) for i in ids], "id long, temperature double, top_k int, s long").withColumn("at", F.timestamp_seconds("s")).drop("s")
         rows.coalesce(1).write.mode("append").parquet(uri("in"))
         made = keyed.retry_stream(session.readStream.schema(rows.schema).parquet(uri("in")), lambda id_, attempt, t, k: attempt > abs(id_) % 3, 3, 60_000)
         keyed.run_available(made, uri("out"), uri("checkpoint"))
     got = sorted((r.id, r.attempt, r.due_ms, r.ok) for r in spark.read.parquet(uri("out")).collect() if r.id < 5000)
-    at = lambda i: 0 if i < 600 else 10_000
+    at = lambda i: 10_000 if i < 600 else 20_000
     assert got == [(i, a, at(i) + (0, 60_000, 180_000)[a - 1], a == abs(i) % 3 + 1) for i in range(-3, 1100) for a in range(1, abs(i) % 3 + 2)]
 
 
