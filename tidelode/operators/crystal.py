@@ -81,7 +81,8 @@ def parse(text: str | None) -> dict | None:
 def parsed(texts: pd.Series) -> pd.DataFrame:
     """A column of structure texts as structures; rows that cannot be read are null in every field."""
     names = ("a", "b", "c", "alpha", "beta", "gamma", "spacegroup", "sites")
-    rows = [parse(t) or dict.fromkeys(names) for t in texts]
+    found = {t: parse(t) or dict.fromkeys(names) for t in set(texts)}  # equal texts of a batch are parsed once
+    rows = [found[t] for t in texts]
     return pd.DataFrame(rows, columns=list(names))
 
 

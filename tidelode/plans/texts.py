@@ -154,7 +154,8 @@ _CELL = "data_t\n_cell_length_a {a}\n_cell_length_b 4.0\n_cell_length_c 4.0(1)\n
 def structure_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure texts made from parts, parsed, validated and measured."""
     text = F.replace(F.lit(_CELL), F.lit("{a}"), F.format_string("%.1f", (F.col("p_size") - 1) / 5.0))
-    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).withColumn("s", crystal.wrapped(crystal.parsed("text")))
+    # dealt out first: a file of few bytes a row is one task's, and each row has a text to parse
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).repartition(4 * spark.sparkContext.defaultParallelism).withColumn("s", crystal.wrapped(crystal.parsed("text")))
     valid = crystal.invalid_reason(F.col("text"), F.col("s"))
     rows = rows.select("p_partkey", valid.alias("reason"), r6(crystal.volume(F.col("s")), "volume"), crystal.n_elements(F.col("s")).alias("n_elements"), r6(F.round(F.col("s.sites")[1].z, 6), "z"), "s")
     rows = Workspace(spark, "structures").write(rows, "parsed")  # parsed once, measured by a join
